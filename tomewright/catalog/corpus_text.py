@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tomewright.catalog.tables import table
+from tomewright.catalog.tables import spread, table
 from tomewright.functions import html as H
 from tomewright.functions import strings as S
 from tomewright.functions import text as X
@@ -31,7 +31,15 @@ LANGS = {"de": "German", "en": "English", "fr": "French"}
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
+def _turns(spark, d):
+    return spread(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+def _pages(spark, d):
+    return spread(table(spark, d, "pages"), "page_id")
 
 
 def clean_lines(spark, d):
@@ -91,18 +99,18 @@ def chunk_documents(spark, d):
 
 
 def chunk_conversations(spark, d):
-    turns = table(spark, d, "conversations").select(
+    turns = _turns(spark, d).select(
         "conv_id", "turn", F.lit(1975).alias("year"), F.col("role").alias("month"), "text"
     )
     return K.chunk_conversations(turns, max_words=60).drop("year", "month")
 
 
 def sentence_explode(spark, d):
-    return X.sentence_rows(table(spark, d, "conversations"), "text", ["conv_id", "turn"], paragraph="\n")
+    return X.sentence_rows(_turns(spark, d), "text", ["conv_id", "turn"], paragraph="\n")
 
 
 def sentence_groups(spark, d):
-    turns = table(spark, d, "conversations")
+    turns = _turns(spark, d)
     groups = F.posexplode(X.sentence_groups(F.col("text"))).alias("grp", "paragraph")
     return turns.select("conv_id", "turn", groups).withColumn("grp", F.col("grp").cast("long"))
 
@@ -125,7 +133,8 @@ def _references(spark, d):
         F.lit("see BG "), n, F.lit("."), s, F.lit(", SB "), n, F.lit("."), s, F.lit(".0"), n, F.lit(" and Geeta, "),
         s, F.lit("."), n, F.lit("; CC "), s, F.lit(" x"),
     )
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return spread(rows, "l_orderkey").select("l_orderkey", "l_linenumber", ref.alias("ref"))
 
 
 def verse_ref_spoken(spark, d):
@@ -176,24 +185,24 @@ def term_runs(spark, d):
 
 
 def html_links(spark, d):
-    return H.link_rows(table(spark, d, "pages"), ["page_id"])
+    return H.link_rows(_pages(spark, d), ["page_id"])
 
 
 def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
+    return _pages(spark, d).select("page_id", H.page_title(F.col("html")).alias("title"))
 
 
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", H.content_text(F.col("html")).alias("content"))
+    return _pages(spark, d).select("page_id", H.content_text(F.col("html")).alias("content"))
 
 
 def url_slug(spark, d):
     name = H.slug_title(F.col("url"), "/([^/?#]+)/?(?:[?#].*)?$")
-    return table(spark, d, "pages").select("page_id", name.alias("recipient"))
+    return _pages(spark, d).select("page_id", name.alias("recipient"))
 
 
 def first_seen_links(spark, d):
-    return H.first_seen(H.link_rows(table(spark, d, "pages"), ["page_id"]))
+    return H.first_seen(H.link_rows(_pages(spark, d), ["page_id"]))
 
 
 def _letters(spark, d):
@@ -205,7 +214,8 @@ def _letters(spark, d):
         .otherwise("undated")
     )
     text = F.concat(F.lit("Date: "), dated, F.lit("\nPlace: New Town\nPriority "), F.col("o_orderpriority"))
-    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return spread(rows, "o_orderkey").select("o_orderkey", text.alias("text"))
 
 
 def date_extract(spark, d):
@@ -224,7 +234,7 @@ def title_facets(spark, d):
         F.lit(" "), F.format_string("%d.25", F.floor("o_totalprice").cast("long")), F.lit(" "), unit,
     )
     f = H.title_facets(title)
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders"), "o_orderkey").select(
         "o_orderkey", f["date"].alias("date"), F.coalesce(f["location"], F.lit("none")).alias("location"),
         f["verse"].alias("verse"), F.round(f["size_mb"], 4).alias("size_mb"),
     )
@@ -234,7 +244,8 @@ def citation_label(spark, d):
     flag = F.col("l_returnflag")
     code = F.when(flag == "A", "bg").when(flag == "N", "SB").otherwise("cc")
     chunk = F.concat_ws("_", F.lower(code), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey"))
-    rows = table(spark, d, "lineitem").select(
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
+    rows = spread(items, "l_orderkey").select(
         "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), code.alias("code"), chunk.alias("chunk")
     )
     names = spark.createDataFrame(list(NAMES.items()), "key string, name string")
@@ -253,9 +264,8 @@ def dim_lookup(spark, d):
 
 def keyword_score(spark, d):
     score = X.keyword_score("tion ", S.words(F.col("text")), F.col("text"), F.array("source"))
-    return _docs(spark, d).select("doc_id", score.alias("score")).where(F.col("score") > 0).orderBy(
-        F.desc("score"), "doc_id"
-    )
+    scored = _docs(spark, d).select("doc_id", F.explode(F.array(score)).alias("score"))  # scored once, then filtered
+    return scored.where(F.col("score") > 0).orderBy(F.desc("score"), "doc_id")
 
 
 QUERIES = {

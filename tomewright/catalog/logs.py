@@ -25,7 +25,7 @@ BREAK = (2, 172_800, 259_200)
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return CT._docs(spark, d)
 
 
 def _labelled(spark, d):

@@ -25,3 +25,15 @@ SCHEMAS = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Use all cores on a table that its files cannot split: hash it by its key before costly work.
+
+    A table with at least a full input split per core is left alone, so large tables are never moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = 128 << 20
+    return df.repartition(cores, *key) if 256 << 10 < int(str(size)) < cores * split else df

@@ -112,35 +112,34 @@ VERSE_FACET = r"BG\s+([\d-]+)"
 SIZE_FACET = r"(?i)([\d.]+)\s*(MB|KB|GB)"
 
 
+def _first(text: Column, pattern: str, group: int = 1) -> Column:
+    """First match, null when there is none; the text is matched once."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def date_text(text: Column) -> Column:
     """First match of the first pattern that matches anywhere, else null."""
-    out = F.lit(None).cast("string")
-    for pattern in reversed(DATE_PATTERNS):
-        out = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(out)
-    return out
+    return F.coalesce(*[_first(text, p) for p in DATE_PATTERNS])
 
 
 def year_of(date: Column) -> Column:
-    return F.when(date.rlike(r"\d{4}"), F.regexp_extract(date, r"(\d{4})", 1)).otherwise("unknown")
+    return F.coalesce(_first(date, r"(\d{4})"), F.lit("unknown"))
 
 
 def place_text(text: Column) -> Column:
-    return F.when(text.rlike(PLACE_PATTERN), py_strip(F.regexp_extract(text, PLACE_PATTERN, 1)))
+    return py_strip(_first(text, PLACE_PATTERN))
 
 
 def title_facets(title: Column) -> dict[str, Column]:
     """Date, place, verse range and size in MB read from a recording title; missing ones are null."""
-
-    def facet(pattern: str) -> Column:
-        return F.when(title.rlike(pattern), F.regexp_extract(title, pattern, 1))
-
     size = F.regexp_extract(title, SIZE_FACET, 1).try_cast("double")
     unit = F.upper(F.regexp_extract(title, SIZE_FACET, 2))
+    factor = F.when(unit == "KB", 1 / 1024).when(unit == "GB", 1024.0).when(unit == "MB", 1.0)
     return {
-        "date": facet(ISO_DATE),
-        "location": facet("(?i)(" + "|".join(fixed.PLACES) + ")"),
-        "verse": facet(VERSE_FACET),
-        "size_mb": F.when(unit == "KB", size / 1024).when(unit == "GB", size * 1024).when(unit == "MB", size).otherwise(0.0),
+        "date": _first(title, ISO_DATE),
+        "location": _first(title, "(?i)(" + "|".join(fixed.PLACES) + ")"),
+        "verse": _first(title, VERSE_FACET),
+        "size_mb": F.coalesce(size * factor, F.lit(0.0)),
     }
 
 

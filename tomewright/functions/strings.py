@@ -40,13 +40,18 @@ def md5_key(c: Column) -> Column:
     return F.md5(norm_key(c).cast("binary"))
 
 
+def _unicode_spaces(c: Column) -> Column:
+    """Python also splits at four control separators that Unicode does not count as white space."""
+    return replace_in_order(c, [(ch, " ") for ch in "\x1c\x1d\x1e\x1f"])
+
+
 def word_count(c: Column) -> Column:
-    """Number of white-space separated words, without building the word array."""
-    return F.regexp_count(c, F.lit(f"[^{SPACE_CLASS}]+")).cast("long")
+    """Number of white-space separated words."""
+    return F.regexp_count(_unicode_spaces(c), F.lit(r"(?U)\S+")).cast("long")
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, f"[{SPACE_CLASS}]+"), lambda w: w != "")
+    return F.filter(F.split(_unicode_spaces(c), r"(?U)\s+"), lambda w: w != "")
 
 
 def token_estimate(c: Column) -> Column:

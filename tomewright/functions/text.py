@@ -159,26 +159,33 @@ def number_words() -> dict[str, str]:
 def spoken_references(text: Column) -> Column:
     """``BG 2.20`` to ``Bhagavad Geeta, chapter two, verse twenty``, and the like.
 
-    Regexes put the numbers between marker characters; one split then swaps each number for its word.
+    Regexes put codes and numbers between marker characters; one split then swaps each for its words.
     """
     two, three = r"\s+(\d+)\.(\d+)", r"\s+(\d+)\.(\d+)\.(\d+)"
-    n = f"{MARK}%s{MARK}"
-    canto = f"canto {n % '$1'}, chapter {n % '$2'}, verse {n % '$3'}"
-    verse = f"chapter {n % '$1'}, verse {n % '$2'}"
-    for code, name in fixed.SPOKEN_CANTO_BOOKS:
-        text = F.regexp_replace(text, rf"(?U)\b{code}{three}\b", f"{name}, {canto}")
-    for code, name in fixed.SPOKEN_BOOKS:
-        text = F.regexp_replace(text, rf"(?U)\b{code}{two}\b", f"{name}, {verse}")
-    for name in fixed.SPOKEN_NAMES:
-        text = F.regexp_replace(text, rf"(?U){name},?{two}", f"{name}, {verse}")
-    for name in fixed.SPOKEN_CANTO_NAMES:
-        text = F.regexp_replace(text, rf"(?U){name},?{three}", f"{name}, {canto}")
+
+    def said(lead: str, *parts: str) -> str:
+        return lead + "".join(f", {part} {MARK}${i}{MARK}" for i, part in enumerate(parts, 2))
+
+    def any_of(names) -> str:
+        return "(" + "|".join(names) + ")"
+
+    code = f"{MARK}$1{MARK}"
+    for pattern, by in [
+        (rf"(?U)\b{any_of(fixed.SPOKEN_CANTO_BOOKS)}{three}\b", said(code, "canto", "chapter", "verse")),
+        (rf"(?U)\b{any_of(fixed.SPOKEN_BOOKS)}{two}\b", said(code, "chapter", "verse")),
+        (rf"(?U){any_of(fixed.SPOKEN_NAMES)},?{two}", said("$1", "chapter", "verse")),
+        (rf"(?U){any_of(fixed.SPOKEN_CANTO_NAMES)},?{three}", said("$1", "canto", "chapter", "verse")),
+    ]:
+        text = F.regexp_replace(text, pattern, by)
+    books = {**fixed.SPOKEN_BOOKS, **fixed.SPOKEN_CANTO_BOOKS}
+    book = F.create_map(*[F.lit(x) for pair in books.items() for x in pair])
     names = number_words()
     spoken = F.array(*[F.lit(names.get(str(i))) for i in range(max(map(int, names)) + 1)])
 
     def word(piece: Column, i: Column) -> Column:
         plain = F.regexp_replace(piece, "^0+(?=.)", "")
-        return F.when(i % 2 == 0, piece).otherwise(F.coalesce(F.get(spoken, plain.try_cast("int")), plain))
+        number = F.get(spoken, plain.try_cast("int"))
+        return F.when(i % 2 == 0, piece).otherwise(F.coalesce(number, F.element_at(book, piece), plain))
 
     return F.array_join(F.transform(F.split(text, MARK), word), "")
 
@@ -244,7 +251,7 @@ class Vocabulary:
 
 def tokenize(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(text), "[.,;:!?\"'()\\[\\]{}—–\\-]", "")
-    return words(bare)
+    return F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
 
 
 def line_facts(lines: Column, vocab: Vocabulary, quote_sign: bool = True) -> Column:
@@ -296,13 +303,16 @@ def term_runs(df: DataFrame, text_col: str, keep: list[str], vocab: Vocabulary)
     Each word is tagged as term or plain, and one regex then reads the runs off the tagged text.
     """
 
-    def tag(tok: Column) -> Column:
-        bare = F.lower(F.regexp_replace(tok, f"[.,;:!?\"'()\\[\\]{{}}{SPACE_CLASS}]", ""))
-        hit = vocab.is_term(bare) | tok.rlike(vocab.letters)
-        return F.concat(F.when(hit, MARK).otherwise(PLAIN), tok)
+    def parts(tok: Column) -> Column:
+        bare = F.translate(F.lower(tok), ".,;:!?\"'()[]{} \t\n\r\x0b\x0c\xa0", "")
+        return F.struct(tok.alias("tok"), bare.alias("bare"))
+
+    def tag(x: Column) -> Column:
+        hit = vocab.is_term(x["bare"]) | x["tok"].rlike(vocab.letters)
+        return F.concat(F.when(hit, MARK).otherwise(PLAIN), x["tok"])
 
-    toks = F.split(F.col(text_col), f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
-    tagged = F.array_join(F.transform(toks, tag), "")
+    toks = F.split(F.col(text_col), r"(?U)(?<=\s)(?=\S)")
+    tagged = F.array_join(F.transform(F.transform(toks, parts), tag), "")
     run = f"(?:{MARK}[^{MARK}{PLAIN}]*){{2,}}"
     rows = df.select(*keep, F.posexplode(F.regexp_extract_all(tagged, F.lit(run), F.lit(0))).alias("run", "r"))
     phrase = F.replace("r", F.lit(MARK), F.lit(""))
