@@ -122,3 +122,27 @@ def test_ledger_with_refunds(spark):
         else:
             want[i] = ("refunded", left[user])
     assert {r.id: (r.decision, r.remaining) for r in got.collect()} == want
+
+
+def test_cascade_order_and_charges(spark):
+    from pyspark.sql import functions as F
+
+    from tomewright.operators import caches as C
+    from tomewright.plans.cascade import route_questions
+
+    rows = [
+        (0, 1, " Known FAQ ", None, 0.9), (1, 1, "old one", None, 0.9), (2, 1, "weak", None, 0.1), (3, 1, "cached weak", 5, 0.1),
+        (4, 1, "good", None, 0.9), (5, 1, "too many", None, 0.9), (6, 1, "known faq", None, 0.9), (7, 2, "old one", None, None),
+    ]
+    q = spark.createDataFrame(rows, "seq bigint, user_id bigint, question string, cached_id bigint, best double").withColumn("quota", F.lit(2))
+    faq = C.faq_index(spark.createDataFrame([(1, "Known faq")], "faq_id int, t string"), "t", "faq_id", ["faq_id"])
+    old = spark.createDataFrame([(1, "Old one", 1), (1, "old ONE ", 2)], "user_id bigint, t string, answer_id int")
+    history = C.history_index(old, "user_id", "t", "answer_id", ["answer_id"])
+    for ranges in (100, 2):
+        got = {r.seq: (r.route, r.charged) for r in route_questions(q, faq, history, rows_per_range=ranges).collect()}
+        assert got == {
+            0: ("faq", False), 1: ("exact", False), 2: ("no_match", False), 3: ("semantic", True), 4: ("answer", True),
+            5: ("refused", False), 6: ("faq", False), 7: ("no_match", False),
+        }
+    first = {r.seq: r.route for r in route_questions(q, faq, history, floor_first=True).collect()}
+    assert first[3] == "no_match" and first[5] == "answer"

@@ -175,10 +175,10 @@ def semantic_cache_lookup(spark, d):
     )
 
 
-def _passages(spark, d, k: int) -> DataFrame:
+def _passages(spark, d, k: int, text: str = "text") -> DataFrame:
     """Hits with their text: the wide text column joins after the top-k has been taken."""
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("vec_id"), F.col("source").alias("scripture"), "text"
+        F.col("doc_id").alias("vec_id"), F.col("source").alias("scripture"), F.expr(text).alias("text")
     )
     hits = _exact(spark, d, k).join(docs, "vec_id", "left").withColumn("chunk_id", F.col("vec_id"))
     return C.with_defaults(hits)
@@ -189,11 +189,12 @@ def context_assembly(spark, d):
         F.col("vec_id").alias("qid"),
         F.concat(F.lit("What is near vector "), F.col("vec_id").cast("string"), F.lit("?")).alias("question"),
     )
-    return C.assemble_context(_passages(spark, d, 10), questions)
+    used = f"substring(text, 1, {C.MAX_PASSAGE_CHARS})"  # the part of a passage that a context shows
+    return C.assemble_context(_passages(spark, d, 10, used), questions)
 
 
 def source_diversity(spark, d):
-    return C.source_diversity(_passages(spark, d, 10))
+    return C.source_diversity(_passages(spark, d, 10, "''"))
 
 
 def history_passages(spark, d):

@@ -48,23 +48,28 @@ def cache_stats(log: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _digest(key: Column) -> Column:
+    """Stands for a whole text in joins, so that no text is shuffled as a key."""
+    return F.sha2(key.cast("binary"), 256)
+
+
 def history_index(history: DataFrame, user: str, question: str, stamp: str, keep: list[str]) -> DataFrame:
     """Latest answer per (user, stored key); the stored key folds ASCII letters and blanks only."""
-    keyed = history.withColumn("__key", sqlite_key(F.col(question)))
+    keyed = history.withColumn("__key", _digest(sqlite_key(F.col(question))))
     return latest(keyed, [user, "__key"], F.col(stamp), keep)
 
 
 def exact_hits(requests: DataFrame, index: DataFrame, user: str, question: str) -> DataFrame:
     """Requests with the latest answer to the very same question of the same user, in any mode."""
-    return requests.withColumn("__key", norm_key(F.col(question))).join(index, [user, "__key"], "left").drop("__key")
+    return requests.withColumn("__key", _digest(norm_key(F.col(question)))).join(index, [user, "__key"], "left").drop("__key")
 
 
 def faq_index(faq: DataFrame, question: str, stamp: str, keep: list[str]) -> DataFrame:
-    return latest(faq.withColumn("__key", norm_key(F.col(question))), ["__key"], F.col(stamp), keep)
+    return latest(faq.withColumn("__key", _digest(norm_key(F.col(question)))), ["__key"], F.col(stamp), keep)
 
 
 def faq_hits(requests: DataFrame, index: DataFrame, question: str) -> DataFrame:
-    return requests.withColumn("__key", norm_key(F.col(question))).join(index, "__key", "left").drop("__key")
+    return requests.withColumn("__key", _digest(norm_key(F.col(question)))).join(index, "__key", "left").drop("__key")
 
 
 def keep_most_recent(entries: DataFrame, stamp: str, tie: str, n: int = CACHE_ENTRIES) -> DataFrame:

@@ -36,7 +36,7 @@ def nearest_cells(df: DataFrame, vec_col: str, centroids: DataFrame, n: int, cel
     if fetched.num_rows > room:
         raise ValueError("too many cells to send to every executor; train fewer")
     shared = df.sparkSession.sparkContext.broadcast(
-        (fetched["cell"].to_numpy(), _matrix(fetched["centroid"]))
+        (fetched["cell"].to_numpy(), _matrix(fetched["centroid"], np.float64))
     )
     schema = T.StructType([*df.schema.fields, T.StructField(cell_col, T.LongType())])
 
@@ -45,7 +45,7 @@ def nearest_cells(df: DataFrame, vec_col: str, centroids: DataFrame, n: int, cel
         for b in batches:
             if not b.num_rows:
                 continue
-            scores = _matrix(b[vec_col]) @ mat.T
+            scores = _matrix(b[vec_col], np.float64) @ mat.T
             near = np.argsort(-scores, axis=1, kind="stable")[:, :n]
             rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
             wide = b.take(rows)

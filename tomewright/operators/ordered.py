@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomewright.session import durable
+
 RANGE_ROWS = 500_000
 MAX_RANGES = 10_000
 
@@ -56,14 +58,21 @@ def running_sum(
     by: list[str] | None = None,
     before: bool = False,
     rows_per_range: int = RANGE_ROWS,
+    bounds: list | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows up to this one (``before``: excluding it).
 
     ``order[0]`` must be orderable by range; the remaining columns only break ties inside a range.
+    ``bounds`` may come from a cheaper table with the same order values. ``costly`` input that needs
+    more than one range is written out once, as totals and rows both read it.
     """
     by = by or []
-    bounds = range_bounds(df.select(*order), F.col(order[0]), rows_per_range)
+    if bounds is None:
+        bounds = range_bounds(df.select(*order), F.col(order[0]), rows_per_range)
     tagged = df.withColumn("__v", value).withColumn("__r", range_no(F.col(order[0]), bounds))
+    if costly and bounds:
+        tagged = durable(tagged)
     w = Window.partitionBy(*by, "__r").orderBy(*order)
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     local = tagged.withColumn("__w", F.coalesce(F.sum("__v").over(frame), F.lit(0)))

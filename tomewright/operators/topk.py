@@ -8,8 +8,9 @@ Two exact plans answer the same question:
   constant cell), and each cell is cut into vector blocks and query slabs of bounded size, so a cell
   holding a third of all rows becomes many equal tasks. Only k rows per query leave a tile.
 
-Neither plan materialises pairs. Scores are blocked matrix products; the few survivors of each block
-are scored again one pair at a time, so that equal vectors always get equal scores whatever the block.
+Neither plan materialises pairs. Blocks are scored by float32 matrix products; all rows that could be
+among the best, given the error bound of such a product, are scored again one pair at a time in double.
+Ranks are thus exact, and equal vectors always get equal scores whatever block they lie in.
 """
 
 from __future__ import annotations
@@ -25,16 +26,15 @@ RESIDENT_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
 SLAB_ROWS = 4_000
 TILE_CELLS = 2_000_000
-SLACK = 1e-9
 
 _HITS = "qid bigint, id bigint, prefer double, similarity double"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dtype=None) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat, dtype=np.float64).reshape(len(column), -1)
+    return np.ascontiguousarray(flat, dtype=dtype).reshape(len(column), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -52,10 +52,15 @@ class _Best:
         self.rows = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
 
     def offer(self, qidx, qvec, qids, ids, prefer, vec, skip_self: bool) -> None:
-        for lo in range(0, len(ids), max(1, TILE_CELLS // max(1, len(qidx)))):
-            hi = lo + max(1, TILE_CELLS // max(1, len(qidx)))
+        rough = qvec.astype(np.float32)
+        reach = 2 * (qvec.shape[1] + 4) * np.finfo(np.float32).eps * np.sqrt(np.einsum("ij,ij->i", qvec, qvec))
+        rows = max(1, TILE_CELLS // max(1, len(qidx)))
+        for lo in range(0, len(ids), rows):
+            hi = lo + rows
             part = vec[lo:hi]
-            scores = qvec @ part.T
+            scores = rough @ part.T
+            longest = np.sqrt(np.nanmax(np.einsum("ij,ij->i", part, part, dtype=np.float64)))
+            slack = reach * (longest if np.isfinite(longest) else 1.0)
             scores[np.isnan(scores)] = -np.inf
             if skip_self:
                 scores[qids[:, None] == ids[None, lo:hi]] = -np.inf
@@ -63,9 +68,9 @@ class _Best:
             if scores.shape[1] > self.k:
                 kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
                 bar = np.maximum(bar, kth)
-            q, c = np.nonzero((scores >= bar[:, None] - SLACK) & (scores > -np.inf))
+            q, c = np.nonzero((scores >= (bar - slack)[:, None]) & (scores > -np.inf))
             if len(q):
-                exact = np.einsum("ij,ij->i", qvec[q], part[c])
+                exact = np.einsum("ij,ij->i", qvec[q], part[c].astype(np.float64))
                 self._merge(qidx[q], ids[lo:hi][c], prefer[lo:hi][c], exact)
 
     def _merge(self, q, ids, prefer, score) -> None:
@@ -91,7 +96,7 @@ def _batch(best: _Best, qids: np.ndarray) -> pa.RecordBatch:
 
 
 def _resident(corpus: DataFrame, q: pa.Table, k: int, floor, skip_self: bool, normalize: bool) -> DataFrame:
-    qvec = _matrix(q["qvec"])
+    qvec = _matrix(q["qvec"], np.float64)
     payload = (
         q["qid"].to_numpy(),
         _unit(qvec) if normalize else qvec,
@@ -108,12 +113,13 @@ def _resident(corpus: DataFrame, q: pa.Table, k: int, floor, skip_self: bool, no
                 continue
             ids, prefer = b["id"].to_numpy(), b["prefer"].to_numpy()
             vec = _matrix(b["vec"])
-            cells = np.asarray(b["cell"].to_pylist(), dtype=object)
-            for cell in set(cells.tolist()):
+            cells = b["cell"].dictionary_encode()
+            code = cells.indices.to_numpy(zero_copy_only=False)
+            for i, cell in enumerate(cells.dictionary.to_pylist()):
                 qidx = by_cell.get(cell)
                 if qidx is None:
                     continue
-                rows = slice(None) if len(by_cell) == 1 and (cells == cell).all() else cells == cell
+                rows = slice(None) if len(cells.dictionary) == 1 and not cells.null_count else code == i
                 best.offer(qidx, qvec[qidx], qids[qidx], ids[rows], prefer[rows], vec[rows], skip_self)
         yield _batch(best, qids)
 
@@ -145,7 +151,7 @@ def _tiled(corpus: DataFrame, queries: DataFrame, k: int, floor, skip_self: bool
         qids = asked["qid"].to_numpy()
         best = _Best(len(qids), k, floor)
         if vectors.num_rows and asked.num_rows:
-            qvec = _matrix(asked["qvec"])
+            qvec = _matrix(asked["qvec"], np.float64)
             best.offer(
                 np.arange(len(qids)), _unit(qvec) if normalize else qvec, qids, vectors["id"].to_numpy(),
                 vectors["prefer"].to_numpy(), _matrix(vectors["vec"]), skip_self,

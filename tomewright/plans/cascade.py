@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright.operators import caches
 from tomewright.operators.context import RELEVANCE_FLOOR
+from tomewright.operators.ordered import RANGE_ROWS, range_bounds
 from tomewright.operators.stateful import quota_ledger
 
 
@@ -17,7 +18,7 @@ def route_questions(
     *,
     floor: float = RELEVANCE_FLOOR,
     floor_first: bool = False,
-    **kw,
+    rows_per_range: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add ``route`` (faq, exact, semantic, no_match, answer, refused) and ``charged``.
 
@@ -41,7 +42,10 @@ def route_questions(
     routed = q.withColumn("route", route).withColumn("kept", F.col("route").isin("semantic", "answer"))
     # An FAQ answer costs nothing and passes an empty quota, and it never counts as kept: the ledger may
     # see all rows at once.
-    settled = quota_ledger(routed, by=["user_id"], order=["seq"], quota="quota", kept="kept", **kw)
+    bounds = range_bounds(questions.select("seq"), F.col("seq"), rows_per_range)
+    settled = quota_ledger(
+        routed, by=["user_id"], order=["seq"], quota="quota", kept="kept", bounds=bounds, costly=True
+    )
     refused = (F.col("decision") == "refused") & (F.col("route") != "faq")
     return settled.select(
         *questions.columns,
