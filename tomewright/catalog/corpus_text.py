@@ -44,7 +44,7 @@ def _pages(spark, d):
 
 def clean_lines(spark, d):
     text = X.clean_text(F.col("text"), MARKERS)
-    return _docs(spark, d).select("doc_id", text.alias("text")).where(F.col("text") != "")
+    return _docs(spark, d).select("doc_id", S.once(text).alias("text")).where(F.col("text") != "")
 
 
 def keep_first_prefixed_line(spark, d):
@@ -264,7 +264,7 @@ def dim_lookup(spark, d):
 
 def keyword_score(spark, d):
     score = X.keyword_score("tion ", S.words(F.col("text")), F.col("text"), F.array("source"))
-    scored = _docs(spark, d).select("doc_id", F.explode(F.array(score)).alias("score"))  # scored once, then filtered
+    scored = _docs(spark, d).select("doc_id", S.once(score).alias("score"))
     return scored.where(F.col("score") > 0).orderBy(F.desc("score"), "doc_id")
 
 

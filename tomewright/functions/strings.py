@@ -20,6 +20,15 @@ WORDS_PER_MINUTE = 120.0
 MIN_SPOKEN_WORDS = 340
 
 
+def once(c: Column) -> Column:
+    """Select this instead of a costly column that a later filter tests.
+
+    Filters are pushed below projections and would work the column out a second time; they are not
+    pushed below a generator.
+    """
+    return F.explode(F.array(c))
+
+
 def py_strip(c: Column) -> Column:
     return F.btrim(c, F.lit(PY_SPACE))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions import fixed_values as fixed
-from tomewright.functions.strings import SPACE_CLASS, py_strip, replace_in_order, words
+from tomewright.functions.strings import SPACE_CLASS, once, py_strip, replace_in_order, words
 
 MARK, PLAIN = "\ue000", "\ue001"  # private-use characters, never part of real text
 
@@ -109,7 +109,7 @@ def conversation_blocks(
             F.col("block").cast("long").alias("block"),
             F.col("b.id").alias("conv_id"),
             F.when(F.col("block") == F.col("n_blocks") - 1, py_strip(title)).otherwise(title).alias("title"),
-            F.array_join(F.filter(lines(F.col("b.body")), wanted), "\n").alias("body"),
+            once(F.array_join(F.filter(lines(F.col("b.body")), wanted), "\n")).alias("body"),
         )
         .where(F.length("body") > min_chars)
     )

@@ -20,18 +20,23 @@ def latest(df: DataFrame, keys: list[str], order: Column, keep: list[str]) -> Da
     return df.groupBy(*keys).agg(F.max_by(F.struct(*keep), order).alias("__l")).select(*keys, "__l.*")
 
 
+def _hash(text: str) -> Column:
+    """Never null, so that joins add no null test that would work the digest out again."""
+    return F.coalesce(md5_key(F.col(text)), F.lit(""))
+
+
 def embedding_cache(log: DataFrame, text: str, stamp: str, keep: list[str]) -> DataFrame:
     """Cache table from a log of embedded texts: the last one written per normalised text."""
-    keyed = log.withColumn("query_hash", md5_key(F.col(text)))
+    keyed = log.where(F.col(text).isNotNull()).withColumn("query_hash", _hash(text))
     return latest(keyed, ["query_hash"], F.col(stamp), keep)
 
 
 def cache_hits(queries: DataFrame, cache: DataFrame, text: str) -> DataFrame:
-    return queries.withColumn("query_hash", md5_key(F.col(text))).join(cache, "query_hash")
+    return queries.withColumn("query_hash", _hash(text)).join(cache, "query_hash")
 
 
 def cache_misses(queries: DataFrame, cache: DataFrame, text: str) -> DataFrame:
-    return queries.withColumn("query_hash", md5_key(F.col(text))).join(cache, "query_hash", "left_anti")
+    return queries.withColumn("query_hash", _hash(text)).join(cache, "query_hash", "left_anti")
 
 
 def cache_stats(log: DataFrame, text: str) -> DataFrame:
@@ -50,12 +55,12 @@ def cache_stats(log: DataFrame, text: str) -> DataFrame:
 
 def _digest(key: Column) -> Column:
     """Stands for a whole text in joins, so that no text is shuffled as a key."""
-    return F.sha2(key.cast("binary"), 256)
+    return F.coalesce(F.sha2(key.cast("binary"), 256), F.lit(""))
 
 
 def history_index(history: DataFrame, user: str, question: str, stamp: str, keep: list[str]) -> DataFrame:
     """Latest answer per (user, stored key); the stored key folds ASCII letters and blanks only."""
-    keyed = history.withColumn("__key", _digest(sqlite_key(F.col(question))))
+    keyed = history.where(F.col(question).isNotNull()).withColumn("__key", _digest(sqlite_key(F.col(question))))
     return latest(keyed, [user, "__key"], F.col(stamp), keep)
 
 
@@ -65,7 +70,7 @@ def exact_hits(requests: DataFrame, index: DataFrame, user: str, question: str)
 
 
 def faq_index(faq: DataFrame, question: str, stamp: str, keep: list[str]) -> DataFrame:
-    return latest(faq.withColumn("__key", _digest(norm_key(F.col(question)))), ["__key"], F.col(stamp), keep)
+    return latest(faq.where(F.col(question).isNotNull()).withColumn("__key", _digest(norm_key(F.col(question)))), ["__key"], F.col(stamp), keep)
 
 
 def faq_hits(requests: DataFrame, index: DataFrame, question: str) -> DataFrame:

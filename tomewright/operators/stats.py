@@ -21,10 +21,9 @@ CLIP_GAP_MS = 500
 
 def corpus_stats(docs: DataFrame, book: str, text: str) -> DataFrame:
     """Files, characters of the joined book, tokens and embedding cost per book; books with text only."""
-    chars = F.sum(F.length(text)) + BOOK_SEPARATOR * (F.count(F.lit(1)) - 1)
-    per = docs.where(F.length(text) > 0).groupBy(book).agg(
-        F.count(F.lit(1)).alias("n_files"), chars.cast("long").alias("n_chars")
-    )
+    some = F.count_if(F.length(text) > 0)
+    chars = F.sum(F.length(text)) + BOOK_SEPARATOR * (some - 1)
+    per = docs.groupBy(book).agg(some.alias("n_files"), chars.cast("long").alias("n_chars")).where(F.col("n_files") > 0)
     tokens = F.floor(F.col("n_chars") / CHARS_PER_TOKEN).cast("long")
     return per.withColumn("tokens", tokens).withColumn("cost_usd", embed_cost(F.col("tokens")))
 

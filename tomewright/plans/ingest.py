@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.functions.fixed_values import PAGE_MARKERS_B
+from tomewright.functions.strings import once
 from tomewright.functions.text import clean_text
 from tomewright.functions.vectors import l2_normalize
 from tomewright.operators import inverted_file as ivf
@@ -18,8 +19,9 @@ from tomewright.sources.files import read_books
 
 
 def clean_books(spark: SparkSession, root: str, markers: list[str] = PAGE_MARKERS_B) -> DataFrame:
-    docs = read_books(spark, root).withColumn("text", clean_text(F.col("text"), markers))
-    return docs.where(F.col("text") != "")
+    docs = read_books(spark, root)
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(*others, once(clean_text(F.col("text"), markers)).alias("text")).where(F.col("text") != "")
 
 
 def build_index(
