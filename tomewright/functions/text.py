@@ -167,27 +167,28 @@ def spoken_references(text: Column) -> Column:
         return lead + "".join(f", {part} {MARK}${i}{MARK}" for i, part in enumerate(parts, 2))
 
     def any_of(names) -> str:
-        return "(" + "|".join(names) + ")"
+        firsts = "".join(sorted({n[0] for n in names}))
+        return f"(?=[{firsts}])\\b({'|'.join(names)})"  # the first letters rule most places out at once
 
     code = f"{MARK}$1{MARK}"
     for pattern, by in [
-        (rf"(?U)\b{any_of(fixed.SPOKEN_CANTO_BOOKS)}{three}\b", said(code, "canto", "chapter", "verse")),
-        (rf"(?U)\b{any_of(fixed.SPOKEN_BOOKS)}{two}\b", said(code, "chapter", "verse")),
-        (rf"(?U){any_of(fixed.SPOKEN_NAMES)},?{two}", said("$1", "chapter", "verse")),
-        (rf"(?U){any_of(fixed.SPOKEN_CANTO_NAMES)},?{three}", said("$1", "canto", "chapter", "verse")),
+        (rf"(?U){any_of(fixed.SPOKEN_CANTO_BOOKS)}{three}\b", said(code, "canto", "chapter", "verse")),
+        (rf"(?U){any_of(fixed.SPOKEN_BOOKS)}{two}\b", said(code, "chapter", "verse")),
+        (rf"(?U)({'|'.join(fixed.SPOKEN_NAMES)}),?{two}", said("$1", "chapter", "verse")),
+        (rf"(?U)({'|'.join(fixed.SPOKEN_CANTO_NAMES)}),?{three}", said("$1", "canto", "chapter", "verse")),
     ]:
         text = F.regexp_replace(text, pattern, by)
-    books = {**fixed.SPOKEN_BOOKS, **fixed.SPOKEN_CANTO_BOOKS}
-    book = F.create_map(*[F.lit(x) for pair in books.items() for x in pair])
-    names = number_words()
-    spoken = F.array(*[F.lit(names.get(str(i))) for i in range(max(map(int, names)) + 1)])
+    names = {**number_words(), **fixed.SPOKEN_BOOKS, **fixed.SPOKEN_CANTO_BOOKS}
+    spoken = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
-    def word(piece: Column, i: Column) -> Column:
-        plain = F.regexp_replace(piece, "^0+(?=.)", "")
-        number = F.get(spoken, plain.try_cast("int"))
-        return F.when(i % 2 == 0, piece).otherwise(F.coalesce(number, F.element_at(book, piece), plain))
+    def plain(piece: Column) -> Column:
+        return F.when(piece.startswith("0"), F.regexp_replace(piece, "^0+(?=.)", "")).otherwise(piece)
 
-    return F.array_join(F.transform(F.split(text, MARK), word), "")
+    def word(piece: Column) -> Column:
+        return F.coalesce(F.element_at(spoken, piece), piece)
+
+    pieces = F.transform(F.split(text, MARK), lambda p, i: F.when(i % 2 == 0, p).otherwise(plain(p)))
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(word(p))), "")
 
 
 def replace_terms(text: Column, terms: dict[str, str]) -> Column:
