@@ -53,14 +53,16 @@ def run(spark, rows, k, resident, **kw):
     ],
 )
 def test_both_plans_equal_brute_force(spark, monkeypatch, resident, kw, model):
-    monkeypatch.setattr(T, "BLOCK_ROWS", 30)
-    monkeypatch.setattr(T, "SLAB_ROWS", 25)
+    monkeypatch.setattr(T, "BLOCK_BYTES", 30 * 4 * 8)
+    monkeypatch.setattr(T, "SLAB_BYTES", 25 * 8 * 8)
+    monkeypatch.setattr(T, "POOL_QUERIES", 64)
+    monkeypatch.setattr(T, "TILE_CELLS", 2000)
     rows = make()
     assert run(spark, rows, 6, resident, **kw) == brute(rows, 6, **model)
 
 
 def test_hot_cell_is_cut_into_bounded_tiles(spark, monkeypatch):
-    monkeypatch.setattr(T, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(T, "BLOCK_BYTES", 20 * 4 * 8)
     rows = make(300)
     df = spark.createDataFrame(rows, SCHEMA)
     asked = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
@@ -111,3 +113,9 @@ def test_normalise_zero_vector(spark):
 def test_blob_round_trip(spark):
     df = spark.createDataFrame([(0, [1.5, -2.25])], "id int, v array<float>")
     assert df.select(V.decode_f32(V.encode_f32("v")).alias("v")).first().v == [1.5, -2.25]
+
+
+def test_no_queries_give_no_hits(spark):
+    df = spark.createDataFrame(make(20), SCHEMA)
+    asked = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")).where("qid < 0")
+    assert T.similarity_topk(df, asked, 3).count() == 0

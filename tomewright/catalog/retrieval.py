@@ -10,6 +10,7 @@ from tomewright.functions import vectors as V
 from tomewright.operators import context as C
 from tomewright.operators import inverted_file as IVF
 from tomewright.operators.topk import overlap_at_k, overlap_verdict, postfilter, similarity_topk
+from tomewright.plans.cascade import search_distinct
 
 K = 5
 FLOOR = 0.35  # the fixture has no pair near the default floors
@@ -149,11 +150,13 @@ def _search_log(spark, d):
 
 def dedup_search(spark, d):
     """Repeated queries are searched once and the answer is handed to every repetition."""
-    log = _search_log(spark, d)
-    distinct = log.select("qid").distinct()
-    asked = _asked(spark, d).join(distinct, "qid", "left_semi")
-    hits = similarity_topk(_vectors(spark, d), asked, 3, skip_self=True)
-    return _rounded(log.join(hits, "qid")).select("event_id", "qid", "rank", "vec_id", "similarity")
+    vectors, asked = _vectors(spark, d), _asked(spark, d)
+
+    def search(distinct: DataFrame) -> DataFrame:
+        return similarity_topk(vectors, asked.join(distinct, "qid", "left_semi"), 3, skip_self=True)
+
+    hits = search_distinct(_search_log(spark, d), ["qid"], search)
+    return _rounded(hits).select("event_id", "qid", "rank", "vec_id", "similarity")
 
 
 def _mode(label: str):

@@ -34,6 +34,15 @@ def reset_quota(users: DataFrame, resets: DataFrame, on: str, text: int = TEXT_Q
     )
 
 
+def quota_gate(requests: DataFrame, users: DataFrame, user: str, mode: str) -> DataFrame:
+    """Add ``remaining`` and ``used`` units of the request's mode; an unknown user has none left."""
+    left = users.select(user, F.col("text_quota").alias("__t"), F.col("voice_quota").alias("__v"))
+    text = F.col(mode) == "text"
+    remaining = F.coalesce(F.when(text, F.col("__t")).otherwise(F.col("__v")), F.lit(0))
+    full = F.when(text, TEXT_QUOTA).otherwise(VOICE_QUOTA)
+    return requests.join(left, user, "left").withColumns({"remaining": remaining, "used": full - remaining}).drop("__t", "__v")
+
+
 def history_page(history: DataFrame, user: str, stamp: str, tie: str, limit: int, offset: int) -> DataFrame:
     """One page per user, newest first, with the user's total.
 

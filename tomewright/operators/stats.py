@@ -109,3 +109,19 @@ def prefix_until(clips: DataFrame, key: str, duration_ms: str, target_ms: int, s
         ordered, F.col(duration_ms) + CLIP_GAP_MS, ["place", key], "before_ms", before=True, **kw
     )
     return summed.where(F.col("before_ms") < target_ms).drop("place")
+
+
+# Recommended span of joined training audio, in hours.
+MIN_HOURS, MAX_HOURS = 2.0, 3.5
+
+
+def selection_summary(clips: DataFrame, duration_ms: str) -> DataFrame:
+    """Clips taken, hours with the gaps between them, and whether that is too short or too long."""
+    hours = (F.coalesce(F.sum(duration_ms), F.lit(0)) + CLIP_GAP_MS * F.greatest(F.count(F.lit(1)) - 1, F.lit(0))) / 3_600_000.0
+    verdict = F.when(hours < MIN_HOURS, "short").when(hours > MAX_HOURS, "long").otherwise("ok")
+    return clips.agg(F.count(F.lit(1)).alias("n_clips"), hours.alias("hours"), verdict.alias("verdict"))
+
+
+def recent_entries(log: DataFrame, stamp: str, n: int = 5) -> DataFrame:
+    """The last ``n`` entries of a log, newest first."""
+    return log.orderBy(F.col(stamp).desc()).limit(n)

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESIDENT_BYTES = 64 << 20
-BLOCK_ROWS = 20_000
-SLAB_ROWS = 4_000
+BLOCK_BYTES = 128 << 20
+SLAB_BYTES = 64 << 20
+POOL_QUERIES = 1024
 TILE_CELLS = 2_000_000
 
 _HITS = "qid bigint, id bigint, prefer double, similarity double"
@@ -34,7 +35,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype=None) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat, dtype=dtype).reshape(len(column), -1)
+    return np.ascontiguousarray(flat, dtype=dtype).reshape(len(column), -1 if len(column) else 0)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -43,52 +44,63 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (query row, id, prefer, score) seen so far for each query row."""
+    """The k best (query row, id, prefer, score) seen so far for each query row, pooled by 1024 queries."""
 
     def __init__(self, n_queries: int, k: int, floor: float | None):
         self.k = k
         self.floor = floor
         self.bar = np.full(n_queries, -np.inf if floor is None else floor)
-        self.rows = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
+        self.pools = [list(empty) for _ in range(-(-n_queries // POOL_QUERIES))]
+
+    def rows(self) -> list[np.ndarray]:
+        return [np.concatenate(col) for col in zip(*self.pools, strict=True)] if self.pools else []
 
     def offer(self, qidx, qvec, qids, ids, prefer, vec, skip_self: bool) -> None:
-        rough = qvec.astype(np.float32)
-        reach = 2 * (qvec.shape[1] + 4) * np.finfo(np.float32).eps * np.sqrt(np.einsum("ij,ij->i", qvec, qvec))
-        rows = max(1, TILE_CELLS // max(1, len(qidx)))
-        for lo in range(0, len(ids), rows):
-            hi = lo + rows
-            part = vec[lo:hi]
-            scores = rough @ part.T
-            longest = np.sqrt(np.nanmax(np.einsum("ij,ij->i", part, part, dtype=np.float64)))
-            slack = reach * (longest if np.isfinite(longest) else 1.0)
-            scores[np.isnan(scores)] = -np.inf
-            if skip_self:
-                scores[qids[:, None] == ids[None, lo:hi]] = -np.inf
-            bar = self.bar[qidx]
-            if scores.shape[1] > self.k:
-                kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
-                bar = np.maximum(bar, kth)
-            q, c = np.nonzero((scores >= (bar - slack)[:, None]) & (scores > -np.inf))
-            if len(q):
-                exact = np.einsum("ij,ij->i", qvec[q], part[c].astype(np.float64))
-                self._merge(qidx[q], ids[lo:hi][c], prefer[lo:hi][c], exact)
-
-    def _merge(self, q, ids, prefer, score) -> None:
+        """Show vectors to the queries ``qidx`` (ascending); ``qvec`` and ``qids`` belong to all queries."""
+        if not len(ids):
+            return
+        longest = np.sqrt(np.nanmax(np.einsum("ij,ij->i", vec, vec, dtype=np.float64)))
+        reach = 2 * (qvec.shape[1] + 4) * np.finfo(np.float32).eps * (longest if np.isfinite(longest) else 1.0)
+        edges = np.searchsorted(qidx, np.arange(0, len(self.bar) + POOL_QUERIES, POOL_QUERIES))
+        for pool in range(len(self.pools)):
+            part = qidx[edges[pool] : edges[pool + 1]]
+            if not len(part):
+                continue
+            asked = qvec[part]
+            rough = asked.astype(np.float32)
+            slack = reach * np.sqrt(np.einsum("ij,ij->i", asked, asked))
+            rows = max(1, TILE_CELLS // len(part))
+            for lo in range(0, len(ids), rows):
+                tile = vec[lo : lo + rows]
+                scores = rough @ tile.T
+                scores[np.isnan(scores)] = -np.inf
+                if skip_self:
+                    scores[qids[part][:, None] == ids[None, lo : lo + rows]] = -np.inf
+                bar = self.bar[part]
+                if scores.shape[1] > self.k:
+                    kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+                    bar = np.maximum(bar, kth)
+                q, c = np.nonzero((scores >= (bar - slack)[:, None]) & (scores > -np.inf))
+                if len(q):
+                    exact = np.einsum("ij,ij->i", asked[q], tile[c].astype(np.float64))
+                    self._merge(pool, part[q], ids[lo + c], prefer[lo + c], exact)
+
+    def _merge(self, pool: int, q, ids, prefer, score) -> None:
         if self.floor is not None:
             keep = score >= self.floor
             q, ids, prefer, score = q[keep], ids[keep], prefer[keep], score[keep]
-        new = [np.concatenate(p) for p in zip(self.rows, (q, ids, prefer, score), strict=True)]
+        new = [np.concatenate(p) for p in zip(self.pools[pool], (q, ids, prefer, score), strict=True)]
         order = np.lexsort((new[1], -new[2], -new[3], new[0]))
         new = [col[order] for col in new]
-        first = np.searchsorted(new[0], new[0], side="left")
-        rank = np.arange(len(new[0])) - first
+        rank = np.arange(len(new[0])) - np.searchsorted(new[0], new[0], side="left")
         last = rank == self.k - 1
         self.bar[new[0][last]] = np.maximum(self.bar[new[0][last]], new[3][last])
-        self.rows = [col[rank < self.k] for col in new]
+        self.pools[pool] = [col[rank < self.k] for col in new]
 
 
 def _batch(best: _Best, qids: np.ndarray) -> pa.RecordBatch:
-    q, ids, prefer, score = best.rows
+    q, ids, prefer, score = best.rows() or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
     return pa.RecordBatch.from_arrays(
         [pa.array(qids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(prefer), pa.array(score)],
         ["qid", "id", "prefer", "similarity"],
@@ -120,15 +132,18 @@ def _resident(corpus: DataFrame, q: pa.Table, k: int, floor, skip_self: bool, no
                 if qidx is None:
                     continue
                 rows = slice(None) if len(cells.dictionary) == 1 and not cells.null_count else code == i
-                best.offer(qidx, qvec[qidx], qids[qidx], ids[rows], prefer[rows], vec[rows], skip_self)
+                best.offer(qidx, qvec, qids, ids[rows], prefer[rows], vec[rows], skip_self)
         yield _batch(best, qids)
 
     return corpus.mapInArrow(scan, _HITS)
 
 
-def _tiled(corpus: DataFrame, queries: DataFrame, k: int, floor, skip_self: bool, normalize: bool) -> DataFrame:
-    blocks = corpus.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("n_block"))
-    slabs = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLAB_ROWS).alias("n_slab"))
+def _tiled(
+    corpus: DataFrame, queries: DataFrame, dim: int, k: int, floor, skip_self: bool, normalize: bool
+) -> DataFrame:
+    block_rows, slab_rows = max(1, BLOCK_BYTES // (4 * dim)), max(1, SLAB_BYTES // (8 * dim))
+    blocks = corpus.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_block"))
+    slabs = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / slab_rows).alias("n_slab"))
     grid = blocks.join(slabs, "cell")
 
     def span(n: str):
@@ -195,12 +210,13 @@ def similarity_topk(
         F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("qvec"), q_cell.alias("cell")
     )
     head = asked.select(F.size("qvec").alias("d")).head()
-    room = resident_bytes // (8 * max(1, head["d"])) if head else 0
-    fetched = asked.limit(room + 1).toArrow() if head and resident_bytes else None
+    dim = max(1, head["d"]) if head else 1
+    room = resident_bytes // (8 * dim)
+    fetched = asked.limit(room + 1).toArrow() if room else None
     if fetched is not None and fetched.num_rows <= room:
         hits = _resident(vectors, fetched, k, floor, skip_self, normalize)
     else:
-        hits = _tiled(vectors, asked, k, floor, skip_self, normalize)
+        hits = _tiled(vectors, asked, dim, k, floor, skip_self, normalize)
     best_first = Window.partitionBy("qid").orderBy(
         F.col("similarity").desc(), F.col("prefer").desc(), F.col("id")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,11 @@ def route_questions(
         F.when(refused, "refused").otherwise(F.col("route")).alias("route"),
         ((F.col("decision") == "charged") & ~refused).alias("charged"),
     )
+
+
+def search_distinct(log: DataFrame, on: list[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Search each distinct request once and hand its rows to every repetition.
+
+    ``search`` maps the distinct ``on`` columns to result rows that carry them.
+    """
+    return log.join(search(log.select(*on).distinct()), on)
