@@ -7,7 +7,7 @@ from tomewright.operators import ordered as O
 from tomewright.operators import stats as S
 
 
-@pytest.mark.parametrize("rows_per_range", [10_000, 37])
+@pytest.mark.parametrize("rows_per_range", [10_000, 37, 5])
 @pytest.mark.parametrize("by", [None, ["g"]])
 @pytest.mark.parametrize("before", [False, True])
 def test_running_sum_equals_plain_loop(spark, rows_per_range, by, before):
@@ -52,3 +52,10 @@ def test_budget_flags_low_rest(spark):
     got = {r.n: r for r in S.running_budget(df, "n", "t", "paid").collect()}
     assert got[2].cost_usd == round(1250 / 1e6 * 0.12, 4) == 0.0001
     assert got[3].total_usd == 9.5001 and got[3].low and not got[2].low
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 66, 127, 128, 500])
+def test_range_number_is_the_count_of_cuts_passed(spark, n):
+    cuts = [3 * i for i in range(n)]
+    rows = spark.range(-2, 3 * n + 3).select("id", O.range_no(F.col("id"), cuts).alias("r")).collect()
+    assert all(r.r == sum(c <= r.id for c in cuts) for r in rows)

@@ -45,8 +45,18 @@ def range_no(order: Column, bounds: list) -> Column:
 
     if len(bounds) <= 64:
         return pick(0, len(bounds))
-    fine = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(fine, lambda b: b <= order))
+    cuts = F.array(*[F.lit(b) for b in bounds])
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        left = order < F.get(cuts, mid)
+        return F.when(s["lo"] >= s["hi"], s).otherwise(
+            F.struct(F.when(left, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi"))
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(steps, whole, halve, lambda s: s["lo"])
 
 
 def running_sum(
