@@ -59,7 +59,9 @@ def nearest_cells(df: DataFrame, vec_col: str, centroids: DataFrame, n: int, cel
 def probe_topk(members: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, n_probe: int, **kw) -> DataFrame:
     """Top-k among the vectors of each query's ``n_probe`` nearest cells.
 
-    ``members`` carries a ``cell`` column; stored partitioned by it, unprobed cells are not read.
+    ``members`` carries a ``cell`` column. Only probed cells are read: their numbers, at most one per
+    centroid, become a filter on ``cell``, which prunes folders of a stored index.
     """
     probes = nearest_cells(queries, "qvec", centroids, n_probe, "probe")
-    return similarity_topk(members, probes, k, cell=("cell", "probe"), **kw)
+    probed = [r["probe"] for r in probes.select("probe").distinct().collect()]
+    return similarity_topk(members.where(F.col("cell").isin(probed)), probes, k, cell=("cell", "probe"), **kw)

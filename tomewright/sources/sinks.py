@@ -59,12 +59,15 @@ def append_waitlist(rows: DataFrame, path: str) -> None:
 def write_index(members: DataFrame, centroids: DataFrame, path: str) -> None:
     """Inverted file: ``centroids`` and ``vectors`` in one folder per cell, for partition pruning.
 
-    Rows spread by (cell, slice of id), so that a cell with very many vectors is written by many tasks.
+    A cell is cut into slices of about ``FILE_ROWS`` rows by its count, so that a small cell is one file
+    and one with very many vectors is written by many tasks.
     """
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    spread = members.repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    slices = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("__n"))
+    spread = members.join(slices, "cell").withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.col("__n")))
     (
-        spread.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("cell").parquet(f"{path}/vectors")
+        spread.repartition("cell", "__s").drop("__n", "__s").write.mode("overwrite")
+        .option("maxRecordsPerFile", FILE_ROWS).partitionBy("cell").parquet(f"{path}/vectors")
     )
 
 
