@@ -4,11 +4,12 @@ import pytest
 from oracle import compare, duck
 
 import __spark_entry__ as entry
+from tomewright.catalog import registry
 
 con = None
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, data, name):
     global con
     con = con or duck(data)
@@ -17,7 +18,7 @@ def test_query(spark, data, name):
 
 
 def test_only_inexpressible_queries_lack_sql():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(registry.QUERIES) - set(registry.SQL)
     assert missing == {"vector_topk_ivf", "ivf_train", "embed_chunks", "verse_cards"}
 
 
