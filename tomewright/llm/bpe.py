@@ -51,8 +51,8 @@ class WordBpe:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.letters = byte_letters()
-        # Split tokens by whether they end a word; lengths that occur bound the search for last tokens.
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
@@ -129,7 +129,7 @@ class WordBpe:
             tokens.append(states[at])
             at -= len(states[at])
         tokens.reverse()
-        return b"".join(self.vocab[t].to_bytes(4, "little") for t in tokens), " ".join(tokens)
+        return b"".join([self.id_bytes[t] for t in tokens]), " ".join(tokens)
 
     def cut_words(self, text: str) -> list[str]:
         """Words in order; special tokens of the vocabulary stay whole and are marked by a leading NUL pair."""
