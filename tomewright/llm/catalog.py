@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tomewright.llm import bpe, secret_scan, url_filter
+from tomewright.llm import bpe, decontaminate, quality, secret_scan, url_filter
 from tomewright.llm.common import table
 
 #: (host, path, verdict) rules of the URL query.
@@ -24,6 +25,22 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_template_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op3_quality_votes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = quality.train(docs, table(spark, d, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op4_bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"), word_vocabulary())
 
@@ -37,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-_QUERIES = {f.__name__: f for f in (op4_bpe_encode, op8_url_filter, op10_secret_scan)}
+_QUERIES = {f.__name__: f for f in (op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op8_url_filter, op10_secret_scan)}
 
 _SQL: dict[str, str] = {}
 
