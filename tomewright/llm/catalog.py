@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import bpe, decontaminate, quality, secret_scan, url_filter
+from tomewright.llm import bpe, decontaminate, ngram_join, quality, secret_scan, url_filter
 from tomewright.llm.common import table
 
 #: (host, path, verdict) rules of the URL query.
@@ -25,6 +25,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, d, "documents"))
+
+
 def op2_template_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -54,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-_QUERIES = {f.__name__: f for f in (op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op8_url_filter, op10_secret_scan)}
+_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op8_url_filter, op10_secret_scan)}
 
 _SQL: dict[str, str] = {}
 

@@ -28,3 +28,39 @@ def stored(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)
+
+
+def runs(batches, column: int = 0):
+    """Record batches sorted by a 64-bit column, regrouped into one table per value of that column."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.Table] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        table_ = pa.Table.from_batches([batch])
+        for start, end in zip([0, *cuts], [*cuts, len(keys)]):
+            if held and keys[start] != current:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            current = keys[start]
+            held.append(table_.slice(start, end - start))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def block_keys(member, size, block_rows: int):
+    """Pairs of chunks (i <= j) a member of a group of ``size`` rows meets the others in, as an array column.
+
+    A group is dealt by hash into chunks of about ``block_rows`` rows; every pair of chunks is a block of
+    its own, so a group with most rows becomes many tasks of bounded size. A group of one chunk is one block.
+    """
+    n = F.ceil(size / F.lit(block_rows)).cast("int")
+    chunk = F.pmod(F.xxhash64(member, F.lit(17)), n).cast("int")
+    return chunk, F.transform(
+        F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j"))
+    )
