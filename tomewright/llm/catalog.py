@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import ann, bpe, decontaminate, html_extract, ngram_join, quality, secret_scan, url_filter
+from tomewright.llm import ann, bpe, decontaminate, html_extract, license_scan, ngram_join, quality, secret_scan, url_filter
 from tomewright.llm.common import table
 
 #: (host, path, verdict) rules of the URL query.
@@ -53,6 +53,10 @@ def op6_multi_index_hashing(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_license_dice(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, d, "documents"), license_scan.template_frame(spark, license_scan.TEMPLATES))
+
+
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, d, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -66,9 +70,11 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op6_multi_index_hashing, op8_url_filter, op9_template_extraction, op10_secret_scan)}
+_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan)}
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    "op7_license_dice": license_scan.scan_sql(license_scan.TEMPLATES),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

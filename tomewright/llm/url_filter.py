@@ -88,10 +88,11 @@ def best_rule(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    r = rules.select(
+    # Written first, so that Spark knows how small it is and which side to broadcast.
+    r = stored(rules.select(
         F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("rule_verdict"),
         F.concat("host", "path").alias("rule"),
-    )
+    ))
     fitting = (
         nodes.where("host != ''")
         .select("node", "path", F.explode(suffixes).alias("r_host"))
