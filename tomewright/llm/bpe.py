@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -182,28 +183,27 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", with_
     """Token ids of every whole text and digests of ids and decoded text, one row per row of ``docs``.
 
     ``vocabulary`` is a path every executor can open. A null text counts as empty: no tokens, and the
-    digests of nothing. ``with_ids`` adds ``ids array<int>`` and ``decoded string``. Repeated rows give
+    digests of nothing. ``with_ids`` adds ``ids array<int>``. Repeated rows give
     repeated results; other columns are ignored. Nothing is shuffled.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
-            n, ids_sha, text_sha, ids_out, decoded = [], [], [], [], []
+            n, ids_sha, text_sha, every = [], [], [], []
             texts = [v or "" for v in batch.column(1).to_pylist()]
             for ids, back in bpe.encode(texts):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
                 if with_ids:
-                    numbers = memoryview(ids).cast("I").tolist()
-                    ids_out.append(numbers)
-                    decoded.append(bpe.decode(numbers))
+                    every.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
+                ends = pa.array([0, *accumulate(n)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(every))])))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", text).mapInArrow(encode, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
+    return docs.select("doc_id", text).mapInArrow(encode, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm import ann, bpe, decontaminate, html_extract, license_scan, ngram_join, quality, secret_scan, url_filter
-from tomewright.llm.common import table
+from tomewright.llm.common import table, word_vocabulary
 
 #: (host, path, verdict) rules of the URL query.
 URL_RULES = [
@@ -19,12 +20,6 @@ URL_RULES = [
 ]
 
 
-def word_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, d, "documents"))
 
@@ -70,7 +65,11 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan)}
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
+
+
+_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan, pipeline)}
 
 _SQL: dict[str, str] = {
     "op7_license_dice": license_scan.scan_sql(license_scan.TEMPLATES),

@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """Path of the public word BPE vocabulary, a parameter of the encoder."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared checkpoint folder and read back.
 
