@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import ann, bpe, decontaminate, html_extract, license_scan, ngram_join, quality, secret_scan, url_filter
+from tomewright.llm import ann, bpe, decontaminate, html_extract, license_scan, ngram_join, quality, repeated_strings, secret_scan, url_filter
 from tomewright.llm.common import table, word_vocabulary
 
 #: (host, path, verdict) rules of the URL query.
@@ -44,6 +44,10 @@ def op4_bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"), word_vocabulary())
 
 
+def op5_repeated_strings(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_strings.remove_repeats(table(spark, d, "documents"))
+
+
 def op6_multi_index_hashing(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
 
-_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan, pipeline)}
+_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op5_repeated_strings, op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan, pipeline)}
 
 _SQL: dict[str, str] = {
     "op7_license_dice": license_scan.scan_sql(license_scan.TEMPLATES),
