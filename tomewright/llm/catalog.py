@@ -73,10 +73,18 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
 
-_QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op5_repeated_strings, op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan, pipeline)}
+_QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op5_repeated_strings,
+        op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan, pipeline,
+    )
+}
 
 _SQL: dict[str, str] = {
+    "op1_ngram_jaccard": ngram_join.jaccard_sql(),
     "op7_license_dice": license_scan.scan_sql(license_scan.TEMPLATES),
+    "op8_url_filter": url_filter.judge_sql(URL_RULES),
 }
 
 

@@ -271,3 +271,24 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     classes = jaccard_classes(docs, **how)
     drop = classes.where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+
+def jaccard_sql(n: int = 5) -> str:
+    """The same in DuckDB for the threshold 0.8: pairs by shared n-grams, classes by a recursive query."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+             ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) END AS grams
+      FROM w WHERE len(w) > 0),
+sets AS (SELECT grams, min(doc_id) AS rep, count(*) AS n_copies, len(grams) AS size FROM g GROUP BY grams),
+post AS (SELECT rep, size, unnest(grams) AS gram FROM sets),
+met AS (SELECT a.rep AS a, b.rep AS b, a.size AS sa, b.size AS sb, count(*) AS common
+        FROM post a JOIN post b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 5 * common >= 4 * (sa + sb - common)),
+reach(node, root) AS (SELECT a, a FROM links UNION SELECT b, root FROM reach JOIN links ON a = node),
+classes AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, s.rep, d.doc_id) AS class_id, coalesce(k.n_links, 0)::BIGINT AS n_links, coalesce(s.n_copies, 1)::BIGINT AS n_copies
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN sets s ON s.grams = g.grams
+LEFT JOIN classes c ON c.node = s.rep LEFT JOIN counts k ON k.a = s.rep
+"""

@@ -45,7 +45,7 @@ def window_entropy_spans(run: str, window: int, hex_bits: float, mixed_bits: flo
     """
     if len(run) < window:
         return []
-    nlog = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    nlog = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
     counts: dict[str, int] = {}
     total, outside, found = 0.0, 0, []
     log_w = math.log2(window)

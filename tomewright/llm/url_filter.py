@@ -135,3 +135,45 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = Non
         asked.join(ruled, "node", "left").join(inherited, "node", "left")
         .select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "class_verdict", F.lit("allow")).alias("verdict"))
     )
+
+
+def judge_sql(rules: list[tuple[str, str, str]]) -> str:
+    """The same in DuckDB: every rule against every address, classes by a recursive query."""
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    host = f"coalesce(translate(regexp_extract({{0}}, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}'), '')"
+    path = "coalesce(regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+    node = f"{host} || {path} || regexp_extract({{0}}, '^[^?#]*(\\?[^#]*)', 1, 's')"
+    q = {k: v.replace("'", "\\x27") for k, v in {"hidden": HIDDEN, "tag": CANONICAL_TAG, "meta": REFRESH_TAG, "href": HREF, "url": REFRESH_URL}.items()}
+    href = " || ".join(f"regexp_extract(x, '{q['href']}', {g})" for g in (1, 2, 3))
+    absolute = """CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+                  WHEN t LIKE '//%' THEN 'http:' || t
+                  WHEN t LIKE '/%' THEN origin || t
+                  WHEN t LIKE '?%' THEN origin || path || t
+                  ELSE origin || (CASE WHEN folder = '' THEN '/' ELSE folder END) || t END"""
+    return f"""
+WITH RECURSIVE rules(host, path, verdict) AS (VALUES {values}),
+shown AS (SELECT url, regexp_replace(html, '{q['hidden']}', '', 'g') AS html FROM pages
+          WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|http-equiv')),
+raw AS (SELECT url, unnest(list_concat(
+            list_transform(regexp_extract_all(html, '{q['tag']}'), lambda x: {href}),
+            list_transform(regexp_extract_all(html, '{q['meta']}'), lambda x: regexp_extract(x, '{q['url']}', 1)))) AS t FROM shown),
+parts AS (SELECT url, replace(trim(t), '&amp;', '&') AS t, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin,
+                 {path.format('url')} AS path, regexp_extract(url, '^.*?://[^/?#]*((?:[^?#]*/)?)', 1, 's') AS folder
+          FROM raw WHERE trim(t) <> ''),
+edges AS (SELECT DISTINCT url, target FROM (SELECT url, {absolute} AS target FROM parts) WHERE contains(target, '://')),
+urls AS (SELECT url FROM pages WHERE contains(url, '://') UNION SELECT url FROM edges UNION SELECT target FROM edges),
+nodes AS (SELECT DISTINCT {node.format('url')} AS node, {host.format('url')} AS host, {path.format('url')} AS path FROM urls),
+ruled AS (SELECT node, r.host || r.path AS rule, r.verdict FROM nodes n JOIN rules r
+          ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+          QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(r.host || r.path) DESC, r.verdict, r.host || r.path DESC) = 1),
+links AS (SELECT {node.format('url')} AS a, {node.format('target')} AS b FROM edges),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, root) AS (SELECT a, a FROM sym UNION SELECT b, root FROM reach JOIN sym ON a = node),
+classes AS (SELECT node, min(root) AS class FROM reach GROUP BY node),
+decided AS (SELECT class, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+            FROM classes JOIN ruled USING (node) GROUP BY class),
+asked AS (SELECT page_id, {host.format('url')} AS host, {path.format('url')} AS path,
+                 CASE WHEN contains(url, '://') THEN {node.format('url')} END AS node FROM pages)
+SELECT page_id, asked.host, asked.path, rule, coalesce(ruled.verdict, decided.verdict, 'allow') AS verdict
+FROM asked LEFT JOIN ruled USING (node) LEFT JOIN classes USING (node) LEFT JOIN decided USING (class)
+"""
