@@ -13,6 +13,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tomewright.llm.common import small_batches
+
 #: Unicode white space as the vocabulary's own pattern engine sees it (fixed value).
 SPACE = r"\t-\r \x85\xa0  -     　"
 END = "</w>"
@@ -206,4 +208,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", with_
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", text).mapInArrow(encode, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs.select("doc_id", text)).mapInArrow(encode, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -21,6 +21,19 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``df``, after lowering the session's rows per Arrow batch to ``rows``.
+
+    Rows hold whole texts, so Spark's default of 10,000 of them takes tens of megabytes in the JVM and again
+    in each Python worker. Batches are cut when a query runs, so the setting stays lowered.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if not 0 < now <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared checkpoint folder and read back.
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomewright.llm.common import small_batches
+
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 # Spelled numbers and units of measure that count as placeholders.
@@ -183,7 +185,7 @@ def template_windows(rows: DataFrame, key: str, text: str, size: int, concrete:
                     out = []
             yield _rows(out)
 
-    return rows.select(key, text).mapInArrow(make, WINDOW_SCHEMA)
+    return small_batches(rows.select(key, text)).mapInArrow(make, WINDOW_SCHEMA)
 
 
 def _filter_bitmap(items: DataFrame, key: str, text: str, size: int, concrete: int) -> np.ndarray:

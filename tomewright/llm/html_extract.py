@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import stored
+from tomewright.llm.common import small_batches, stored
 from tomewright.llm.url_filter import url_host
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -187,7 +187,7 @@ def occurrence_counts(pages: DataFrame) -> DataFrame:
                 names=["host", "token", "parent", "pages", "low", "high"],
             )
 
-    sums = pages.select("host", "html").mapInArrow(count, COUNTS)
+    sums = small_batches(pages.select("host", "html")).mapInArrow(count, COUNTS)
     return sums.groupBy("host", "token").agg(
         F.min("parent").alias("parent"), F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high")
     )

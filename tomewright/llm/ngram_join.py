@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import block_keys, runs, stored
+from tomewright.llm.common import block_keys, runs, small_batches, stored
 from tomewright.llm.components import connected_components
 
 #: Pairs whose sketches agree in fewer than this share of positions are not compared by text. With 80
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, n: int, trees: int, levels: int, depth: int, tex
                 names=["doc_id", "key", "prefixes", "sketch"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(make, SIGNATURES)
+    return small_batches(docs.select("doc_id", text)).mapInArrow(make, SIGNATURES)
 
 
 def _local_roots(linked: np.ndarray) -> np.ndarray:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomewright.llm.common import small_batches
+
 WORDS, SHAPES = 960, 63
 TERMS = WORDS + SHAPES + 1  # the last term counts words that repeat the one before
 SCHEMA = "doc_id bigint, score double"
@@ -153,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     )
     # At most ``sample`` small rows, whatever the size of the input: safe to broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("label", "text")
-    got = rows.mapInArrow(_counted, "label int, counts binary").toArrow()
+    got = small_batches(rows).mapInArrow(_counted, "label int, counts binary").toArrow()
     counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float32).reshape(-1, TERMS)
     y = got.column("label").to_numpy().astype(np.float64)
     order = np.lexsort((*counts.T[:8], y))  # independent of the order in which tasks answer
@@ -185,7 +187,7 @@ def score_documents(docs: DataFrame, model: NeighbourModel, text: str = "text")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), codes))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", text).mapInArrow(score, SCHEMA)
+    return small_batches(docs.select("doc_id", text)).mapInArrow(score, SCHEMA)
 
 
 def keep_quality(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -197,4 +199,4 @@ def keep_quality(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3,
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(place), codes) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import block_keys, runs, stored
+from tomewright.llm.common import block_keys, runs, small_batches, stored
 
 #: Bytes of an anchor: every string of the length sought holds one, chosen by its content alone.
 ANCHOR = 40
@@ -112,7 +112,7 @@ def occurrences(docs: DataFrame, text: str, length: int) -> DataFrame:
             if parts:
                 yield _packed(parts)
 
-    return docs.select(text).mapInArrow(find, OCCURRENCES)
+    return small_batches(docs.select(text)).mapInArrow(find, OCCURRENCES)
 
 
 def _packed(parts: list[tuple]) -> pa.RecordBatch:

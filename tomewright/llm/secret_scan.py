@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tomewright.llm.common import small_batches
+
 # The credential patterns of the contract, in the order in which kinds are listed.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -136,7 +138,7 @@ def scan_secrets(
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "starts", "ends", "kinds"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(scan, SCHEMA)
+    return small_batches(docs.select("doc_id", text)).mapInArrow(scan, SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]", **how) -> DataFrame:
@@ -168,4 +170,4 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]",
             new = pa.array([clean(v.as_py()) for v in batch.column(place)], batch.column(place).type)
             yield batch.set_column(place, batch.schema.field(place), new)
 
-    return docs.mapInArrow(redact, docs.schema)
+    return small_batches(docs).mapInArrow(redact, docs.schema)
