@@ -214,10 +214,10 @@ def find_leaks(
     """(doc_id, item_id, n_windows, n_item_windows, n_slots, exact) of every document that holds a benchmark item.
 
     Windows of ``size`` words are joined on their template; ``concrete`` words at least must not be
-    placeholders. A joined pair counts where the slots are consistent: equal benchmark values stand for
-    equal document values and different ones for different ones. A document leaks an item if ``enough``
-    different windows of the item are found so (all of them where the item has fewer). ``exact`` says that
-    no slot differs. Items and documents with fewer than ``size`` words and null texts have no windows; a
+    placeholders. A stretch of joined windows counts where its slots are consistent: equal benchmark values
+    stand for equal document values and different ones for different ones. A document leaks an item if a
+    stretch has ``enough`` different windows of the item (all of them where the item has fewer). ``n_slots``
+    counts the placeholders of the stretch, ``exact`` says that one has no other values than the item. Items and documents with fewer than ``size`` words and null texts have no windows; a
     row without an id is never reported. Repeated rows count once; extra columns are ignored.
 
     Every document sees a bitmap of fixed size, so only windows that may match leave the tasks; both
@@ -229,20 +229,25 @@ def find_leaks(
     items = item_windows.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots")).distinct()
     totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"))
     held = template_windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", text, size, concrete, bits)
-    pairs = F.arrays_zip("item_slots", "slots")
-    n_pairs = F.size(F.array_distinct(pairs))
-    return (
+    # Windows on one diagonal are one stretch of the item. Its slots are put together from all its windows
+    # (an item's own length bounds them), and one value on one side must stand for one on the other.
+    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
+    stretches = (
         held.join(items, "template")
-        .where((n_pairs == F.size(F.array_distinct("item_slots"))) & (n_pairs == F.size(F.array_distinct("slots"))))
+        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+        .agg(F.countDistinct("item_pos").alias("n_windows"), pairs.alias("pairs"))
+        .withColumn("n_slots", F.size("pairs").cast("bigint"))
+        .where((F.size(F.array_distinct("pairs.item_slots")) == F.col("n_slots")) & (F.size(F.array_distinct("pairs.slots")) == F.col("n_slots")))
+        .withColumn("exact", F.forall("pairs", lambda p: p["item_slots"] == p["slots"]))
+    )
+    return (
+        stretches.join(totals, "item_id")
+        .where(F.col("n_windows") >= F.least(F.lit(enough), F.col("n_item_windows")))
         .groupBy("doc_id", "item_id")
         .agg(
-            F.countDistinct("item_pos").alias("n_windows"),
-            F.max(F.size("slots")).cast("long").alias("n_slots"),
-            F.min(F.expr("slots = item_slots")).alias("exact"),
+            F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
+            F.min("n_slots").alias("n_slots"), F.max("exact").alias("exact"),
         )
-        .join(totals, "item_id")
-        .where(F.col("n_windows") >= F.least(F.lit(enough), F.col("n_item_windows")))
-        .select("doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "exact")
     )
 
 
