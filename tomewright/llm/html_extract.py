@@ -196,8 +196,8 @@ def occurrence_counts(pages: DataFrame) -> DataFrame:
 def host_templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
     """(host, n_pages, tokens): tokens on at least ``share`` of a host's pages with their equivalence class.
 
-    Tokens with the same occurrence vector are a class. A class is kept if it has two tokens or is that of
-    the page itself. At most ``1 / share`` times the tokens of an average page remain for each host.
+    Tokens with the same occurrence vector are a class. At most ``1 / share`` times the tokens of an average
+    page remain for each host, whatever the number of its pages.
     """
     counts = occurrence_counts(pages)
     root = F.col("token") == ROOT
@@ -206,8 +206,7 @@ def host_templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
     frequent = common.join(whole, "host").where(F.col("pages") >= F.col("n_pages") * share)
     sized = frequent.groupBy("host", "low", "high").agg(F.first("n_pages").alias("n_pages"), F.collect_list(F.struct("token", "parent")).alias("tokens"))
     return (
-        sized.where(F.size("tokens") > 1)
-        .groupBy("host")
+        sized.groupBy("host")
         .agg(F.max("n_pages").alias("n_pages"), F.collect_list("tokens").alias("classes"))
     )
 
