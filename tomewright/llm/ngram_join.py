@@ -234,7 +234,7 @@ def jaccard_classes(
     near = sketched.repartition("block").sortWithinPartitions("block").mapInArrow(_trie_links(trees, levels, depth), "a string, b string")
     clusters = stored(connected_components(near))
 
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = stored(clusters.groupBy("component").agg(F.count("*").alias("size")))
     chunk, blocks = block_keys(F.col("key"), F.col("size"), block_rows)
     members = (
         clusters.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")

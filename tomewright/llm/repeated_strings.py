@@ -305,7 +305,8 @@ def _cut(length: int):
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, block_rows: int = 8_192) -> DataFrame:
     """(tid, lo, hi): byte spans of texts that are covered by strings of ``length`` bytes starting elsewhere too."""
     spark = docs.sparkSession
-    counts = occurrences(docs, text, length).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join below has plain exchanges on both sides and a frequent anchor can be split.
+    counts = stored(occurrences(docs, text, length).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     again = stored(occurrences(docs, text, length).join(counts, "anchor"))
     classes = stored(again.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("tid", "place")).alias("rep")))
     # Segments that occur twice as a whole: all their strings do.
@@ -314,7 +315,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, block
         (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255) - 1 + length).alias("hi"),
     )
     # Others share an anchor but not all bytes: one of each kind meets the rest of its anchor.
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 AND least = 1")
+    mixed = stored(classes.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 AND least = 1"))
     wanted = classes.join(mixed, "anchor").groupBy("rep.tid").agg(
         F.collect_list(F.struct("anchor", "seg", "rep.place", "n", "size")).alias("wanted")
     )
