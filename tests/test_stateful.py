@@ -54,36 +54,44 @@ def breaker_model(rows, failures, window, recovery):
     return out
 
 
-def decide(spark, rows, step, ranges):
+def decide(spark, rows, machine):
     df = spark.createDataFrame(rows, "id bigint, user bigint, at bigint, failed boolean").repartition(5)
-    got = ST.keyed_decisions(df, step, key="user", at="at", id_col="id", flag="failed", rows_per_range=ranges)
+    got = ST.keyed_decisions(df, machine, key="user", at="at", id_col="id", flag="failed")
     return {r.id: r.decision for r in got.collect()}
 
 
-@pytest.mark.parametrize("ranges", [10_000, 120])
-def test_limiter_equals_model(spark, ranges):
+def test_limiter_equals_model(spark):
     rows = events(1)
-    got = decide(spark, rows, ST.Limiter(5, 60).step, ranges)
+    got = decide(spark, rows, ST.Limiter(5, 60))
     assert got == limiter_model(rows, 5, 60)
     assert Counter(got.values())["rejected"] > 50
 
 
-@pytest.mark.parametrize("ranges", [10_000, 120])
-def test_breaker_equals_model(spark, ranges):
+def test_breaker_equals_model(spark):
     rows = events(2)
-    got = decide(spark, rows, ST.Breaker(3, 60, 300).step, ranges)
+    got = decide(spark, rows, ST.Breaker(3, 60, 300))
     assert got == breaker_model(rows, 3, 60, 300)
     assert {"blocked", "opened", "closed_success", "failure"} <= set(got.values())
 
 
 def test_never_more_than_the_limit_in_any_window(spark):
     rows = events(5, 400, 500)
-    got = decide(spark, rows, ST.Limiter(4, 30).step, 90)
+    got = decide(spark, rows, ST.Limiter(4, 30))
     for user in {r[1] for r in rows}:
         at = sorted(r[2] for r in rows if r[1] == user and got[r[0]] == "accepted")
         assert all(b - a > 30 * S for a, b in zip(at, at[4:], strict=False))
 
 
+@pytest.mark.parametrize("pause", [1, 20, 61, 301, 5_000])
+def test_pieces_of_a_busy_and_a_quiet_key(spark, pause):
+    """One key overloaded throughout, bursts with pauses of every kind, and a row without a key."""
+    rows = [(i, 1, i * S // 3, i % 2 == 0) for i in range(900)]
+    rows += [(1000 + i, 2, (i // 4) * pause * S + i % 4, i % 5 != 0) for i in range(400)]
+    assert decide(spark, rows, ST.Limiter(3, 60)) == limiter_model(rows, 3, 60)
+    assert decide(spark, rows, ST.Breaker(3, 60, 300)) == breaker_model(rows, 3, 60, 300)
+    assert set(decide(spark, [(1, None, 0, True), (2, None, 1, True)], ST.Limiter(1, 60)).values()) == {"accepted", "rejected"}
+
+
 def test_window_edges():
     step = ST.Limiter(1, 60).step
     log, _ = step([], 0, False)

@@ -226,12 +226,12 @@ def quota_ledger(spark, d):
 
 
 def rate_limit(spark, d):
-    return ST.keyed_decisions(_events(spark, d), ST.Limiter(*LIMIT).step, key="user_id", at="at", id_col="event_id")
+    return ST.keyed_decisions(_events(spark, d), ST.Limiter(*LIMIT), key="user_id", at="at", id_col="event_id")
 
 
 def circuit_breaker(spark, d):
     return ST.keyed_decisions(
-        _events(spark, d), ST.Breaker(*BREAK).step, key="user_id", at="at", id_col="event_id", flag="failed"
+        _events(spark, d), ST.Breaker(*BREAK), key="user_id", at="at", id_col="event_id", flag="failed"
     )
 
 

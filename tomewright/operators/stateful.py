@@ -1,21 +1,26 @@
 """Order-dependent decisions per key: sliding-window limiter and circuit breaker.
 
-The rules live in two small step classes that the batch form below and the streaming form share. The
-batch form reads sorted partitions as a stream and keeps only the state of the current key. A key of
-any size is cut into time ranges that run in parallel: every range starts from a guessed state, and
-ranges whose guess turns out wrong run again until no range changes. The result is exact, and since
-both states forget the past quickly, a few rounds settle it.
+The rules live in two small step classes that the batch form below and the streaming form share. Both
+forget: behind a pause longer than their memory nothing of the past counts but whether a breaker was open.
+So the batch form cuts each key where a whole stretch of that length holds no event and folds the pieces
+in parallel, one streamed pass each, keeping only the state of the current piece. Where a breaker was open
+at the end of a piece, the first decision of the next one says that it closed again.
+
+Pieces are found from the distinct stretches of time that a key is active in, which are counted before
+they are shuffled. A key with most rows is many pieces unless it never pauses; then it is one sorted
+stream in constant memory, as its decisions depend on each other throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomewright.operators.ordered import RANGE_ROWS, range_bounds, range_no, running_sum
+from tomewright.operators.ordered import running_sum
 from tomewright.session import durable
 
 MICROS = 1_000_000
@@ -30,6 +35,11 @@ class Limiter:
 
     def __init__(self, limit: int = RATE_LIMIT, window_s: float = RATE_WINDOW_S):
         self.limit, self.window = limit, int(window_s * MICROS)
+        self.memory = self.window
+
+    @staticmethod
+    def is_open(log: list[int]) -> bool:
+        return False
 
     def step(self, log: list[int], at: int, flag: bool) -> tuple[list[int], str]:
         log = [t for t in log if at - t <= self.window]
@@ -49,6 +59,11 @@ class Breaker:
     ):
         self.failures = failures
         self.window, self.recovery = int(window_s * MICROS), int(recovery_s * MICROS)
+        self.memory = max(self.window, self.recovery)
+
+    @staticmethod
+    def is_open(state: list[int]) -> bool:
+        return bool(state) and state[0] >= 0
 
     def step(self, state: list[int], at: int, flag: bool) -> tuple[list[int], str]:
         opened, recent = (state[0], state[1:]) if state else (-1, [])
@@ -69,86 +84,70 @@ class Breaker:
 Step = Callable[[list[int], int, bool], tuple[list[int], str]]
 
 
+class Machine(Protocol):
+    """A step rule with the time after which it has forgotten everything but whether it was open."""
+
+    memory: int
+
+    def step(self, state: list[int], at: int, flag: bool) -> tuple[list[int], str]: ...
+
+    def is_open(self, state: list[int]) -> bool: ...
+
+
 def epoch_micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
 
 
-def _walk(step: Step, ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Fold sorted rows; give either one decision per row or the last state per (key, range)."""
+_FOLDED = "k string, piece bigint, at bigint, id bigint, decision string, first boolean, open boolean"
+
+
+def _walk(machine: Machine):
+    """Fold sorted rows of (key, piece): a decision for each, and whether the machine is open behind it."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, []
         for b in batches:
-            cols = [b[c].to_pylist() for c in ("k", "r", "at", "id", "flag", "start")]
-            out_id, out, done = [], [], []
-            for k, r, at, i, flag, start in zip(*cols, strict=True):
-                if (k, r) != current:
-                    if current is not None and not ids:
-                        done.append((*current, state))
-                    current, state = (k, r), list(start or [])
-                state, decision = step(state, at, flag)
-                if ids:
-                    out_id.append(i)
-                    out.append(decision)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, pa.string())], ["id", "decision"])
-            elif done:
-                yield _states(done)
-        if current is not None and not ids:
-            yield _states([(*current, state)])
-
-    def _states(rows) -> pa.RecordBatch:
-        k, r, s = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(k, pa.string()), pa.array(r, pa.int32()), pa.array(s, pa.list_(pa.int64()))], ["k", "r", "state"]
-        )
+            decisions, firsts, opens = [], [], []
+            for k, piece, at, flag in zip(*(b[c].to_pylist() for c in ("k", "piece", "at", "flag")), strict=True):
+                firsts.append((k, piece) != current)
+                if firsts[-1]:
+                    current, state = (k, piece), []
+                state, decision = machine.step(state, at, flag)
+                decisions.append(decision)
+                opens.append(machine.is_open(state))
+            columns = [b["k"], b["piece"], b["at"], b["id"], pa.array(decisions, pa.string()), pa.array(firsts, pa.bool_()), pa.array(opens, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "piece", "at", "id", "decision", "first", "open"])
 
     return fold
 
 
-def keyed_decisions(
-    df: DataFrame, step: Step, *, key: str, at: str, id_col: str, flag: str | None = None, rows_per_range: int = RANGE_ROWS
-) -> DataFrame:
+def keyed_decisions(df: DataFrame, machine: Machine, *, key: str, at: str, id_col: str, flag: str | None = None) -> DataFrame:
     """``(id, decision)`` for every row, taken in order of (``at``, ``id``) inside each key.
 
     ``at`` is in microseconds; ``flag`` marks failures.
     """
-    bounds = range_bounds(df.select(at), F.col(at), rows_per_range)
     rows = df.select(
-        F.col(key).cast("string").alias("k"),
-        range_no(F.col(at), bounds).alias("r"),
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("k"),
         F.col(at).cast("long").alias("at"),
         F.col(id_col).cast("long").alias("id"),
         (F.col(flag) if flag else F.lit(False)).alias("flag"),
+    ).withColumn("stretch", F.expr(f"at div {machine.memory + 1}"))
+    # An empty stretch between two active ones is a pause longer than the memory.
+    by_time = Window.partitionBy("k").orderBy("stretch")
+    active = rows.select("k", "stretch").distinct()
+    paused = F.coalesce((F.col("stretch") - F.lag("stretch").over(by_time) > 1).cast("long"), F.lit(0))
+    pieces = active.withColumn("paused", paused).withColumn("piece", F.sum("paused").over(by_time)).drop("paused")
+    placed = rows.join(pieces, ["k", "stretch"])
+    ordered = placed.select("k", "piece", "at", "id", "flag").repartition("k", "piece").sortWithinPartitions("k", "piece", "at", "id")
+    folded = durable(ordered.mapInArrow(_walk(machine), _FOLDED))
+    ends = folded.groupBy("k", "piece").agg(F.max_by("open", F.struct("at", "id")).alias("open"))
+    was_open = ends.select("k", (F.col("piece") + 1).alias("piece"), F.col("open").alias("was_open"))
+    reopened = F.col("first") & F.coalesce("was_open", F.lit(False))
+    return folded.join(was_open, ["k", "piece"], "left").select(
+        F.col("id").alias(id_col), F.when(reopened, F.concat(F.lit("closed_"), "decision")).otherwise(F.col("decision")).alias("decision")
     )
 
-    def run(part: DataFrame, ids: bool) -> DataFrame:
-        schema = "id bigint, decision string" if ids else "k string, r int, state array<bigint>"
-        ordered = part.repartition("k", "r").sortWithinPartitions("k", "r", "at", "id")
-        return ordered.mapInArrow(_walk(step, ids), schema)
-
-    empty = F.array().cast("array<bigint>")
-    if not bounds:
-        starts = None
-    else:
-        states = durable(run(rows.withColumn("start", empty), False))
-        before = Window.partitionBy("k").orderBy("r")
-        used = states.select("k", "r", empty.alias("start"))
-        while True:
-            given = states.select("k", "r", F.coalesce(F.lag("state").over(before), empty).alias("start"))
-            stale = given.join(used.withColumnRenamed("start", "was"), ["k", "r"]).where("start <> was").drop("was")
-            stale = durable(stale)
-            starts, used = given, given
-            if stale.isEmpty():
-                break
-            fresh = run(rows.join(stale, ["k", "r"]), False).withColumnRenamed("state", "new")
-            states = durable(
-                states.join(fresh, ["k", "r"], "left").select("k", "r", F.coalesce("new", "state").alias("state"))
-            )
-    seeded = rows.withColumn("start", empty) if starts is None else rows.join(starts, ["k", "r"])
-    return run(seeded, True).withColumnRenamed("id", id_col)
-
 
 def quota_ledger(requests: DataFrame, *, by: list[str], order: list[str], quota: str, kept: str, **kw) -> DataFrame:
     """Charge, refund or refuse requests of each user in order.
