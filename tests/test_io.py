@@ -137,7 +137,7 @@ def test_streams_decide_like_batches(spark, tmp_path):
 
     rows = events(9, 300, 2000)
     stream = _stream(spark, tmp_path, rows)
-    kw = {"key": "user_id", "ts": "ts", "id_col": "event_id", "flag": "failed"}
+    kw = {"key": "user_id", "ts": "ts", "id_col": "event_id", "flag": "failed", "delay": "1 hour"}
     got = _drain(spark, keyed.decide_stream(stream, ST.Limiter(3, 60).step, idle_s=120, **kw), tmp_path, "lim")
     assert {r.id: r.decision for r in got.collect()} == limiter_model(rows, 3, 60)
     got = _drain(spark, keyed.decide_stream(stream, ST.Breaker(2, 60, 300).step, **kw), tmp_path, "brk")

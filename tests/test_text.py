@@ -45,7 +45,7 @@ def test_conversation_blocks(spark):
     body = "word " * 30
     text = f"=== X\nSource: s\n{body}\n750401mw.may\n—\nTitle one\n{body}\n  750402MW.MAY  \nlast line\n{body}\n750403rc.may\nshort"
     df = spark.createDataFrame([(1975, "may", text)], "year int, month string, text string")
-    got = sorted(X.conversation_blocks(df).collect(), key=lambda r: r.block)
+    got = sorted(X.conversation_blocks(df, skip_patterns=["==="]).collect(), key=lambda r: r.block)
     assert [r.conv_id for r in got] == ["1975_may_main", "750401mw.may", "750402MW.MAY"]
     assert got[1].title.startswith("Title one word") and "750402MW.MAY" in got[1].title
     assert got[0].body == body.strip() and got[1].body.startswith("—\nTitle one\n")
@@ -157,8 +157,7 @@ def test_html(spark):
     assert one(spark, page, H.page_title(F.col("t"))) == "A & B" and one(spark, "x", H.page_title(F.col("t"))) == "Unknown"
     want = "A & B\nDear\nx\n,\nMary's"
     assert one(spark, page, H.content_text(F.col("t"))) == want
-    assert one(spark, page, H.content_text_parsed(F.col("t"))) == want
-    links = H.link_rows(df, [], href="[^\"]*/letter-to-[^\"]*").collect()
+    links = H.link_rows(df, [], href=".*/letter-to-.*").collect()
     assert [(r.link, r.title) for r in links] == [("https://h.org/en/letter-to-mary-ann/", "Mary's")]
     assert one(spark, links[0].link, H.slug_title(F.col("t"))) == "Mary Ann"
     assert one(spark, "sent July 12th, 1947 or 3 May 1950", H.date_text(F.col("t"))) == "July 12th, 1947"
@@ -169,6 +168,45 @@ def test_html(spark):
     assert tuple(got) == ("1973-07-07", "los angeles", "01-05", 2048.0)
 
 
+@pytest.mark.parametrize("ref,want", [
+    ("&eacute;&#8217;&#x1F642;", "é’🙂"), ("&amp;lt;", "&lt;"), ("&unknown; & &amp", "&unknown; & &amp"), ("&#150;&#0;&#xD800;", "–\ufffd\ufffd"),
+    ("&NotEqualTilde;", "≂̸"), ("plain", "plain"), ("&Eacute;&nbsp;", "É\xa0"), (None, None), ("", ""),
+])
+def test_references(spark, ref, want):
+    assert one(spark, ref, H.unescape(F.col("t"))) == want
+
+
+def test_links_of_every_form(spark):
+    page = (
+        "<a href='/one'>1</a><a data-href=\"/no\" href=\"/two?a=1&amp;b=2\">2</a><A HREF=three.html>3</A><a title=\"x href='/no'\" href='//o.org/4'>4</a>"
+        "<a name=x>none</a><abbr href='/no'>n</abbr><a href='http://p.org/5#f'>&eacute;</a><a href='/audio/file.name.mp3'> <img></a><a href='/index.php?q=m&m=1'>p</a>"
+    )
+    df = spark.createDataFrame([("https://h.org/d/p.html?q", page)], "url string, html string")
+    got = [(r.link, r.title) for r in H.link_rows(df, [], skip=["index.php?q=m"], title_from_target=True).orderBy("pos").collect()]
+    assert got == [
+        ("https://h.org/one", "1"), ("https://h.org/two?a=1&b=2", "2"), ("https://h.org/d/three.html", "3"), ("https://o.org/4", "4"),
+        ("http://p.org/5#f", "é"), ("https://h.org/audio/file.name.mp3", "file.name"),
+    ]
+
+
+def test_nested_boilerplate(spark):
+    page = "a<nav>b<nav>c</nav>d</nav>e<header class=\"x>y\">f</header></footer>g<script>'<nav>'</script>h<aside><p>i</aside>j < k<navy>l</navy>\x00m"
+    assert one(spark, page, H.content_text(F.col("t"))) == "a\ne\ng\nh\nj < k\nl\n\x00m"
+    assert one(spark, None, H.content_text(F.col("t"))) is None and one(spark, "", H.content_text(F.col("t"))) == ""
+
+
+def test_marks_in_the_text_itself(spark):
+    text = "icon \ue000 then BG 2.20 end \ue001\ue002"
+    assert one(spark, text, X.spoken_references(F.col("t"))) == "icon \ue000 then Bhagavad Geeta, chapter two, verse twenty end \ue001\ue002"
+    df = spark.createDataFrame([("krishna rama \ue000 then hare \ue001krishna \ue002",)], "t string")
+    assert [r.phrase for r in X.term_runs(df, "t", [], X.Vocabulary()).collect()] == ["krishna rama "]
+
+
+def test_source_lines(spark):
+    for line, want in [("Srila someone said", True), ("— Bhagavad", True), ("—Srimad", True), ("SB 1.2", True), ("Sri", True), ("the BG", False), ("Bhakti", False)]:
+        assert one(spark, line, F.col("t").rlike(X.Vocabulary().reference)) is want, line
+
+
 def test_first_page_keeps_its_own_repeats(spark):
     rows = [("a", 2, 0), ("a", 1, 0), ("a", 1, 3), ("b", 2, 1)]
     df = spark.createDataFrame(rows, "link string, page_id bigint, pos bigint")

@@ -246,7 +246,7 @@ def lru_keep_n(spark, d):
 
 def outcome_rates(spark, d):
     return S.outcome_rates(
-        table(spark, d, "events"), "user_id", "event_type", ["view", "click", "purchase", "error"], ["click", "purchase"]
+        table(spark, d, "events"), "user_id", "event_type", ["view", "click", "purchase", "error", "signup"], ["click", "purchase"]
     )
 
 
@@ -395,7 +395,7 @@ SELECT event_id, decision FROM s WHERE rn > 0""",
 SELECT user_id, event_id FROM l ORDER BY ts DESC, event_id DESC LIMIT 100""",
     "outcome_rates": f"""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS n_view,
   count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase,
-  count(*) FILTER (event_type = 'error') AS n_error,
+  count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'signup') AS n_signup,
   count(*) FILTER (event_type IN ('click', 'purchase')) * 100.0::DOUBLE / count(*) AS rate FROM events GROUP BY user_id)
-SELECT user_id, n_view, n_click, n_purchase, n_error, {_py_round('rate', 1)} AS success_pct FROM r""",
+SELECT user_id, n_view, n_click, n_purchase, n_error, n_signup, {_py_round('rate', 1)} AS success_pct FROM r""",
 }

@@ -144,19 +144,26 @@ def recall_summary(spark, d):
 
 
 def _search_log(spark, d):
-    """Every event is one search; its user id picks the query vector, its type the number of rows."""
-    return table(spark, d, "events").select("event_id", F.col("user_id").alias("qid"))
+    """Every event is one search: its user picks the query vector, its type the number of rows, its hour a filter."""
+    wanted = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
+    only = F.when(F.hour("ts") < 12, F.col("user_id") % 10)
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("qid"), wanted.alias("k"), F.coalesce(only, F.lit(-1)).cast("int").alias("within"))
 
 
 def dedup_search(spark, d):
-    """Repeated queries are searched once and the answer is handed to every repetition."""
+    """Searches that repeat query, number of rows and label filter are made once, for all who asked."""
     vectors, asked = _vectors(spark, d), _asked(spark, d)
 
     def search(distinct: DataFrame) -> DataFrame:
-        return similarity_topk(vectors, asked.join(distinct, "qid", "left_semi"), 3, skip_self=True)
+        own = asked.drop("label")
+        free = similarity_topk(vectors, own.join(distinct.where("within < 0"), "qid", "left_semi"), 3, skip_self=True).withColumn("within", F.lit(-1))
+        bound = own.join(distinct.where("within >= 0").select("qid", "within").distinct(), "qid")
+        within = similarity_topk(vectors, bound, 3, cell=("label", "within"), skip_self=True)
+        hits = free.unionByName(within.join(bound.select("qid", "within"), "qid"), allowMissingColumns=True)
+        return distinct.join(hits, ["qid", "within"]).where("rank <= k")
 
-    hits = search_distinct(_search_log(spark, d), ["qid"], search)
-    return _rounded(hits).select("event_id", "qid", "rank", "vec_id", "similarity")
+    hits = search_distinct(_search_log(spark, d), ["qid", "k", "within"], search)
+    return _rounded(hits).select("event_id", "qid", "k", "within", "rank", "vec_id", "similarity")
 
 
 def _mode(label: str):
@@ -271,9 +278,12 @@ SELECT vec_id, round(sqrt(list_inner_product(v, v)), 4) AS norm_in,
   round(list_sum(list_transform(w, lambda x, i: x * i)), 3) AS weighted FROM u""",
     "vector_profile": """SELECT label, count(*) AS n_vectors, min(len(embedding)) AS min_dim,
   max(len(embedding)) AS max_dim, sum(len(embedding) * 4)::BIGINT AS float32_bytes FROM embeddings GROUP BY label""",
-    "dedup_search": f"""WITH {RANKED}
-SELECT event_id, qid, rnk AS rank, vec_id, round(sim, 6) AS similarity
-FROM events JOIN ranked ON user_id = qid WHERE rnk <= 3""",
+    "dedup_search": f"""WITH {ALL_PAIRS}, asked AS (
+  SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS k,
+    CASE WHEN hour(ts) < 12 THEN user_id % 10 ELSE -1 END::INTEGER AS within FROM events), hits AS (
+  SELECT a.*, p.vec_id, sim, row_number() OVER (PARTITION BY event_id ORDER BY sim DESC, p.vec_id) AS rnk
+  FROM asked a JOIN pairs p ON a.user_id = p.qid AND (within < 0 OR c_label = within))
+SELECT event_id, user_id AS qid, k, within, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM hits WHERE rnk <= k""",
     "semantic_cache_lookup": f"""WITH {ALL_PAIRS}, r AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id DESC) AS rnk FROM pairs
   WHERE (q_label < 5) = (c_label < 5) AND sim >= {FLOOR})

@@ -1,31 +1,51 @@
-"""Fields of scraped pages. Regex forms stay in the JVM; the parser form handles any mark-up."""
+"""Fields of scraped pages, by expressions that stay in the JVM."""
 
 from __future__ import annotations
 
-import html as html_lib
-from html.parser import HTMLParser
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tomewright.functions import fixed_values as fixed
 from tomewright.functions.strings import py_strip, title_case
 
 # Elements whose text is not content.
 BOILERPLATE = ["script", "style", "nav", "header", "footer", "aside"]
-# Named character references replaced by the regex form, "&amp;" last.
+# The commonest named character references; all others come from the standard's own table.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"),
     ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"),
 ]
+# Characters that numbers 128 to 159 stand for on web pages.
+C1_CHARACTERS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+REFERENCE = "&(#[xX][0-9A-Fa-f]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);"
+ATTRIBUTES = "((?:[^>\"']|\"[^\"]*\"|'[^']*')*)"
+#: One attribute: its name, and its value in double, single or no quotes.
+ATTRIBUTE = "([^\\s=>\"'/]+)(?:\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+)))?"
+
+
+def _character(ref: Column) -> Column:
+    """The character a reference (without ``&`` and ``;``) stands for, null for an unknown name."""
+    is_hex = F.lower(F.substring(ref, 2, 1)) == "x"
+    number = F.when(is_hex, F.conv(F.substring(ref, 3, 10), 16, 10)).otherwise(F.substring(ref, 2, 10)).try_cast("bigint")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    coded = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    numeric = F.when(number.between(128, 159), F.substring(F.lit(C1_CHARACTERS), (number - 127).cast("int"), F.lit(1))).otherwise(coded)
+    common = F.create_map(*[F.lit(x) for r, ch in ENTITIES for x in (r[1:-1], ch)])
+    named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    return F.when(ref.startswith("#"), numeric).otherwise(F.coalesce(F.element_at(common, ref), F.element_at(named, ref)))
 
 
 def unescape(c: Column) -> Column:
-    for ref, ch in ENTITIES:
-        c = F.replace(c, F.lit(ref), F.lit(ch))
-    return c
+    """Numeric and named character references decoded once, left to right; unknown names stay."""
+    pieces, refs = F.split(c, REFERENCE), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1))
+    joined = F.zip_with(
+        pieces, refs, lambda p, r: F.concat(p, F.when(r.isNull(), "").otherwise(F.coalesce(_character(r), F.concat(F.lit("&"), r, F.lit(";")))))
+    )
+    return F.when(c.rlike(REFERENCE), F.array_join(joined, "")).otherwise(c)
 
 
 def page_title(page: Column) -> Column:
@@ -34,68 +54,95 @@ def page_title(page: Column) -> Column:
     return F.when(page.rlike(pattern), unescape(F.regexp_extract(page, pattern, 1))).otherwise("Unknown")
 
 
-def link_rows(pages: DataFrame, keep: list[str], href: str = "[^\"]+", base: Column | None = None) -> DataFrame:
-    """``(pos, link, title)`` of anchors whose target matches ``href``; root-relative ones made absolute."""
-    base = F.regexp_extract("url", "^(https?://[^/?#]+)", 1) if base is None else base
-    anchor = f"(?is)<a\\b[^>]*?\\bhref=\"({href})\"[^>]*>(.*?)</a>"
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"),
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("body"),
-    )
-    rows = pages.select(*keep, base.alias("base"), F.posexplode(found).alias("pos", "a"))
-    target = F.col("a.href")
-    return rows.select(
-        *keep,
-        F.col("pos").cast("long").alias("pos"),
-        F.when(target.startswith("/"), F.concat("base", target)).otherwise(target).alias("link"),
-        py_strip(unescape(F.regexp_replace("a.body", "<[^>]+>", ""))).alias("title"),
+def absolute_url(target: Column, base: Column, page: Column | None = None) -> Column:
+    """``target`` as a whole address: root-relative ones get ``base``, others the folder of ``page`` (or base)."""
+    root = F.regexp_replace(base, "/+$", "")
+    folder = F.concat(root, F.lit("/"))
+    if page is not None:
+        path = F.regexp_extract(page, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*/)", 1)
+        folder = F.when(path == "", folder).otherwise(F.concat(root, path))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), target))
+        .when(target.startswith("/"), F.concat(root, target))
+        .otherwise(F.concat(folder, target))
     )
 
 
-def content_text(page: Column) -> Column:
-    """Text pieces outside boilerplate elements, stripped, one per line."""
-    cut = "\x00"
-    text = F.regexp_replace(page, f"(?is)<({'|'.join(BOILERPLATE)})\\b[^>]*>.*?</\\1\\s*>", cut)
-    text = F.regexp_replace(F.regexp_replace(text, "(?s)<!--.*?-->", cut), "<[^>]+>", cut)
-    pieces = F.transform(F.split(text, cut), lambda p: py_strip(unescape(p)))
-    return F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
-
-
-class _Content(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth = 0
-        self.pieces: list[str] = []
+def link_rows(
+    pages: DataFrame, keep: list[str], href: str = "(?s).+", base: Column | None = None, skip: list[str] = (),
+    title_from_target: bool = False,
+) -> DataFrame:
+    """``(pos, link, title)`` of anchors whose target matches ``href`` as a whole, made absolute.
 
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in BOILERPLATE
-
-    def handle_endtag(self, tag):
-        self.depth -= tag in BOILERPLATE and self.depth > 0
-
-    def handle_data(self, data):
-        if not self.depth and data.strip():
-            self.pieces.append(data.strip())
+    A tag is found first and its attributes are then read one by one, so quoting and order do not matter
+    and names such as ``data-href`` are not taken for ``href``. Targets are decoded; those that contain one
+    of ``skip`` are left out. With ``title_from_target`` an anchor without text is titled by its file's stem.
+    """
+    base = F.regexp_extract("url", "^(https?://[^/?#]+)", 1) if base is None else base
+    anchor = f"(?is)<a(?=[\\s/>]){ATTRIBUTES}>(.*?)</a>"
+    found = F.arrays_zip(
+        F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("attributes"),
+        F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("body"),
+    )
+    pattern = F.lit("(?s)" + ATTRIBUTE)
 
+    def target(a: Column) -> Column:
+        read = F.arrays_zip(
+            *(F.regexp_extract_all(a["attributes"], pattern, F.lit(g)).alias(n) for g, n in enumerate(("name", "dq", "sq", "bare"), 1))
+        )
+        own = F.get(F.filter(read, lambda x: F.lower(x["name"]) == "href"), F.lit(0))
+        return F.concat(own["dq"], own["sq"], own["bare"])
 
-def _content(page: str | None) -> str | None:
-    if page is None:
-        return None
-    parser = _Content()
-    parser.feed(page)
-    parser.close()
-    return "\n".join(parser.pieces)
+    targets = F.filter(
+        F.transform(found, lambda a: F.struct(target(a).alias("href"), a["body"].alias("body"))), lambda x: F.coalesce(x["href"], F.lit("")) != ""
+    )
 
+    def is_wanted(x: Column) -> Column:
+        ok = x["href"].rlike(f"^(?:{href})$")
+        for part in skip:
+            ok = ok & ~x["href"].contains(part)
+        return ok
+
+    decoded = F.transform(targets, lambda x: F.struct(py_strip(unescape(x["href"])).alias("href"), x["body"].alias("body")))
+    wanted = F.filter(decoded, is_wanted)
+    rows = pages.select(*keep, "url", base.alias("base"), F.posexplode(wanted).alias("pos", "a"))
+    title = py_strip(unescape(F.regexp_replace("a.body", "<[^>]+>", "")))
+    if title_from_target:
+        name = F.regexp_extract("a.href", "([^/]*)/*$", 1)
+        stem = F.regexp_replace(name, "(?<=.)\\.[^.]*$", "")
+        title = F.when(title == "", stem).otherwise(title)
+    return rows.select(
+        *keep, F.col("pos").cast("long").alias("pos"),
+        absolute_url(F.col("a.href"), F.col("base"), F.col("url")).alias("link"), title.alias("title"),
+    )
 
-@F.pandas_udf(T.StringType())
-def content_text_parsed(page: pd.Series) -> pd.Series:
-    """As ``content_text`` for nested boilerplate, odd quoting and every character reference."""
-    return page.map(_content)
 
+def content_text(page: Column) -> Column:
+    """Text pieces outside boilerplate elements, stripped, one per line.
 
-@F.pandas_udf(T.StringType())
-def unescape_all(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: None if s is None else html_lib.unescape(s))
+    Scripts, styles and comments go first, as they hold no elements. The rest is cut at the tags of
+    boilerplate elements and each piece kept at depth zero, so nested ones are left out whole.
+    """
+    nested = [t for t in BOILERPLATE if t not in ("script", "style")]
+    fence = f"(?i)<(/?)(?:{'|'.join(nested)})(?=[\\s/>]){ATTRIBUTES}>"
+    mark_up = "(?is)<!--.*?-->|<(script|style)\\b[^>]*>.*?</\\1\\s*>"
+    tag = "(?s)<[/!?A-Za-z][^>]*>"
+    plain = F.regexp_replace(page, mark_up, "<!>")
+    pieces = F.split(plain, fence)
+    ends = F.regexp_extract_all(plain, F.lit(fence), F.lit(1))
+    later = F.zip_with(F.slice(pieces, 2, F.size(pieces)), ends, lambda p, e: F.struct(e.alias("end"), p.alias("piece")))
+    first = F.struct(F.lit(0).alias("depth"), F.slice(pieces, 1, 1).alias("kept"))
+
+    def walk(s: Column, x: Column) -> Column:
+        depth = F.when(x["end"] == "", s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
+        return F.struct(
+            depth.alias("depth"), F.concat(s["kept"], F.array(F.when(depth == 0, x["piece"]).otherwise(""))).alias("kept")
+        )
+
+    kept = F.aggregate(later, first, walk, lambda s: F.flatten(F.transform(s["kept"], lambda p: F.split(p, tag))))
+    texts = F.transform(kept, lambda p: py_strip(unescape(p)))
+    return F.when(page.isNotNull(), F.array_join(F.filter(texts, lambda p: p != ""), "\n"))
 
 
 def slug_title(url: Column, pattern: str = "/letter-to-([^/]+)/?$") -> Column:

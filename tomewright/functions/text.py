@@ -11,7 +11,22 @@ from pyspark.sql import functions as F
 from tomewright.functions import fixed_values as fixed
 from tomewright.functions.strings import SPACE_CLASS, once, py_strip, replace_in_order, words
 
-MARK, PLAIN = "\ue000", "\ue001"  # private-use characters, never part of real text
+#: Private-use characters that rules put into a text while they work, and stand-ins for those it holds itself.
+MARK, PLAIN = "\ue000", "\ue001"
+_OWN = [("\ue002", "\ue002\ue003"), (MARK, "\ue002\ue004"), (PLAIN, "\ue002\ue005")]
+
+
+def guarded(text: Column) -> Column:
+    """``text`` without the marks, reversibly."""
+    for mark, form in _OWN:
+        text = F.replace(text, F.lit(mark), F.lit(form))
+    return text
+
+
+def unguarded(text: Column) -> Column:
+    for mark, form in reversed(_OWN):
+        text = F.replace(text, F.lit(form), F.lit(mark))
+    return text
 
 
 def java_literal(s: str) -> str:
@@ -69,7 +84,7 @@ def conversation_blocks(
     *,
     header: str = fixed.CONVERSATION_ID,
     skip_prefixes: list[str] = fixed.FILE_HEADER_PREFIXES,
-    skip_patterns: list[str] = ("===",),
+    skip_patterns: list[str] = (),
     min_chars: int = 100,
     keep: list[str] = (),
 ) -> DataFrame:
@@ -147,13 +162,7 @@ def sentence_groups(text: Column, size: int = 3) -> Column:
 
 
 def number_words() -> dict[str, str]:
-    out = {str(n): w for n, w in enumerate(fixed.NUMBER_UNITS)}
-    for tens, word in fixed.NUMBER_TENS.items():
-        for unit in range(10):
-            if tens + unit not in fixed.NUMBERS_WITHOUT_WORD:
-                out[str(tens + unit)] = f"{word}-{fixed.NUMBER_UNITS[unit]}" if unit else word
-    out.update({str(n): w for n, w in fixed.NUMBER_TOP.items()})
-    return out
+    return {str(n): w for n, w in fixed.NUMBER_WORDS.items()}
 
 
 def spoken_references(text: Column) -> Column:
@@ -170,6 +179,7 @@ def spoken_references(text: Column) -> Column:
         firsts = "".join(sorted({n[0] for n in names}))
         return f"(?=[{firsts}])\\b({'|'.join(names)})"  # the first letters rule most places out at once
 
+    text = guarded(text)
     code = f"{MARK}$1{MARK}"
     for pattern, by in [
         (rf"(?U){any_of(fixed.SPOKEN_CANTO_BOOKS)}{three}\b", said(code, "canto", "chapter", "verse")),
@@ -188,7 +198,7 @@ def spoken_references(text: Column) -> Column:
         return F.coalesce(F.element_at(spoken, piece), piece)
 
     pieces = F.transform(F.split(text, MARK), lambda p, i: F.when(i % 2 == 0, p).otherwise(plain(p)))
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(word(p))), "")
+    return unguarded(F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(word(p))), ""))
 
 
 def replace_terms(text: Column, terms: dict[str, str]) -> Column:
@@ -312,11 +322,11 @@ def term_runs(df: DataFrame, text_col: str, keep: list[str], vocab: Vocabulary)
         hit = vocab.is_term(x["bare"]) | x["tok"].rlike(vocab.letters)
         return F.concat(F.when(hit, MARK).otherwise(PLAIN), x["tok"])
 
-    toks = F.split(F.col(text_col), r"(?U)(?<=\s)(?=\S)")
+    toks = F.split(guarded(F.col(text_col)), r"(?U)(?<=\s)(?=\S)")
     tagged = F.array_join(F.transform(F.transform(toks, parts), tag), "")
     run = f"(?:{MARK}[^{MARK}{PLAIN}]*){{2,}}"
     rows = df.select(*keep, F.posexplode(F.regexp_extract_all(tagged, F.lit(run), F.lit(0))).alias("run", "r"))
-    phrase = F.replace("r", F.lit(MARK), F.lit(""))
+    phrase = unguarded(F.replace("r", F.lit(MARK), F.lit("")))
     return (
         rows.withColumn("phrase", phrase)
         .withColumn("n_terms", F.size(F.filter(tokenize(F.col("phrase")), vocab.is_term)).cast("long"))

@@ -48,12 +48,12 @@ def with_retries(call: Callable, arg, tries: int = TRIES, pause: float = 1.0):
 
 def embed_texts(
     df: DataFrame, text_col: str, embed_fn: EmbedFn | None = None, *, out: str = "embedding", batch: int = BATCH,
-    tries: int = TRIES, pause: float = 1.0, max_words: int | None = MAX_INPUT_WORDS, max_chars: int | None = None,
+    tries: int = TRIES, pause: float = 1.0, max_words: int | None = None, max_chars: int | None = None,
 ) -> DataFrame:
     """Add a vector per text, calling ``embed_fn`` with up to ``batch`` texts inside the tasks.
 
-    The cut to ``max_words`` or ``max_chars`` is the service's input limit and leaves the text column as
-    it is.
+    Whole texts are sent. ``max_words`` or ``max_chars`` cut what is sent where a service has an input limit
+    (``MAX_INPUT_WORDS`` for one); the text column stays as it is.
     """
     fn = embed_fn or hashed_words()
     sent: Column = F.col(text_col)

@@ -17,6 +17,7 @@ TOKENS_PER_BYTE, LETTER_USD_PER_1M = 0.25, 0.18
 TRIM_MIN_MS, TRIM_SHORT_MS = 12 * 60_000, 15 * 60_000
 TRIM_SHORT_SIDE_MS, TRIM_FULL_SIDE_MS = 3 * 60_000, 5 * 60_000
 CLIP_GAP_MS = 500
+MONEY_UNITS = 10_000
 
 
 def corpus_stats(docs: DataFrame, book: str, text: str) -> DataFrame:
@@ -46,11 +47,16 @@ def running_budget(log: DataFrame, order: str, text: str, actual: str, budget: f
     estimate = py_round(embed_cost(token_estimate(F.col(text))), 4)
     cost = F.when(F.col(actual).isNull() | (F.col(actual) == 0.0), estimate).otherwise(py_round(F.col(actual), 4))
     entries = log.select(order, estimate.alias("estimated_usd"), cost.alias("cost_usd"))
-    summed = running_sum(entries, F.col("cost_usd"), [order], "__total", **kw)
-    left = F.lit(budget) - F.col("total_usd")
-    return summed.withColumn("total_usd", F.round("__total", 4)).drop("__total").withColumns(
-        {"remaining_usd": F.round(left, 4), "low": left < LOW_BUDGET_USD}
-    )
+    # Entries have four digits: ten-thousandths as whole numbers add up alike in any order.
+    units = F.round(F.col("cost_usd") * MONEY_UNITS).cast("bigint")
+    summed = running_sum(entries, units, [order], "__total", **kw)
+    left = F.lit(round(budget * MONEY_UNITS)).cast("bigint") - F.col("__total")
+    return summed.withColumns(
+        {
+            "total_usd": F.col("__total") / MONEY_UNITS, "remaining_usd": left / MONEY_UNITS,
+            "low": left < round(LOW_BUDGET_USD * MONEY_UNITS),
+        }
+    ).drop("__total")
 
 
 def cost_entries(docs: DataFrame, name: str, text: str, actual: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tomewright.functions.text import clean_text
-from tomewright.operators.caches import CACHE_ENTRIES, keep_most_recent
+from tomewright.operators.caches import CACHE_ENTRIES, keep_most_recent, latest
 from tomewright.operators.stateful import MICROS, Step
 from tomewright.sources.files import existing, file_path
 
@@ -72,12 +72,13 @@ class _Decider(StatefulProcessor):
 
 def decide_stream(
     events: DataFrame, step: Step, *, key: str, ts: str, id_col: str, flag: str | None = None,
-    delay: str = "0 seconds", idle_s: float | None = None,
+    delay: str, idle_s: float | None = None,
 ) -> DataFrame:
     """``(key, id, decision)`` of a stream of events, each micro-batch in order of (``ts``, ``id``).
 
-    ``ts`` is cast to a timestamp with zone, as watermarks need one; events behind the watermark are
-    dropped. ``idle_s`` (twice the window for the limiter) lets the store forget keys that can no
+    ``ts`` is cast to a timestamp with zone, as watermarks need one. Events that come more than ``delay``
+    behind the newest one are late: Spark leaves them out and counts them in the query's progress
+    (``numRowsDroppedByWatermark``). ``idle_s`` (twice the window for the limiter) lets the store forget keys that can no
     longer influence a decision. Needs the RocksDB state store. A key's rows of one micro-batch meet in
     one call: bound the batch at the source (files or offsets per trigger).
     """
@@ -135,7 +136,8 @@ def maintain_answer_cache(answers: DataFrame, path: str, checkpoint: str, *, n:
     def merge(batch: DataFrame, batch_id: int) -> None:
         old = current_cache(batch.sparkSession, path, batch_id)
         both = batch if old is None else old.unionByName(batch)
-        keep_most_recent(both, "last_used_at", "id", n).write.mode("overwrite").parquet(_version(path, batch_id))
+        newest = latest(both, ["id"], F.col("last_used_at"), [c for c in both.columns if c != "id"])
+        keep_most_recent(newest, "last_used_at", "id", n).write.mode("overwrite").parquet(_version(path, batch_id))
 
     query = (
         answers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
