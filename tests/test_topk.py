@@ -119,3 +119,10 @@ def test_no_queries_give_no_hits(spark):
     df = spark.createDataFrame(make(20), SCHEMA)
     asked = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")).where("qid < 0")
     assert T.similarity_topk(df, asked, 3).count() == 0
+
+
+def test_vectors_of_other_lengths_are_refused(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0] * 5)], "id bigint, vec array<float>").coalesce(1)
+    asked = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0])], "qid bigint, qvec array<float>")
+    with pytest.raises(Exception, match="different lengths|shapes|mismatch|matmul"):
+        T.similarity_topk(vectors.withColumnsRenamed({"id": "vec_id", "vec": "embedding"}), asked, 1).collect()

@@ -28,12 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Use all cores on a table that its files cannot split: hash it by its key before costly work.
+    """Use all cores on files that give fewer input splits than there are cores, as one row group does.
 
-    A table with at least a full input split per core is left alone, so large tables are never moved.
+    Tables with a split for every core are read where they lie; no size is estimated. Both forms are tested.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    split = 128 << 20
-    return df.repartition(cores, *key) if 256 << 10 < int(str(size)) < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.select(*key).rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, *key)

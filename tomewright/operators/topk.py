@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,11 @@ _HITS = "qid bigint, id bigint, prefer double, similarity double"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype=None) -> np.ndarray:
+    """Rows of equal length as a matrix; other input is refused, as values would move between rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) and pc.count_distinct(pc.fill_null(pc.list_value_length(column), -1)).as_py() > 1:
+        raise ValueError("vectors of different lengths or null vectors in one table")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, dtype=dtype).reshape(len(column), -1 if len(column) else 0)
 
