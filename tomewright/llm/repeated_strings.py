@@ -178,8 +178,10 @@ def merged_order(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     return order, bound
 
 
-def repeated_starts(shards: list[Shard], offset: np.ndarray, number: np.ndarray, length: int) -> np.ndarray:
-    """For every segment and start, whether another segment of its group has the same ``length`` bytes there.
+def repeated_starts(shards: list[Shard], offset: np.ndarray, number: np.ndarray, times: np.ndarray, length: int) -> np.ndarray:
+    """For every segment and start, whether the ``length`` bytes there occur twice or more in its group.
+
+    ``times`` is how often each segment occurs as a whole: equal ones are one suffix of that weight.
 
     Suffixes r bytes left of the anchor have a common prefix of ``length`` if r bytes before and
     ``length - r`` behind the anchor agree. Moving left by one byte parts each class by the byte moved
@@ -188,7 +190,7 @@ def repeated_starts(shards: list[Shard], offset: np.ndarray, number: np.ndarray,
     """
     order, bound = merged_order(shards)
     before = np.concatenate([s.before for s in shards])[order]
-    off, num = offset[order], number[order]
+    off, num, weight = offset[order], number[order], np.minimum(times[order], 2)
     found = np.zeros((len(order), length - ANCHOR + 1), bool)
     left = np.zeros(len(order), np.int64)
     for r in range(length - ANCHOR + 1):
@@ -197,11 +199,11 @@ def repeated_starts(shards: list[Shard], offset: np.ndarray, number: np.ndarray,
             _, left = np.unique(step, return_inverse=True)
         behind = np.cumsum(bound < length - r)
         live = np.flatnonzero((off >= r) & (off - r < num))
-        if len(live) < 2:
+        if not len(live):
             continue
         key = behind[live] * (left.max() + 1) + left[live]
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        hit = live[count[inverse] > 1]
+        _, inverse = np.unique(key, return_inverse=True)
+        hit = live[np.bincount(inverse, weight[live])[inverse] > 1]
         found[hit, off[hit] - r] = True
     out = np.empty_like(found)
     out[order] = found
@@ -209,7 +211,7 @@ def repeated_starts(shards: list[Shard], offset: np.ndarray, number: np.ndarray,
 
 
 def _shard_merge(length: int, shard_rows: int):
-    """Spans of repeated strings in the segments that are the only ones of their bytes."""
+    """(anchor, seg, start, end): runs of starts in each kind of segment whose strings are repeated."""
 
     def spans_of(tables: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(tables).combine_chunks()
@@ -223,12 +225,12 @@ def _shard_merge(length: int, shard_rows: int):
             Shard(group[at : at + shard_rows], data[at : at + shard_rows], offset[at : at + shard_rows], length)
             for at in range(0, len(data), shard_rows)
         ]
-        found = repeated_starts(shards, offset, number, length) & (t.column("n").to_numpy() == 1)[:, None]
+        found = repeated_starts(shards, offset, number, t.column("n").to_numpy(), length)
         edges = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, start = np.nonzero(edges == 1)
         _, end = np.nonzero(edges == -1)
-        base, tid = (place >> 16)[row], t.column("tid").to_numpy()[row]
-        return pa.RecordBatch.from_arrays([pa.array(tid), pa.array(base + start), pa.array(base + end - 1 + length)], names=["tid", "lo", "hi"])
+        own = [pa.array(t.column(c).to_numpy()[row]) for c in ("anchor", "seg")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["anchor", "seg", "start", "end"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -280,6 +282,7 @@ def _texts(docs: DataFrame, text: str, bitmap) -> DataFrame:
     return docs.select(text).mapInArrow(pick, "tid bigint, data binary")
 
 
+REPEATED = "anchor bigint, seg bigint, start bigint, end bigint"
 CUT = "anchor bigint, seg bigint, tid bigint, place bigint, n bigint, size bigint, data binary"
 
 
@@ -309,14 +312,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, block
     counts = stored(occurrences(docs, text, length).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     again = stored(occurrences(docs, text, length).join(counts, "anchor"))
     classes = stored(again.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("tid", "place")).alias("rep")))
-    # Segments that occur twice as a whole: all their strings do.
-    whole = again.join(classes.where("n > 1").select("anchor", "seg"), ["anchor", "seg"]).select(
-        "tid", F.shiftright("place", 16).alias("lo"),
-        (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255) - 1 + length).alias("hi"),
-    )
-    # Others share an anchor but not all bytes: one of each kind meets the rest of its anchor.
-    mixed = stored(classes.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 AND least = 1"))
-    wanted = classes.join(mixed, "anchor").groupBy("rep.tid").agg(
+    # Segments of equal bytes are folded into one that weighs as many; one of each kind meets the others of
+    # its anchor, and what is found for it holds for all of its kind.
+    kinds = stored(classes.groupBy("anchor").agg(F.count("*").alias("size")))
+    wanted = classes.join(kinds, "anchor").groupBy("rep.tid").agg(
         F.collect_list(F.struct("anchor", "seg", "rep.place", "n", "size")).alias("wanted")
     )
     wanted = stored(wanted)
@@ -326,8 +325,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, block
     dealt = pieces.select("*", F.explode(blocks).alias("b")).select(
         F.xxhash64("anchor", "b.i", "b.j").alias("block"), "anchor", "seg", "tid", "place", "n", "data"
     )
-    parts = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_shard_merge(length, 4_096), "tid bigint, lo bigint, hi bigint")
-    return whole.unionByName(parts)
+    runs_of_kinds = stored(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_shard_merge(length, 4_096), REPEATED))
+    first = F.shiftright("place", 16)
+    return again.join(runs_of_kinds, ["anchor", "seg"]).select(
+        "tid", (first + F.col("start")).alias("lo"), (first + F.col("end") - 1 + length).alias("hi")
+    )
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -351,8 +353,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, with_
     maximal removed runs; ``with_spans`` adds them as ``spans array<struct<lo, hi>>``.
 
     Every string of ``length`` bytes names an anchor in it by content, so equal strings name equal anchors.
-    Anchors found once are out; segments equal as a whole are settled by counting; only the rest, one of
-    each kind, is cut out, dealt by anchor into blocks of bounded size and merged from shard transforms.
+    Anchors found once are out. Of the segments around the others one of each kind is cut out, with the
+    number of its copies, and dealt by anchor into blocks of bounded size, where shard transforms are merged;
+    the repeated intervals of the merged order decide, and every copy gets what was found for its kind.
     Null and shorter texts lose nothing. Equal rows are each other's copies. Texts are told apart by a
     64-bit hash in joins; extra columns and the id play no part, so ids may repeat or be null.
     """
