@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import small_batches
+from tomewright.llm.common import small_batches, stored
 
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
@@ -226,27 +226,27 @@ def find_leaks(
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_filter_bitmap(benchmark, item_key, text, size, concrete))
     item_windows = template_windows(benchmark.where(F.col(item_key).isNotNull()), item_key, text, size, concrete)
-    items = item_windows.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots")).distinct()
+    items = stored(item_windows.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots")).distinct())
     totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"))
     held = template_windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", text, size, concrete, bits)
-    # Windows on one diagonal are one stretch of the item. Its slots are put together from all its windows
-    # (an item's own length bounds them), and one value on one side must stand for one on the other.
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
-    stretches = (
-        held.join(items, "template")
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .agg(F.countDistinct("item_pos").alias("n_windows"), pairs.alias("pairs"))
-        .withColumn("n_slots", F.size("pairs").cast("bigint"))
-        .where((F.size(F.array_distinct("pairs.item_slots")) == F.col("n_slots")) & (F.size(F.array_distinct("pairs.slots")) == F.col("n_slots")))
-        .withColumn("exact", F.forall("pairs", lambda p: p["item_slots"] == p["slots"]))
-    )
+    diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
+    met = stored(held.join(items, "template").select("doc_id", "item_id", diagonal, "item_pos", F.arrays_zip("item_slots", "slots").alias("zipped")))
+    # Windows on one diagonal are one stretch of the item. Over all its windows one value on one side must
+    # stand for one on the other.
+    stretch = ["doc_id", "item_id", "diagonal"]
+    lengths = met.select(*stretch, "item_pos").distinct().groupBy(*stretch).agg(F.count("*").alias("n_windows"))
+    pairs = met.select(*stretch, F.explode("zipped").alias("z")).select(*stretch, F.col("z.item_slots").alias("asked"), F.col("z.slots").alias("found")).distinct()
+    unequal = [pairs.groupBy(*stretch, side).count().where("count > 1").select(*stretch) for side in ("asked", "found")]
+    slots = pairs.groupBy(*stretch).agg(F.count("*").alias("n_slots"), F.max(F.col("asked") != F.col("found")).alias("other_values"))
     return (
-        stretches.join(totals, "item_id")
+        lengths.join(unequal[0].unionByName(unequal[1]), stretch, "left_anti")
+        .join(slots, stretch, "left")
+        .join(totals, "item_id")
         .where(F.col("n_windows") >= F.least(F.lit(enough), F.col("n_item_windows")))
         .groupBy("doc_id", "item_id")
         .agg(
             F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
-            F.min("n_slots").alias("n_slots"), F.max("exact").alias("exact"),
+            F.min(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(~F.coalesce("other_values", F.lit(False))).alias("exact"),
         )
     )
 
