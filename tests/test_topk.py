@@ -121,6 +121,13 @@ def test_no_queries_give_no_hits(spark):
     assert T.similarity_topk(df, asked, 3).count() == 0
 
 
+def test_tiles_of_one_cell_need_no_join(spark):
+    df = spark.createDataFrame(make(60), SCHEMA)
+    asked = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    plan = T.similarity_topk(df, asked, 2, resident_bytes=0)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_vectors_of_other_lengths_are_refused(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0] * 5)], "id bigint, vec array<float>").coalesce(1)
     asked = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0])], "qid bigint, qvec array<float>")

@@ -56,6 +56,9 @@ def embed_chunks(spark, d):
     return vectors.select(
         "doc_id", "chunk_id", F.size("embedding").cast("long").alias("dim"),
         F.round(V.norm(F.col("embedding")), 4).alias("norm"),
+        F.round(F.aggregate(
+            F.transform("embedding", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda s, v: s + v
+        ), 5).alias("weighted"),
     )
 
 
@@ -282,7 +285,16 @@ _USERS = """users AS (SELECT c_custkey, c_name AS name, c_acctbal AS balance, c_
   (c_nationkey % 6)::BIGINT AS text_quota, (c_nationkey % 3)::BIGINT AS voice_quota, c_nationkey FROM customer)"""
 _ORDERED = "e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
 
+_EMBED_CHUNKS = f"""WITH ch AS (SELECT doc_id, chunk_id, text FROM ({CT.SQL['chunk_documents']})), w AS (
+  SELECT doc_id, chunk_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM ch),
+  n AS (SELECT doc_id, chunk_id, ('0x' || substr(md5(word), 1, 8))::UBIGINT % 64 AS slot, count(*)::FLOAT AS n FROM w GROUP BY ALL),
+  v AS (SELECT doc_id, chunk_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id))::FLOAT AS x FROM n)
+SELECT ch.doc_id, ch.chunk_id, 64::BIGINT AS dim, coalesce(round(sqrt(sum(x::DOUBLE * x::DOUBLE)), 4), 0) AS norm,
+  coalesce(round(sum(x::DOUBLE * (slot + 1)), 5), 0) AS weighted
+FROM ch LEFT JOIN v ON v.doc_id = ch.doc_id AND v.chunk_id = ch.chunk_id GROUP BY ALL"""
+
 SQL = {
+    "embed_chunks": _EMBED_CHUNKS,
     "embed_cache_hits": f"""WITH {_CACHED} SELECT doc_id, h AS query_hash, cached_id FROM documents JOIN cached ON {_KEY} = h""",
     "embed_cache_misses": f"""WITH {_CACHED} SELECT doc_id, {_KEY} AS query_hash FROM documents
 WHERE {_KEY} NOT IN (SELECT h FROM cached)""",

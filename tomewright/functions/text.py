@@ -237,6 +237,11 @@ def residual_rows(df: DataFrame, text: Column, keep: list[str], letters: str = f
     )
 
 
+def missed_terms(residual: DataFrame) -> DataFrame:
+    """Different words of ``residual_rows``, how often and in how many texts they occur."""
+    return residual.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_rows"))
+
+
 def share_text(question: Column, answer: Column, signature: str = "", limit: int = 500) -> Column:
     clean = F.regexp_replace(F.regexp_replace(answer, r"(?U)#{1,3}\s", ""), r"\*\*", "")
     clean = py_strip(F.regexp_replace(clean, r"(?Um)^\s*[-•]\s", "• "))

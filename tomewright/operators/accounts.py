@@ -92,3 +92,8 @@ def spine_counts(items: DataFrame, on: str, first: int, last: int, size: str) ->
     return dense.withColumn("n_filled", filled).withColumn(
         "complete_pct", F.round(F.col("n_filled") * 100.0 / (last - first + 1), 2)
     )
+
+
+def accumulate(known: DataFrame, new: DataFrame, on: str) -> DataFrame:
+    """Keys known so far and those that come new, each once."""
+    return known.select(on).unionByName(new.select(on)).distinct()

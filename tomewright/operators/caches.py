@@ -83,3 +83,8 @@ def keep_most_recent(entries: DataFrame, stamp: str, tie: str, n: int = CACHE_EN
     Batch rule: inside one batch no question can hit an answer made by an earlier one of that batch.
     """
     return entries.orderBy(F.col(stamp).desc(), F.col(tie).desc()).limit(n)
+
+
+def keep_newest(entries: DataFrame, order: str, n: int = JOB_ENTRIES) -> DataFrame:
+    """The ``n`` entries that came in last: first in, first out."""
+    return entries.orderBy(F.col(order).desc()).limit(n)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ def hashed_words(dim: int = 64) -> EmbedFn:
     def embed(texts: list[str]) -> list:
         out = []
         for t in texts:
-            slots = [zlib.crc32(w.encode()) % dim for w in t.lower().split()]
+            slots = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in t.lower().split()]
             v = np.bincount(slots, minlength=dim).astype(np.float32)
             n = np.linalg.norm(v)
             out.append(v / n if n > 0 else v)

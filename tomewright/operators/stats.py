@@ -131,3 +131,17 @@ def selection_summary(clips: DataFrame, duration_ms: str) -> DataFrame:
 def recent_entries(log: DataFrame, stamp: str, n: int = 5) -> DataFrame:
     """The last ``n`` entries of a log, newest first."""
     return log.orderBy(F.col(stamp).desc()).limit(n)
+
+
+def year_report(letters: DataFrame, year: str) -> DataFrame:
+    """Letters and years in all, and the first and last year; undated letters aside."""
+    dated = letters.where(F.col(year) != "unknown")
+    return dated.agg(
+        F.count("*").alias("n_letters"), F.count_distinct(year).alias("n_years"), F.min(year).alias("first_year"), F.max(year).alias("last_year")
+    )
+
+
+def counts_and_total(items: DataFrame, by: str) -> DataFrame:
+    """Number of items in each group, and of all items under the name ``all``."""
+    counts = items.rollup(by).agg(F.count("*").alias("n"), F.grouping(by).alias("whole"))
+    return counts.select(F.when(F.col("whole") == 1, "all").otherwise(F.col(by).cast("string")).alias(by), "n")

@@ -143,24 +143,33 @@ def _resident(corpus: DataFrame, q: pa.Table, k: int, floor, skip_self: bool, no
 
 
 def _tiled(
-    corpus: DataFrame, queries: DataFrame, dim: int, k: int, floor, skip_self: bool, normalize: bool
+    corpus: DataFrame, queries: DataFrame, dim: int, k: int, floor, skip_self: bool, normalize: bool, one_cell: bool
 ) -> DataFrame:
     block_rows, slab_rows = max(1, BLOCK_BYTES // (4 * dim)), max(1, SLAB_BYTES // (8 * dim))
-    blocks = corpus.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_block"))
-    slabs = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / slab_rows).alias("n_slab"))
-    grid = blocks.join(slabs, "cell")
+    if one_cell:  # the same cell everywhere: block numbers are constants and nothing is joined to get them
+        n_block, n_slab = max(1, -(-corpus.count() // block_rows)), max(1, -(-queries.count() // slab_rows))
+
+        def placed(side: DataFrame) -> DataFrame:
+            return side.withColumn("n_block", F.lit(n_block).cast("long")).withColumn("n_slab", F.lit(n_slab).cast("long"))
+    else:
+        blocks = corpus.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_block"))
+        slabs = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / slab_rows).alias("n_slab"))
+        grid = blocks.join(slabs, "cell")
+
+        def placed(side: DataFrame) -> DataFrame:
+            return side.join(grid, "cell")
 
     def span(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     left = (
-        corpus.join(grid, "cell")
+        placed(corpus)
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_block")))
         .withColumn("slab", span("n_slab"))
         .select("cell", "block", "slab", "id", "prefer", "vec")
     )
     right = (
-        queries.join(grid, "cell")
+        placed(queries)
         .withColumn("slab", F.pmod(F.xxhash64("qid"), F.col("n_slab")))
         .withColumn("block", span("n_block"))
         .select("cell", "block", "slab", "qid", "qvec")
@@ -220,7 +229,7 @@ def similarity_topk(
     if fetched is not None and fetched.num_rows <= room:
         hits = _resident(vectors, fetched, k, floor, skip_self, normalize)
     else:
-        hits = _tiled(vectors, asked, dim, k, floor, skip_self, normalize)
+        hits = _tiled(vectors, asked, dim, k, floor, skip_self, normalize, cell is None)
     best_first = Window.partitionBy("qid").orderBy(
         F.col("similarity").desc(), F.col("prefer").desc(), F.col("id")
     )
