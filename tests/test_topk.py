@@ -128,6 +128,15 @@ def test_tiles_of_one_cell_need_no_join(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_more_cells_than_fit(spark):
+    df = spark.createDataFrame(make(300), SCHEMA)
+    cells = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in make(90, seed=5, hot=False)], "cell bigint, centroid array<double>")
+    few = IVF.nearest_cells(df, "embedding", cells, 3)
+    many = IVF.nearest_cells(df, "embedding", cells, 3, room_bytes=8 * 8 * 10)
+    key = lambda d: sorted((r.vec_id, r.cell) for r in d.collect())
+    assert key(few) == key(many) and len(key(few)) == 900
+
+
 def test_vectors_of_other_lengths_are_refused(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0] * 5)], "id bigint, vec array<float>").coalesce(1)
     asked = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0])], "qid bigint, qvec array<float>")

@@ -246,7 +246,27 @@ _OVERLAP = COARSE + f""", truth AS (
     ON c.qid = t.qid AND c.vec_id = t.vec_id WHERE c.rnk <= {K}) c ON e.vec_id = c.qid GROUP BY e.vec_id),
   overlap AS (SELECT qid, n_shared, round(n_shared * 100.0::DOUBLE / {K}, 2) AS overlap_pct FROM shared)"""
 
+def _trained_sql(cells: int, rounds: int = 4) -> str:
+    """k-means with the same first centres, its rounds written out."""
+    unit = "list_transform(c, lambda x: x / sqrt(list_inner_product(c, c)))"
+    parts = [f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c0 AS (
+  SELECT cell, {unit} AS c FROM (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, e AS c FROM v) WHERE cell < {cells})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (SELECT vec_id, e, cell FROM v, c{r}
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(e, c) DESC, cell) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS (SELECT cell, {unit} AS c FROM (SELECT cell, list(m ORDER BY pos) AS c FROM (
+  SELECT cell, pos, avg(x) AS m FROM (SELECT cell, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{r}) GROUP BY ALL) GROUP BY cell))""")
+    return ", ".join(parts)
+
+
 SQL = {
+    "ivf_train": f"WITH {_trained_sql(16)} SELECT cell, count(*) AS n_members FROM a4 GROUP BY cell",
+    "vector_topk_ivf": f"""WITH {ALL_PAIRS}, {_trained_sql(16)}, probed AS (
+  SELECT vec_id AS qid, cell FROM v, c4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(e, c) DESC, cell) <= 4),
+  r AS (SELECT p.qid, p.vec_id, sim, row_number() OVER (PARTITION BY p.qid ORDER BY sim DESC, p.vec_id) AS rnk
+  FROM pairs p JOIN a4 ON a4.vec_id = p.vec_id JOIN probed ON probed.qid = p.qid AND probed.cell = a4.cell)
+SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rnk <= {K}""",
     "vector_topk_exact": f"""WITH {RANKED}
 SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM ranked WHERE rnk <= {K}""",
     "vector_topk_prefilter": f"""WITH {ALL_PAIRS}, r AS (

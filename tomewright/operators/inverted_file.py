@@ -6,35 +6,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tomewright.functions.vectors import group_means
 from tomewright.operators.topk import RESIDENT_BYTES, _matrix, similarity_topk
 
 
-def train_cells(df: DataFrame, vec_col: str, n_cells: int, seed: int = 42, max_iter: int = 10) -> DataFrame:
-    """``(cell, centroid)`` by spherical k-means over all vectors."""
-    model = KMeans(
-        k=n_cells, featuresCol="__v", distanceMeasure="cosine", seed=seed, maxIter=max_iter, initSteps=2
-    ).fit(df.select(array_to_vector(vec_col).alias("__v")))
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return df.sparkSession.createDataFrame(rows, "cell bigint, centroid array<double>")
+def train_cells(df: DataFrame, vec_col: str, n_cells: int, id_col: str = "vec_id", rounds: int = 4) -> DataFrame:
+    """``(cell, centroid)`` by spherical k-means over all vectors.
+
+    The vectors whose ids hash lowest are the first centres; each round assigns every vector to its nearest
+    centre and takes the means, which are merged before the shuffle. Cells that lose all vectors are gone.
+    """
+    first = Window.orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col)
+    lowest = df.select(id_col, vec_col).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(n_cells)
+    centres = lowest.select((F.row_number().over(first) - 1).cast("long").alias("cell"), F.col(vec_col).cast("array<double>").alias("centroid"))
+    for _ in range(rounds):
+        centres = group_means(nearest_cells(df, vec_col, _unit_length(centres), 1, id_col=id_col), vec_col, "cell")
+    return _unit_length(centres)
+
+
+def _unit_length(centres: DataFrame) -> DataFrame:
+    length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
+    return centres.select("cell", F.transform("centroid", lambda x: F.when(length > 0, x / length).otherwise(x)).alias("centroid"))
 
 
-def nearest_cells(df: DataFrame, vec_col: str, centroids: DataFrame, n: int, cell_col: str = "cell") -> DataFrame:
+def nearest_cells(
+    df: DataFrame, vec_col: str, centroids: DataFrame, n: int, cell_col: str = "cell", id_col: str = "vec_id",
+    room_bytes: int = RESIDENT_BYTES,
+) -> DataFrame:
     """Explode every row of ``df`` to its ``n`` nearest cells by inner product (ties: smaller cell).
 
-    Centroids are few by construction, and their size is checked before they are sent out.
+    Centroids go to every executor while they fit ``room_bytes``. More of them meet the rows, told apart by
+    ``id_col``, in bounded tiles of the exact search.
     """
     table = centroids.select("cell", "centroid").orderBy("cell")
     head = table.select(F.size("centroid").alias("d")).head()
-    room = RESIDENT_BYTES // (8 * head["d"])
+    room = room_bytes // (8 * head["d"])
     fetched = table.limit(room + 1).toArrow()
     if fetched.num_rows > room:
-        raise ValueError("too many cells to send to every executor; train fewer")
+        asked = df.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec"))
+        cells = centroids.select("cell", F.col("centroid").cast("array<float>").alias("centroid"))
+        found = similarity_topk(cells, asked, n, id_col="cell", vec_col="centroid", normalize=False, resident_bytes=0)
+        return df.join(found.select(F.col("qid").alias(id_col), F.col("cell").alias(cell_col)), id_col).select(*df.columns, cell_col)
     shared = df.sparkSession.sparkContext.broadcast(
         (fetched["cell"].to_numpy(), _matrix(fetched["centroid"], np.float64))
     )
@@ -62,6 +78,6 @@ def probe_topk(members: DataFrame, queries: DataFrame, centroids: DataFrame, k:
     ``members`` carries a ``cell`` column. Only probed cells are read: their numbers, at most one per
     centroid, become a filter on ``cell``, which prunes folders of a stored index.
     """
-    probes = nearest_cells(queries, "qvec", centroids, n_probe, "probe")
+    probes = nearest_cells(queries, "qvec", centroids, n_probe, "probe", id_col="qid")
     probed = [r["probe"] for r in probes.select("probe").distinct().collect()]
     return similarity_topk(members.where(F.col("cell").isin(probed)), probes, k, cell=("cell", "probe"), **kw)
