@@ -81,9 +81,9 @@ def test_ingest_and_search(spark, tmp_path):
         put(f"{tmp_path}/in/book{i % 3}/{i}.txt", f"topic{i} words about topic{i} here. Donate\nmore on topic{i} and topic{i}. end")
     out = str(tmp_path / "out")
     ingest.build_index(spark, str(tmp_path / "in"), out, n_cells=3, embed_fn=E.hashed_words(1024))
-    asked = E.embed_texts(spark.createDataFrame([(7, "more on topic7 and topic7.")], "qid bigint, question string"), "question", E.hashed_words(1024), out="qvec")
+    asked = E.embed_texts(spark.createDataFrame([(8, "more on topic8 and topic8.")], "qid bigint, question string"), "question", E.hashed_words(1024), out="qvec")
     hits = ingest.search_index(spark, out, asked, 2, n_probe=3).orderBy("rank").collect()
-    assert "topic7" in hits[0].text and hits[0].scripture == "book1"
+    assert "topic8" in hits[0].text and hits[0].scripture == "book2"
     corpus = spark.read.parquet(f"{out}/embeddings").select("vec_id", "embedding")
     faq = ingest.seed_faq(asked, corpus, spark.read.parquet(f"{out}/chunks"), 2)
     row = faq.first()
