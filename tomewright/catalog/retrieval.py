@@ -43,8 +43,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
 
 
-def _exact(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    return similarity_topk(_vectors(spark, d), _asked(spark, d), k, skip_self=True)
+def _exact(spark: SparkSession, d: str, k: int = K, floor: float | None = None) -> DataFrame:
+    return similarity_topk(_vectors(spark, d), _asked(spark, d), k, skip_self=True, floor=floor)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def vector_topk_postfilter(spark, d):
 
 
 def relevance_floor(spark, d):
-    kept = C.relevance_floor(_exact(spark, d), _asked(spark, d), FLOOR)
+    kept = C.relevance_floor(_exact(spark, d, floor=FLOOR), _asked(spark, d), FLOOR)
     return kept.select(
         "qid",
         F.coalesce("vec_id", F.lit(-1)).alias("vec_id"),
