@@ -267,7 +267,10 @@ def jaccard_classes(
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its class; rows without an id stay. Columns unchanged."""
+    """Rows of ``docs`` whose id is the smallest of its class; columns unchanged.
+
+    Rows that share an id are one document and stay or go together; rows without an id stay.
+    """
     classes = jaccard_classes(docs, **how)
     drop = classes.where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
