@@ -568,3 +568,33 @@ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, k || '_' || l_linenumbe
     + CASE WHEN contains(source, 'tion') THEN 1 ELSE 0 END AS score FROM documents)
 SELECT doc_id, score::BIGINT AS score FROM s WHERE score > 0""",
 }
+
+# Cards: lines take up what stands before them, runs become blocks, cards take up what follows; row by row.
+SQL["verse_cards"] = f"""WITH RECURSIVE typed AS MATERIALIZED (SELECT doc_id, line_no, type AS t, text AS x, spoken AS sp FROM ({SQL['block_parse']})),
+lines(doc_id, line_no, kind, x, last, opened) AS (
+  SELECT DISTINCT doc_id, -1::BIGINT, '', '', '', false FROM typed
+  UNION ALL
+  SELECT doc_id, n, k, y, CASE WHEN k = 'bullet' THEN 'bullet-list' WHEN k IN ('blank', 'rule') THEN CASE WHEN opened THEN 'paragraph' ELSE last END
+      WHEN k = 'paragraph' THEN last ELSE k END, k = 'paragraph'
+  FROM (SELECT l.doc_id, l.last, l.opened, t.line_no AS n, l.last = 'verse' AND sp <> '' AND t IN ('quote', 'verse', 'paragraph') AS turned,
+      CASE WHEN turned THEN 'translation' ELSE t END AS k, CASE WHEN turned THEN sp ELSE t.x END AS y
+    FROM lines l JOIN typed t ON t.doc_id = l.doc_id AND t.line_no = l.line_no + 1)),
+starts AS (SELECT *, kind NOT IN ('paragraph', 'bullet') OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS new FROM lines WHERE line_no >= 0),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM starts WHERE kind NOT IN ('blank', 'rule')),
+blocks AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS b, kind,
+    string_agg(x, ' ' ORDER BY line_no) AS said, string_agg(x, chr(10) ORDER BY line_no) AS listed FROM runs GROUP BY doc_id, run, kind),
+cards(doc_id, b, no, card, tr, rf, role) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, -1::BIGINT, false, false, false, '' FROM blocks
+  UNION ALL
+  SELECT doc_id, nb, no + CASE WHEN joins THEN 0 ELSE 1 END, kind IN ('verse', 'quote') OR joins,
+    (joins AND tr) OR (joins AND kind = 'translation'), (joins AND rf) OR (joins AND kind = 'verse-ref'),
+    CASE WHEN kind IN ('verse', 'quote') THEN 'item' WHEN kind IN ('translation', 'verse-ref') THEN kind ELSE 'block' END
+  FROM (SELECT c.doc_id, c.no, c.tr, c.rf, x.b AS nb, x.kind, c.card AND (x.kind IN ('verse', 'quote')
+      OR (x.kind = 'translation' AND NOT c.tr) OR (x.kind = 'verse-ref' AND NOT c.rf)) AS joins
+    FROM cards c JOIN blocks x ON x.doc_id = c.doc_id AND x.b = c.b + 1))
+SELECT doc_id, no AS block, CASE WHEN bool_or(role <> 'block') THEN 'verse-card' WHEN any_value(kind) = 'bullet' THEN 'bullet-list' ELSE any_value(kind) END AS type,
+  CASE WHEN bool_or(role = 'block') AND any_value(kind) <> 'bullet' THEN any_value(said) END AS text,
+  CASE WHEN bool_or(role <> 'block') THEN coalesce(string_agg(CASE WHEN kind = 'quote' THEN '“' || said || '”' ELSE said END, chr(10) ORDER BY b) FILTER (role = 'item'), '')
+       WHEN any_value(kind) = 'bullet' THEN any_value(listed) END AS items,
+  any_value(said) FILTER (role = 'translation') AS translation, any_value(said) FILTER (role = 'verse-ref') AS ref
+FROM cards JOIN blocks USING (doc_id, b) GROUP BY doc_id, no"""
