@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomewright.functions.strings import once
 from tomewright.llm.common import stored
 from tomewright.llm.components import connected_components
 
@@ -39,15 +40,19 @@ def url_node(url: Column) -> Column:
     return F.concat(url_host(url), url_path(url), query)
 
 
-def link_targets(url: Column, html: Column) -> Column:
-    """Absolute targets of canonical links and refresh redirects in a page, markup comments and scripts aside."""
-    shown = F.regexp_replace(html, HIDDEN, "")
+def shown_markup(html: Column) -> Column:
+    """The page without comments and scripts."""
+    return F.regexp_replace(html, HIDDEN, "")
+
+
+def link_targets(url: Column, shown: Column) -> Column:
+    """Absolute targets of the canonical links and refresh redirects in shown mark-up."""
     canonical = F.transform(
-        F.expr(f"regexp_extract_all(shown, r'{_sql(CANONICAL_TAG)}', 0)"),
+        F.regexp_extract_all(shown, F.lit(CANONICAL_TAG), F.lit(0)),
         lambda tag: F.concat(*(F.regexp_extract(tag, HREF, g) for g in (1, 2, 3))),
     )
     refresh = F.transform(
-        F.expr(f"regexp_extract_all(shown, r'{_sql(REFRESH_TAG)}', 0)"), lambda tag: F.regexp_extract(tag, REFRESH_URL, 1)
+        F.regexp_extract_all(shown, F.lit(REFRESH_TAG), F.lit(0)), lambda tag: F.regexp_extract(tag, REFRESH_URL, 1)
     )
     origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*((?:[^?#]*/)?)", 1)
@@ -58,23 +63,19 @@ def link_targets(url: Column, html: Column) -> Column:
             F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
             .when(t.startswith("//"), F.concat(F.lit("http:"), t))
             .when(t.startswith("/"), F.concat(origin, t))
-            .when(t.startswith("?"), F.concat(origin, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), t))
+            .when(t.startswith("?"), F.concat(origin, url_path(url), t))
             .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), t))
         )
 
-    targets = F.filter(F.concat(canonical, refresh), lambda t: F.trim(t) != "")
-    return shown, lambda: F.transform(targets, absolute)
-
-
-def _sql(pattern: str) -> str:
-    return pattern.replace("'", "\\x27")
+    return F.transform(F.filter(F.concat(canonical, refresh), lambda t: F.trim(t) != ""), absolute)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(url, target) of every canonical link or refresh redirect; pages that name neither are skipped unread."""
-    shown, targets = link_targets(F.col("url"), F.col("html"))
-    linking = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", shown.alias("shown"))
-    return linking.select("url", F.explode(targets()).alias("target")).where(F.col("target").contains("://"))
+    naming = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    linking = naming.select("url", once(shown_markup(F.col("html"))).alias("shown"))
+    links = linking.select("url", F.explode(link_targets(F.col("url"), F.col("shown"))).alias("target"))
+    return links.where(F.col("target").contains("://"))
 
 
 def best_rule(nodes: DataFrame, rules: DataFrame) -> DataFrame:
