@@ -50,6 +50,35 @@ def test_one_page(page, text):
     assert H.extract_text(page or "", H.Parser(), H.Template(None), True) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='single no-sidebar'><p>a</p></body>", "a"),
+        ("<body class=search><div>x</div><article><p>a</article></body>", "a"),
+        ("<p>top</p><div class='content has-sidebar'><article><p>a</article></div>", "a"),
+        ("<p>top</p><article class='post comments-open'><p>a<div class=comments><article>c</article></div></article>", "a"),
+        ("<p>top of page</p><div class='sidebar-layout'><article><p>a</article></div>", "a"),
+        ("<p>top of page</p><div class='header-sticky'><main><p>a</main></div>", "a"),
+        ("<form id=form1><div><article><p>a</p><div class=ad>x</div></article></div></form>", "a"),
+        ("<article><p>a</article><div class=sidebar><article>teaser</article></div><article class=promo>p</article>", "a"),
+        ("<div class=entry>the story</div><div class=comments><article>c</article></div>", "the story"),
+        ("<main>crumb<div class='search-page'><article><p>the story</article></div></main>", "the story"),
+        ("<div class='notice-text'><p>a</p></div><nav>n</nav><div class=site-footer>f</div>", "a"),
+        ("<article><div class=notice><p>a</div></article>", "a"),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</article>", "if x=2 holds"),
+        ("<noscript>n</noscript><article><p>a<noscript><p>b</noscript></article>", "a\nb"),
+        ("<p>a</p><div class=site-footer>f</div><div class=main-nav>m</div><div class='cookie-bar'>c</div>", "a"),
+    ],
+)
+def test_names_are_hints(page, text):
+    assert H.extract_text(page, H.Parser(), H.Template(None), True) == text
+
+
+def test_template_overrules_a_name(spark):
+    rows = [(k, f"http://a.io/{k}", f"<div>All about us</div><div class='notice-body'><p>story {k}</p></div>") for k in range(12)]
+    assert extract(spark, rows) == {k: f"story {k}" for k in range(12)}
+
+
 def page(k, title="t"):
     return f"<html><body><div><span>Site name</span></div><div><p>By the editors</p><p>story {k} one</p><p>story {k} two</p></div><div><p>All about us</p></div></body></html>"
 

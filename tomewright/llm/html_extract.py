@@ -15,7 +15,7 @@ from tomewright.llm.common import small_batches, stored
 from tomewright.llm.url_filter import url_host
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: A tag that the end of the page cuts off.
 CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 SPACES = re.compile(r"\s+")
@@ -23,19 +23,32 @@ WORD = re.compile(r"[a-z]+")
 
 # HTML element names by what they mean for a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas".split())
+RAW = frozenset("script style textarea title iframe template svg object canvas".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math semantics maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr mlabeledtr munder munderover".split()
 )
-NEVER = frozenset("head nav footer aside form button select option datalist dialog".split()) | RAW
-#: Words of class, id and role names that mark page furniture.
+#: Inline elements that stand apart from the text before them.
+GAPS = frozenset("br mtd mtr mlabeledtr".split())
+#: A formula once more in another notation.
+NOTES = frozenset("annotation annotation-xml".split())
+NEVER = frozenset("head nav footer aside button select option datalist dialog".split()) | RAW
+#: Whole class, id and role names, and first words of such names, that mark page furniture.
 FURNITURE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar ad ads adsense advert adverts advertisement "
     "advertisements banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal newsletter "
     "subscribe subscription login signup comment comments commentlist respond reply replies disqus complementary "
     "contentinfo search form skip".split()
 )
+#: Words that mark furniture at the end of a name too (site-footer), and furniture that has articles of its own.
+TAILS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer comments".split())
+REMARKS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: A name with one of these tells how a page looks (no-sidebar, comments-open), not what the element is.
+STATES = frozenset("no not has have with without is hide show open opened closed on off enabled disabled hidden visible collapsed free less none".split())
+#: Elements that are never furniture by their names.
+WHOLE = frozenset("html body main".split())
 #: Page heads are furniture outside the article only: an article's own head holds its title.
 HEADS = frozenset("header masthead topbar".split())
 CONTENT = frozenset("article main content post entry story".split())
@@ -48,7 +61,9 @@ for _tag in BLOCKS_CLOSE_P:
     CLOSES[_tag] = CLOSES.get(_tag, frozenset()) | {"p"}
 FENCES = frozenset("ul ol table dl article section div main body td th blockquote aside nav".split())
 
-KEEP, FURNISH, HEAD = 0, 1, 2
+#: What stands above a text: nothing; named furniture that holds the article or main around it (by a name's first
+#: word, or plainly); a page's head; furniture by name, the same plainly, inside an article; furniture by element.
+KEEP, LIFT, LIFT_PLAIN, HEAD, NAMED, PLAIN, INNER, FURNISH = range(8)
 ROOT = 0  # token every page has once
 
 COUNTS = "host string, token bigint, parent bigint, pages bigint, low bigint, high bigint"
@@ -81,11 +96,15 @@ class Parser:
         found = self.known.get(key)
         if found is None:
             names: list[str] = []
+            role = FURNISH if tag in NEVER else NAMED if tag == "form" else HEAD if tag == "header" else KEEP
             if attributes:
-                for m in NAMED.finditer(attributes):
-                    names += WORD.findall((m[2] or m[3] or m[4] or "").lower())
+                for m in NAMES.finditer(attributes):
+                    for name in (m[2] or m[3] or m[4] or "").lower().split():
+                        words = WORD.findall(name)
+                        names += words
+                        if tag not in WHOLE:
+                            role = max(role, self.named(words))
             words = set(names)
-            role = FURNISH if tag in NEVER or words & FURNITURE else HEAD if tag == "header" or words & HEADS else KEEP
             content = 3 if tag == "article" else 2 if tag == "main" else 1 if words & CONTENT and tag != "body" else 0
             found = (_token(parent, tag, *names), role, content)
             if len(self.known) > 100_000:
@@ -93,10 +112,40 @@ class Parser:
             self.known[key] = found
         return found
 
+    @staticmethod
+    def named(words: list[str]) -> int:
+        """Role of one class, id or role name."""
+        if not words or STATES.intersection(words):
+            return KEEP
+        if words[0] in FURNITURE or words[-1] in TAILS:
+            return PLAIN if len(words) == 1 or words[-1] in TAILS or not REMARKS.isdisjoint(words) else NAMED
+        return HEAD if words[0] in HEADS or words[-1] in HEADS else KEEP
+
+    @staticmethod
+    def below(top: Element, own: int, content: int) -> int:
+        """Role of an element by its own one and what stands above; ``content`` is its own rank.
+
+        Furniture by name may hold the page's article: what it holds is marked to be lifted. Named furniture
+        inside an article is no holder of another.
+        """
+        if FURNISH in (own, top.role):
+            return FURNISH
+        if own == HEAD and top.content >= 2:
+            own = KEEP
+        if top.role == INNER or own and top.content == 3:
+            return INNER
+        role = own if top.role in (KEEP, LIFT, LIFT_PLAIN) and own else max(own, top.role)
+        return (LIFT_PLAIN if role == PLAIN else LIFT) if content >= 2 and role >= HEAD else role
+
+    @staticmethod
+    def end_of(tag: str, page: str, at: int) -> int:
+        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+        return end.end() if end else len(page)
+
     def walk(self, page: str) -> Iterator[tuple[int, int, str | None, int, int]]:
         """(token, parent, text or None, role, content rank): elements have no text, blocks of text have one.
 
-        The role is that of the gravest element above; the content rank that of the best one.
+        The role tells what furniture stands above; the content rank is that of the best element above.
         """
         stack = [Element("", ROOT, KEEP, 0)]
         text: list[str] = []
@@ -118,9 +167,13 @@ class Parser:
                 continue
             tag = tag.lower()
             if tag in INLINE:
-                if tag == "br":
+                if tag in GAPS:
                     text.append(" ")
                 continue
+            if tag in NOTES:
+                if not m[1] and not m[3].endswith("/"):
+                    at = self.end_of(tag, page, at)
+                continue
             yield from block()
             if m[1]:
                 for depth in range(len(stack) - 1, 0, -1):
@@ -138,11 +191,11 @@ class Parser:
                     depth -= 1
             top = stack[-1]
             token, role, content = self.place(top.token, tag, m[3])
-            role = FURNISH if FURNISH in (role, top.role) else KEEP if role == HEAD and top.content >= 2 else max(role, top.role)
+            role = self.below(top, role, content)
+            raw = tag in RAW or tag == "noscript" and top.content < 2
             yield token, top.token, None, role, max(content, top.content)
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if raw:
+                at = self.end_of(tag, page, at)
             elif tag not in VOID and not m[3].endswith("/"):
                 stack.append(Element(tag, token, role, max(content, top.content)))
         if at < n:
@@ -239,14 +292,31 @@ def extract_text(page: str, parser: Parser, template: Template, constant_text: b
     forms and comments are furniture. Of the others those inside an ``article`` count, else inside
     ``main``, else inside an element named as content, else all. Text that is the template's own (the same
     block once on every page of the host) is dropped if ``constant_text``.
+
+    Names are hints. An article or main inside furniture by name is the page's own where no other is; beside
+    text of an element named as content or ``main``, or if the name says nothing else, only if it is longer.
+    Where names and template leave no text, the slots that only a name makes furniture count, page heads last.
     """
-    blocks = [
-        (content, text)
-        for token, parent, text, role, content in parser.walk(page)
-        if text is not None and role == KEEP and not (constant_text and token in template.constant and parent in template.tokens)
-    ]
-    best = max((content for content, _ in blocks), default=0)
-    return "\n".join(text for content, text in blocks if content == best)
+    slots: dict[int, list[tuple[int, str]]] = {}
+    for token, parent, text, role, content in parser.walk(page):
+        if text is not None and not (constant_text and token in template.constant and parent in template.tokens):
+            slots.setdefault(role, []).append((content, text))
+
+    def best(*roles: int) -> tuple[int, list[str]]:
+        found = [(content, text) for role in roles for content, text in slots.get(role, ())]
+        most = max((content for content, _ in found), default=-1)
+        return most, [text for content, text in found if content == most]
+
+    rank, texts = best(KEEP)
+    for role in (LIFT, LIFT_PLAIN):
+        lifted, held = best(role)
+        longer = sum(map(len, held)) > sum(map(len, texts))
+        if lifted > rank and (longer or role == LIFT and rank < 1):
+            rank, texts = lifted, held
+    for role in (NAMED, PLAIN, INNER, HEAD):
+        if not texts:
+            texts = best(role)[1]
+    return "\n".join(texts)
 
 
 def extract_pages(pages: DataFrame, template_pages: int = 10) -> DataFrame:
