@@ -92,6 +92,19 @@ def test_template_text_of_a_host_is_dropped(spark):
     assert got[205].startswith("Site name")
 
 
+def test_template_text_missing_once_or_shown_twice_is_dropped(spark):
+    menu, foot = "<div><div>Home of all</div></div>", "<div><p>All about us</p></div>"
+    rows = [(k, f"http://a.io/{k}", f"{menu}<div><p>story {k}</p></div>{menu}{foot}") for k in range(19)]
+    rows += [(19, "http://a.io/19", "<div><p>not found</p></div>")]
+    rows += [(20 + k, "http://a.io/copy", rows[7][2]) for k in range(40)]  # copies make no text frequent
+    assert extract(spark, rows) == {k: "not found" if k == 19 else f"story {7 if k >= 20 else k}" for k in range(60)}
+
+
+def test_text_that_many_articles_share_stays(spark):
+    rows = [(k, f"http://a.io/{k}", f"<div>{k} visits</div><article><p>story {k % 3 // 2}</p></article>") for k in range(21)]
+    assert extract(spark, rows) == {k: f"story {k % 3 // 2}" for k in range(21)}
+
+
 def test_equal_occurrence_vectors_have_equal_digests(spark):
     rows = [("h", "<div><p>a</p></div>"), ("h", "<div><p>a</p><p>b</p></div><div>c</div>"), ("h", "<p>z</p>"), ("g", "<div>q</div>")]
     counts = H.occurrence_counts(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()

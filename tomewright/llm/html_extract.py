@@ -66,7 +66,7 @@ FENCES = frozenset("ul ol table dl article section div main body td th blockquot
 KEEP, LIFT, LIFT_PLAIN, HEAD, NAMED, PLAIN, INNER, FURNISH = range(8)
 ROOT = 0  # token every page has once
 
-COUNTS = "host string, token bigint, parent bigint, pages bigint, low bigint, high bigint"
+COUNTS = "host string, token bigint, parent bigint, pages bigint, low bigint, high bigint, distinct_pages double"
 
 
 def _token(*parts) -> int:
@@ -209,13 +209,16 @@ def occurrence_counts(pages: DataFrame) -> DataFrame:
     The vector lists how often the token occurs on each page. Its digest is the sum of a hash of (page,
     count) over pages, so it can be added up anywhere in any order; tokens with equal vectors have equal
     digests, however many pages the host has.
+
+    A column ``copies``, where there is one, tells how many rows hold the same page: ``distinct_pages`` counts
+    them as one, each with its share of it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
         for batch in batches:
             sums: dict[tuple[str, int], list[int]] = {}
-            for host, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for host, value, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 page = value.as_py() or ""
                 digest = xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass"))
                 seen: dict[int, list[int]] = {ROOT: [1, ROOT]}
@@ -227,27 +230,30 @@ def occurrence_counts(pages: DataFrame) -> DataFrame:
                     h = hashes.get(times)
                     if h is None:
                         h = hashes[times] = xxhash.xxh3_64_intdigest(digest.to_bytes(8, "little"), times)
-                    row = sums.setdefault((host, token), [parent, 0, 0, 0])
+                    row = sums.setdefault((host, token), [parent, 0, 0, 0, 0.0])
                     row[1] += 1
                     row[2] += h & 0xFFFFFFFF
                     row[3] += h >> 32
+                    row[4] += 1 / copies
             keys, rows = list(sums), list(sums.values())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([h for h, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()),
-                    *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)),
+                    *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array([r[4] for r in rows], pa.float64()),
                 ],
-                names=["host", "token", "parent", "pages", "low", "high"],
+                names=["host", "token", "parent", "pages", "low", "high", "distinct_pages"],
             )
 
-    sums = small_batches(pages.select("host", "html")).mapInArrow(count, COUNTS)
+    copies = F.coalesce("copies", F.lit(1)) if "copies" in pages.columns else F.lit(1)
+    sums = small_batches(pages.select("host", "html", copies.cast("bigint").alias("copies"))).mapInArrow(count, COUNTS)
     return sums.groupBy("host", "token").agg(
-        F.min("parent").alias("parent"), F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high")
+        F.min("parent").alias("parent"), F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high"),
+        F.sum("distinct_pages").alias("distinct_pages"),
     )
 
 
 def host_templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
-    """(host, n_pages, tokens): tokens on at least ``share`` of a host's pages with their equivalence class.
+    """(host, n_pages, tokens): tokens on at least ``share`` of a host's different pages with their equivalence class.
 
     Tokens with the same occurrence vector are a class. At most ``1 / share`` times the tokens of an average
     page remain for each host, whatever the number of its pages.
@@ -255,8 +261,8 @@ def host_templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
     counts = occurrence_counts(pages)
     root = F.col("token") == ROOT
     common = stored(counts.where((F.col("pages") > 1)))
-    whole = common.where(root).select("host", F.col("pages").alias("n_pages"))
-    frequent = common.join(whole, "host").where(F.col("pages") >= F.col("n_pages") * share)
+    whole = common.where(root).select("host", F.col("distinct_pages").alias("n_pages"))
+    frequent = common.join(whole, "host").where(F.col("distinct_pages") >= F.col("n_pages") * share - 1e-6)
     sized = frequent.groupBy("host", "low", "high").agg(F.first("n_pages").alias("n_pages"), F.collect_list(F.struct("token", "parent")).alias("tokens"))
     return (
         sized.groupBy("host")
@@ -290,16 +296,18 @@ def extract_text(page: str, parser: Parser, template: Template, constant_text: b
 
     Template elements cut a page into slots. Slots under menus, heads, feet, side bars, notices, adverts,
     forms and comments are furniture. Of the others those inside an ``article`` count, else inside
-    ``main``, else inside an element named as content, else all. Text that is the template's own (the same
-    block once on every page of the host) is dropped if ``constant_text``.
+    ``main``, else inside an element named as content, else all. Text that is the template's own (a
+    block of a nested class, on most pages of the host, equally often on each or not) is dropped if
+    ``constant_text``; inside an article or main only if it stands once on every page, as several pages may
+    hold one article.
 
     Names are hints. An article or main inside furniture by name is the page's own where no other is; beside
     text of an element named as content or ``main``, or if the name says nothing else, only if it is longer.
     Where names and template leave no text, the slots that only a name makes furniture count, page heads last.
     """
     slots: dict[int, list[tuple[int, str]]] = {}
-    for token, parent, text, role, content in parser.walk(page):
-        if text is not None and not (constant_text and token in template.constant and parent in template.tokens):
+    for token, _, text, role, content in parser.walk(page):
+        if text is not None and not (constant_text and token in (template.constant if content >= 2 else template.tokens)):
             slots.setdefault(role, []).append((content, text))
 
     def best(*roles: int) -> tuple[int, list[str]]:
@@ -323,16 +331,21 @@ def extract_pages(pages: DataFrame, template_pages: int = 10) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages(page_id, url, html)``.
 
     ``n_chars`` counts code points. Null and empty pages and pages without text give an empty text; a null
-    url belongs to the host with the empty name. Text that a host repeats once on every page is dropped
-    only where the host has ``template_pages`` different pages at least. Repeated rows give repeated
+    url belongs to the host with the empty name. Text that a host repeats on at least half of its
+    different pages (on all of them
+    once, inside an article or main) is dropped only where the host has ``template_pages`` different pages at least. Repeated rows give repeated
     results; extra columns are ignored. The whole page is read, whatever its length.
 
     Templates meet the pages in a join by host, which Spark broadcasts while the templates are small and
     else splits by skew, so a host with most pages is many tasks.
     """
     hosted = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
-    different = hosted.groupBy("host").agg(F.approx_count_distinct(F.xxhash64("html"), 0.02).alias("different"))
-    templates = stored(host_templates(hosted.select("host", "html")).join(different, "host"))
+    digest = F.xxhash64("html").alias("digest")
+    kinds = stored(hosted.select("host", digest).groupBy("host", "digest").agg(F.count("*").alias("copies")))
+    different = kinds.groupBy("host").agg(F.count("*").alias("different"))
+    copied = stored(kinds.where("copies > 1"))
+    counted = hosted.select("host", "html", digest).join(copied, ["host", "digest"], "left").select("host", "html", "copies")
+    templates = stored(host_templates(counted).join(different, "host"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
