@@ -82,6 +82,16 @@ def test_same_id_with_other_texts(spark):
     assert {r.doc_id: r.class_id for r in N.jaccard_classes(docs(spark, rows)).collect()} == {1: 1, 2: 1, 3: 1}
 
 
+def test_near_texts_under_a_shared_id(spark):
+    near = list(near_copies(5, 3, edits=1))
+    rows = [(7, near[0]), (7, prose(2, 50)), (7, None), (7, near[0]), (8, near[1]), (9, near[2]), (10, prose(2, 50) + " more")]
+    want = [r for r in by_hand(rows) if r[3]]
+    for order in (rows, rows[::-1]):
+        df = docs(spark, order).coalesce(1)
+        assert rows_of(N.jaccard_classes(df)) == want
+        assert {r.doc_id for r in N.keep_one_of_each(df).collect()} == {7}
+
+
 def test_minhash_estimates_similarity():
     s = N.Shingler(5)
     a, b = list(near_copies(9, 2, words=400, edits=8))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import block_keys, runs, small_batches, stored
+from tomewright.llm.common import block_keys, is_empty, runs, small_batches, stored
 from tomewright.llm.components import connected_components
 
 #: Pairs whose sketches agree in fewer than this share of positions are not compared by text. With 80
@@ -60,6 +60,10 @@ class Shingler:
         return np.unique(total)
 
 
+def _key(shingles: np.ndarray) -> str:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
+
+
 def _hash_factors(count: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b"permutation %d" % k) | 1 for k in range(count)], np.uint64)
 
@@ -89,7 +93,7 @@ def signatures(docs: DataFrame, n: int, trees: int, levels: int, depth: int, tex
                     continue
                 low = minhashes(found, factors).reshape(trees, levels)
                 ids.append(doc_id)
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest())
+                keys.append(_key(found))
                 prefixes.append([xxhash.xxh3_64_intdigest(row[:depth].tobytes(), t) - (1 << 63) for t, row in enumerate(low)])
                 sketches.append(low.tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -100,6 +104,19 @@ def signatures(docs: DataFrame, n: int, trees: int, levels: int, depth: int, tex
     return small_batches(docs.select("doc_id", text)).mapInArrow(make, SIGNATURES)
 
 
+def keyed_texts(docs: DataFrame, n: int) -> DataFrame:
+    """(rep, key, text): the texts of ``docs(rep, text)`` beside the digest of their shingle set, one row of each."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for batch in batches:
+            keys = [_key(shingler.shingles(value.as_py())) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), batch.column(1)], names=["rep", "key", "text"])
+
+    made = small_batches(docs.select(F.col("rep").cast("bigint"), "text")).mapInArrow(make, "rep bigint, key string, text string")
+    return made.groupBy("rep", "key").agg(F.first("text").alias("text"))
+
+
 def _local_roots(linked: np.ndarray) -> np.ndarray:
     """Smallest row reachable from each row of a symmetric link matrix."""
     n = len(linked)
@@ -170,8 +187,6 @@ def _exact_links(n: int, threshold: tuple[int, int]):
                 continue
             sets = [shingler.shingles(t.as_py()) for t in table.column("text")]
             keys = table.column("key").to_pylist()
-            own = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == k for s, k in zip(sets, keys)])
-            pairs &= own[:, None] & own[None, :]  # another row with the same id: not the class's text
             size = np.array([len(s) for s in sets])
             every, place = np.unique(np.concatenate(sets), return_inverse=True)
             starts = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -236,13 +251,23 @@ def jaccard_classes(
 
     sizes = stored(clusters.groupBy("component").agg(F.count("*").alias("size")))
     chunk, blocks = block_keys(F.col("key"), F.col("size"), block_rows)
-    members = (
+    members = stored(
         clusters.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
         .join(sets.select("key", "rep"), "key")
     )
+    # A set's text is that of its smallest id. Where other rows have that id too, it is found by its key.
+    every = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
+    shared_ids = stored(
+        docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("rows")).where("rows > 1")
+        .join(members, "rep", "left_semi").select("rep")
+    )
+    found = every.join(members, "rep")
+    if not is_empty(shared_ids):
+        several = keyed_texts(every.join(shared_ids, "rep", "left_semi"), n).join(members, ["rep", "key"])
+        single = every.join(members.join(shared_ids, "rep", "left_anti"), "rep")
+        found = single.unionByName(several)
     texts = (
-        docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(members, "rep")
-        .select("key", "component", "text", chunk.alias("chunk"), F.explode(blocks).alias("b"))
+        found.select("key", "component", "text", chunk.alias("chunk"), F.explode(blocks).alias("b"))
         .select(F.xxhash64("component", "b.i", "b.j").alias("block"), "b.i", "b.j", "chunk", "key", "text")
     )
     links = stored(
