@@ -71,3 +71,20 @@ def test_few_rows_and_none(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
     assert ann.nearest(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(spark.createDataFrame([(0, [1.0], 1)], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_rows_take_no_place_of_another_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 8)).astype(np.float32)
+    hot = np.array([1.2 * v for v in (x[0] + rng.standard_normal((50, 8)).astype(np.float32) / 100)], np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] * 2 + [(999, v.tolist(), 0) for v in hot]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 200, 20))
+    hits = 0
+    for q, found in got.items():
+        score = {i: float(x[i].astype(float) @ x[q]) for i in range(200) if i != q} | {999: float((hot.astype(float) @ x[q]).max())}
+        assert len({i for _, i, _ in found}) == 20 and all(abs(s - score[i]) < 1e-6 for _, i, s in found)
+        hits += len({i for _, i, _ in found} & set(sorted(score, key=lambda i: -score[i])[:20]))
+    assert got[0][0][1] == 999 and hits / (20 * len(got)) >= 0.9

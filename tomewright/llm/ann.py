@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomewright.llm.common import runs
+from tomewright.llm.common import runs, stored
 
 BITS, PARTS = 64, 8
 PART_BITS = BITS // PARTS
@@ -127,19 +127,24 @@ def _search(hasher, k: int):
             x = np.array(table.column("embedding").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
             held, held_ids = x[~asks], ids[~asks]
             index = MultiIndex(h.codes(held))
+            known = set(held_ids.tolist())
+            different = len(known)
             out: tuple[list, list, list] = ([], [], [])
             for query_id, query, code in zip(ids[asks], x[asks], h.codes(x[asks], query=True)):
-                others = len(held_ids) - np.count_nonzero(held_ids == query_id)
+                others = different - (query_id in known)
                 radius = h.radius
                 while True:
                     rows = index.within(code, radius)
                     rows = rows[held_ids[rows] != query_id]
-                    if len(rows) >= min(k, others) or radius >= BITS:
+                    if len(rows) >= min(k, others) and len(np.unique(held_ids[rows])) >= min(k, others) or radius >= BITS:
                         break
                     radius += 2
                 rough = held[rows] @ query
-                if len(rows) > k:
-                    floor = np.partition(rough, len(rows) - k)[len(rows) - k]
+                # The floor is the k-th best of different ids, each by its best row.
+                order = np.lexsort((-rough, held_ids[rows]))
+                heads = order[np.concatenate(([True], np.diff(held_ids[rows][order]) != 0))] if len(order) else order
+                if len(heads) > k:
+                    floor = np.partition(rough[heads], len(heads) - k)[len(heads) - k]
                     close = rough >= floor - 1e-9 * (1 + abs(floor))
                     rows = rows[close]
                 best = sorted((-_exact(query, held[r]), int(held_ids[r])) for r in rows)
@@ -171,13 +176,14 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query found by code.
 
     Queries are the rows for which ``is_query`` holds; candidates are all rows but the query's own. Codes
-    are learnt on at most ``sample`` rows, taken in order of a hash of their id; every row is indexed. The
+    are learnt on at most ``sample`` ids, taken in order of a hash of their id; every row is indexed. The
     rows are dealt by a hash of their id into shards and the queries into slabs, both of bounded size; each
     pair of them is one block with its own tables, whose best ``k`` are merged. Scores are exact. Ties go
     to the smaller id, many equal vectors included. A block with too few codes within the radius widens it.
 
     Rows without id or with an unusable vector take no part, nor do vectors whose length differs from the
-    commonest one. Rows with one id count as one query, and once in each result; extra columns are ignored.
+    commonest one. Rows with one id count as one query, and once in each result, by
+    the best of their vectors; equal rows are folded first, and the ``k`` are different ids. Extra columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -185,9 +191,10 @@ def nearest(
     if width is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.where(F.size("embedding") == width["width"]).withColumn("asked", F.coalesce(is_query, F.lit(False)))
+    rows = stored(rows.groupBy("vec_id", "embedding").agg(F.max("asked").alias("asked")))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     n, asked, bound = rows.agg(F.count("*"), F.count_if("asked"), F.max(length)).first()
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    taken = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     x = np.array(taken.column("embedding").combine_chunks().flatten(), np.float64).reshape(-1, width["width"])
     hasher = spark.sparkContext.broadcast(fit(x, float(bound), k, recall))
 
