@@ -8,7 +8,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import ann, bpe, decontaminate, html_extract, license_scan, ngram_join, quality, repeated_strings, secret_scan, url_filter
+from tomewright.llm import (
+    ann, bpe, conversation_tree, decontaminate, hamming_join, html_extract, license_scan, ngram_join, periodic_runs, quality,
+    repeated_strings, secret_scan, url_filter,
+)
 from tomewright.llm.common import table, word_vocabulary
 
 #: (host, path, verdict) rules of the URL query.
@@ -69,6 +72,19 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_conversation_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_tree.prefix_nodes(conversation_tree.with_shared_heads(table(spark, d, "conversations")))
+
+
+def op12_hamming_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return hamming_join.near_duplicates(table(spark, d, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    planted = periodic_runs.with_planted_runs(table(spark, d, "documents"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(planted))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
@@ -77,13 +93,16 @@ _QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_template_decontamination, op3_quality_votes, op4_bpe_encode, op5_repeated_strings,
-        op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan, pipeline,
+        op6_multi_index_hashing, op7_license_dice, op8_url_filter, op9_template_extraction, op10_secret_scan,
+        op11_conversation_rollup, op12_hamming_dedup, op13_periodic_runs, pipeline,
     )
 }
 
 _SQL: dict[str, str] = {
     "op1_ngram_jaccard": ngram_join.jaccard_sql(),
     "op7_license_dice": license_scan.scan_sql(license_scan.TEMPLATES),
+    "op11_conversation_rollup": conversation_tree.nodes_sql(),
+    "op12_hamming_dedup": hamming_join.near_duplicates_sql(),
     "op8_url_filter": url_filter.judge_sql(URL_RULES),
 }
 
