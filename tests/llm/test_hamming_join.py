@@ -96,6 +96,12 @@ def test_a_chain_longer_than_a_block_is_one_component(spark):
     assert rows_of(H.near_duplicates(docs(spark, rows), signature_block=4, set_block=4)) == by_hand(rows)
 
 
+def test_texts_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(H.common, "BROADCAST_IDS", 0)
+    rows = groups(5) + [(1, "twice"), (1, "twice")]
+    assert rows_of(H.near_duplicates(docs(spark, rows))) == by_hand(rows)
+
+
 def test_one_id_with_several_texts(spark):
     a, b = prose(31, 50), prose(32, 50)
     for rows in ([(7, a), (7, b), (8, a + " more"), (9, b + " more")], [(7, b), (7, a), (9, b + " more"), (8, a + " more"), (7, a)]):
@@ -111,7 +117,7 @@ def test_all_pairs_within_the_distance_share_a_key(spark):
         a = rng.integers(0, 256, chunks * width, dtype=np.uint8)
         b = a.copy()
         for at in rng.choice(chunks * width, 2 * chunks - 1, replace=False):
-            b[at] += np.uint8(rng.integers(1, 256))
+            b[at] = (int(b[at]) + rng.integers(1, 256)) % 256
         rows += [(2 * k, a.tobytes()), (2 * k + 1, b.tobytes())]
     df = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "id bigint, s binary")
     keys = {r.id: set(r.k) for r in df.select("id", H.chunk_keys(df.s, chunks, width, 1).alias("k")).collect()}

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tomewright.session import checkpoint_folder
 
 
+#: Ids (8 bytes each, 8 MB in all) that may be sent to every executor.
+BROADCAST_IDS = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +50,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_ids(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, one column of distinct ids, written once, and marked for broadcast while there are at most ``most``.
+
+    A join with few ids then leaves the texts of the other side where they are; with more, both sides are
+    shuffled as Spark sees fit.
+    """
+    ids = stored(ids)
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)
 

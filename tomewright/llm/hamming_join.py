@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import is_empty, runs, small_batches, stored
+from tomewright.llm import common
+from tomewright.llm.common import is_empty, small_batches, stored
 from tomewright.llm.components import connected_components
 from tomewright.llm.ngram_join import minhashes
 
@@ -106,10 +107,16 @@ class NearSignatures:
         self.radius, self.over, self.under = radius, over, under
         self.valid = np.ones(table.num_rows, bool)
 
-    def near(self, a: int, others: np.ndarray) -> np.ndarray:
-        size = self.size[others]
-        fits = np.minimum(size, self.size[a]) * self.under >= np.maximum(size, self.size[a]) * self.over
-        return fits & ((self.signature[others] != self.signature[a]).sum(1) <= self.radius)
+    def near(self, a: int | np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether each of ``others`` is near row ``a``, or near the row of ``a`` that stands at its place."""
+        size, mine = self.size[others], self.size[a]
+        out = np.minimum(size, mine) * self.under >= np.maximum(size, mine) * self.over
+        at = np.flatnonzero(out)
+        for k in range(0, len(at), 65_536):
+            part = at[k : k + 65_536]
+            pair = self.signature[others[part]] != self.signature[a[part] if isinstance(a, np.ndarray) else a]
+            out[part] = pair.sum(1, dtype=np.int16) <= self.radius
+        return out
 
 
 class NearSets:
@@ -131,48 +138,80 @@ class NearSets:
         return common * self.under >= (len(mine) + size - common) * self.over
 
 
-def _first_rows(table: pa.Table, valid: np.ndarray) -> np.ndarray:
-    """The first valid row of each (side, node) of a block."""
-    at = np.flatnonzero(valid)
-    side, node = table.column("side").to_numpy()[at], table.column("node").to_numpy()[at]
-    _, first = np.unique(np.stack([side.astype(np.int64), node], 1), axis=0, return_index=True)
-    return at[first]
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Record batches sorted by their first column, regrouped into tables that cut no block."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        block = table.column(0)
+        last = block[-1].as_py()
+        start = int(np.searchsorted(block.to_numpy(), last)) if block[0].as_py() != last else 0
+        if start:
+            yield table.slice(0, start).combine_chunks()
+        held = table.slice(start)
+    if held is not None:
+        yield held.combine_chunks()
 
 
 def _links(judge: Callable[[pa.Table], NearSignatures | NearSets]):
     """Stars (a, b) that join what is near in each block, not one row for each near pair.
 
-    A block of one side is searched breadth first, so that members joined already are not compared again.
+    A block of one side is searched breadth first, so that members joined already are not compared again;
+    the first row of each block is compared with the others of all blocks at once where ``judge`` can do that.
     In a block of two sides a row of side 1 is compared with those of side 0 that belong elsewhere so far.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches):
+        for table in _whole_blocks(batches):
             judged = judge(table)
-            rows = _first_rows(table, judged.valid)
-            side, node = table.column("side").to_numpy(), table.column("node").to_numpy()
-            ends: list[tuple[int, int]] = []
-            if not side.any():
-                left = rows
-                while len(left):
-                    start, left = left[0], left[1:]
-                    queue = [start]
-                    while queue and len(left):
-                        hit = judged.near(queue.pop(), left)
-                        ends += [(k, start) for k in left[hit]]
-                        queue += left[hit].tolist()
-                        left = left[~hit]
-            else:
+            block, side, node = (table.column(c).to_numpy() for c in ("block", "side", "node"))
+            rows = np.flatnonzero(judged.valid)
+            rows = rows[np.lexsort((node[rows], side[rows], block[rows]))]
+            same = (block[rows[1:]] == block[rows[:-1]]) & (side[rows[1:]] == side[rows[:-1]])
+            rows = rows[np.append(True, ~(same & (node[rows[1:]] == node[rows[:-1]])))] if len(rows) else rows
+            if not len(rows):
+                continue
+            first = np.append(True, block[rows[1:]] != block[rows[:-1]])
+            cuts = np.flatnonzero(first)
+            ends: list[tuple[np.ndarray, np.ndarray]] = []
+            if side.any():
                 belongs = table.column("component").to_numpy().copy()
-                all_, some = rows[side[rows] == 0], rows[side[rows] == 1]
-                for a in some:
-                    others = all_[belongs[all_] != belongs[a]]
-                    if len(others):
-                        hit = others[judged.near(a, others)]
-                        ends += [(k, a) for k in hit]
-                        belongs[np.isin(belongs, belongs[hit])] = belongs[a]
-            if ends:
-                a, b = np.array(ends).T
+                for part in np.split(rows, cuts[1:]):
+                    all_, some = part[side[part] == 0], part[side[part] == 1]
+                    for a in some:
+                        others = all_[belongs[all_] != belongs[a]]
+                        if len(others):
+                            hit = others[judged.near(a, others)]
+                            ends.append((hit, np.full(len(hit), a)))
+                            belongs[part[np.isin(belongs[part], belongs[hit])]] = belongs[a]
+            else:
+                star = np.zeros(len(rows), bool)
+                if isinstance(judged, NearSignatures):
+                    of = rows[cuts[np.cumsum(first) - 1]]
+                    star[~first] = judged.near(of[~first], rows[~first])
+                    ends.append((rows[star], of[star]))
+                near, out = (np.add.reduceat(x.astype(np.int64), cuts) for x in (star, ~star & ~first))
+                open_ = np.flatnonzero((out > 1) | (out > 0) & (near > 0) | (out > 0) & (not isinstance(judged, NearSignatures)))
+                edges = np.append(cuts, len(rows))
+                for k in open_:
+                    part, met = rows[edges[k] : edges[k + 1]], star[edges[k] : edges[k + 1]]
+                    left, start = part[1:][~met[1:]], part[0]
+                    queue = part[1:][met[1:]].tolist() if isinstance(judged, NearSignatures) else [start]
+                    while True:
+                        while queue and len(left):
+                            hit = judged.near(queue.pop(), left)
+                            ends.append((left[hit], np.full(int(hit.sum()), start)))
+                            queue += left[hit].tolist()
+                            left = left[~hit]
+                        if len(left) < 2:
+                            break
+                        start, left = left[0], left[1:]
+                        queue = [start]
+            a, b = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, np.int64) for k in (0, 1))
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return link
@@ -180,13 +219,13 @@ def _links(judge: Callable[[pa.Table], NearSignatures | NearSets]):
 
 def _linked(blocks: DataFrame, judge) -> DataFrame:
     ordered = blocks.repartition("block").sortWithinPartitions("block")
-    return small_batches(ordered).mapInArrow(_links(judge), "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(_links(judge), "a bigint, b bigint").distinct()
 
 
-def near_links(groups: DataFrame, payload: DataFrame, judge, block: int) -> DataFrame:
+def near_links(groups: DataFrame, attach: Callable[[DataFrame], DataFrame], judge, block: int) -> DataFrame:
     """Edges (a, b) whose components are those of the near pairs within each group of ``groups(grp, weight, node)``.
 
-    ``payload(node, ...)`` is what ``judge`` compares. A group of up to ``block`` in weight is one block.
+    ``attach`` adds to rows with a node what ``judge`` compares. A group of up to ``block`` in weight is one block.
     A larger one is dealt into blocks of that size twice, by different hashes, which joins groups of copies
     as a rule. Where a large group still is in several components, every member outside its largest one
     is compared with all members of other components, block by block, so no near pair is lost and
@@ -196,8 +235,8 @@ def near_links(groups: DataFrame, payload: DataFrame, judge, block: int) -> Data
     deal = lambda k: F.struct(F.lit(k).alias("deal"), F.pmod(F.xxhash64("node", F.lit(k)), n).alias("part"))
     deals = F.when(n > 1, F.array(deal(1), deal(2))).otherwise(F.array(F.struct(F.lit(0).alias("deal"), F.lit(0).cast("bigint").alias("part"))))
     dealt = groups.select("node", "grp", F.explode(deals).alias("d")).select("node", F.xxhash64("grp", "d.deal", "d.part").alias("block"))
-    plain = dealt.join(payload, "node").select("block", F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("component"), *payload.columns)
-    edges = stored(_linked(plain, judge))
+    plain = dealt.select("block", F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("component"), "node")
+    edges = stored(_linked(attach(plain), judge))
     large = groups.where(F.col("weight") > block)
     if is_empty(large):
         return edges
@@ -222,34 +261,46 @@ def near_links(groups: DataFrame, payload: DataFrame, judge, block: int) -> Data
     range_ = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     whole = open_.select("node", "component", "grp", F.lit(0).alias("side"), range_("parts").alias("p"), part(3, "all_parts").alias("q"))
     outer = open_.where("component <> main").select("node", "component", "grp", F.lit(1).alias("side"), part(4, "parts").alias("p"), range_("all_parts").alias("q"))
-    crossed = whole.unionByName(outer).select("node", "side", "component", F.xxhash64("grp", "p", "q").alias("block"))
-    rest = crossed.join(payload, "node").select("block", "side", "component", *payload.columns)
-    return edges.unionByName(stored(_linked(rest, judge)))
+    crossed = whole.unionByName(outer).select(F.xxhash64("grp", "p", "q").alias("block"), "side", "component", "node")
+    return edges.unionByName(stored(_linked(attach(crossed), judge)))
+
 
+def _with_texts(docs: DataFrame, members: DataFrame, text: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds (set_key, text) to rows with a node: the text of the smallest id of the ``members(node, rep, set_key)``.
 
-def _texts(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
-    """(node, set_key, text) of the members' smallest ids; an id with several rows gives each of its texts once."""
+    Texts travel by id, in one join. While the members are few (``common.sent_ids``) their ids are sent to the scan of
+    ``docs`` first, so that other texts stay where they are; beyond, all texts are shuffled once. An id with several
+    rows gives each of its texts once; the judge knows by the key which one is meant.
+    """
+    ids = stored(members.select("rep").distinct())
+    few = ids.count() <= common.BROADCAST_IDS
     every = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col(text).cast("string").alias("text")).where("rep IS NOT NULL")
-    found = every.join(members, "rep")
-    repeated = stored(every.groupBy("rep").agg(F.count("*").alias("rows")).where("rows > 1").join(members.select("rep").distinct(), "rep").select("rep"))
+    if few:
+        every = every.join(F.broadcast(ids), "rep", "left_semi")
+    counts = docs.groupBy(F.col("doc_id").cast("bigint").alias("rep")).agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = stored(counts.join(ids, "rep").select("rep"))
     if not is_empty(repeated):
-        once = every.join(repeated, "rep").groupBy("rep", F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first("text").alias("text"))
-        single = members.join(repeated, "rep", "left_anti")
-        found = every.join(single, "rep").unionByName(once.select("rep", "text").join(members, "rep"))
-    return found.select("node", "set_key", "text")
+        several = every.join(repeated, "rep").groupBy("rep", F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first("text").alias("text"))
+        every = every.join(repeated, "rep", "left_anti").unionByName(several.select("rep", "text"))
+
+    def attach(rows: DataFrame) -> DataFrame:
+        named = stored(rows.join(members, "node"))
+        return named.join(every, "rep").select(*rows.columns, "set_key", "text")
+
+    return attach
 
 
 def near_duplicates(
-    docs: DataFrame, n: int = 2, threshold: tuple[int, int] = (80, 100), chunks: int = 18, width: int = 5, errors: int = 1,
+    docs: DataFrame, n: int = 2, threshold: tuple[int, int] = (80, 100), chunks: int = 16, width: int = 5, errors: int = 1,
     signature_block: int = SIGNATURE_BLOCK, set_block: int = SET_BLOCK, text: str = "text",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Texts whose sets of word ``n``-grams have a Jaccard similarity of at least ``threshold`` (a fraction)
     are linked; ``component_id`` is the smallest id reachable over links and equal sets, ``kept`` holds for
-    that document. With the defaults every pair whose signatures differ in up to 35 of 90 places is
-    compared in full; a pair of similarity just 0.8 differs in 18 on average and in more than 35 once
-    in 100,000 times, one of 0.85 once in 100 million.
+    that document. With the defaults every pair whose signatures differ in up to 31 of 80 places is
+    compared in full; a pair of similarity just 0.8 differs in 16 on average and in more than 31 once
+    in 33,000 times, one of 0.85 once in 19 million.
 
     Equal sets are folded first. Hot index keys and clusters are split (see ``near_links``). A text of fewer
     than ``n`` words is one n-gram of all its words; null texts and texts without words have an empty set
@@ -268,19 +319,21 @@ def near_duplicates(
     keyed = sets.select("node", F.explode(chunk_keys(F.col("signature"), chunks, width, errors)).alias("grp"))
     shared = keyed.groupBy("grp").agg(F.count("*").alias("weight")).where("weight > 1")
     met = stored(keyed.join(shared, "grp"))
+    signature = sets.select("node", "n_shingles", "signature")
     close = near_links(
-        met, sets.select("node", "n_shingles", "signature"), lambda t: NearSignatures(t, radius, over, under), signature_block
+        met, lambda rows: rows.join(signature, "node").select(*rows.columns, "n_shingles", "signature"),
+        lambda t: NearSignatures(t, radius, over, under), signature_block,
     )
     cluster = stored(connected_components(close))
     members = stored(cluster.join(sets.select("node", "rep", "set_key", "n_shingles"), "node"))
     weight = F.sum(F.ceil(F.col("n_shingles") / 2048)).cast("bigint").alias("weight")
-    groups = stored(
-        members.join(members.groupBy("component").agg(weight), "component").select(F.col("component").alias("grp"), "weight", "node")
-    )
-    links = near_links(groups, stored(_texts(docs, members.select("node", "rep", "set_key"), text)), lambda t: NearSets(t, n, over, under), set_block)
+    weights = stored(members.groupBy("component").agg(weight))
+    groups = stored(members.join(weights, "component").select(F.col("component").alias("grp"), "weight", "node"))
+    attach = _with_texts(docs, members.select("node", "rep", "set_key"), text)
+    links = near_links(groups, attach, lambda t: NearSets(t, n, over, under), set_block)
     joined = connected_components(links)
-    by_node = sets.select("set_key", "node", "rep").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    low = by_node.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_node = stored(sets.select("set_key", "node", "rep").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    low = stored(by_node.groupBy("component").agg(F.min("rep").alias("component_id")))
     by_set = by_node.join(low, "component").select("set_key", "component_id")
     alone = "doc_id IS NULL OR set_key IS NULL"
     rows = signed.where(f"NOT ({alone})").join(by_set, "set_key").select("doc_id", "n_shingles", "component_id")
