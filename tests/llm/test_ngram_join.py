@@ -113,3 +113,18 @@ def test_one_of_each_stays(spark):
 def test_sql(spark, data):
     ok, note = compare(spark, duck(data), "op1_ngram_jaccard", queries()["op1_ngram_jaccard"], oracle_sql()["op1_ngram_jaccard"], data)
     assert ok, note
+
+
+def test_no_text_is_shuffled_to_drop_copies(spark):
+    rows = [(k, t) for k, t in enumerate(near_copies(9, 40))] + [(100 + k, prose(60 + k, 30)) for k in range(20)]
+    kept = N.keep_one_of_each(docs(spark, rows))
+    kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_ids_are_shuffled_with_the_same_result(spark, monkeypatch):
+    rows = [(k, t) for k, t in enumerate(near_copies(9, 40))] + [(100 + k, prose(60 + k, 30)) for k in range(20)]
+    want = sorted(r.doc_id for r in N.keep_one_of_each(docs(spark, rows)).collect())
+    monkeypatch.setattr(N.sent_ids, "__defaults__", (0,))
+    assert sorted(r.doc_id for r in N.keep_one_of_each(docs(spark, rows)).collect()) == want

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import block_keys, is_empty, runs, small_batches, stored
+from tomewright.llm.common import block_keys, is_empty, runs, sent_ids, small_batches, stored
 from tomewright.llm.components import connected_components
 
 #: Pairs whose sketches agree in fewer than this share of positions are not compared by text. With 80
@@ -257,6 +257,7 @@ def jaccard_classes(
     )
     # A set's text is that of its smallest id. Where other rows have that id too, it is found by its key.
     every = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
+    every = every.join(sent_ids(members.select("rep").distinct()), "rep", "left_semi")
     shared_ids = stored(
         docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("rows")).where("rows > 1")
         .join(members, "rep", "left_semi").select("rep")
@@ -276,13 +277,13 @@ def jaccard_classes(
     )
     joined = connected_components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("n_links").alias("n_links"))
-    linked = (
+    linked = stored(
         sets.select("key", "rep", "n_copies")
         .join(joined.withColumnRenamed("node", "key"), "key", "left")
         .join(counts, "key", "left")
         .withColumn("component", F.coalesce("component", "key"))
     )
-    smallest = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
+    smallest = stored(linked.groupBy("component").agg(F.min("rep").alias("class_id")))
     by_set = linked.join(smallest, "component").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     rows = signed.select("doc_id", "key").join(by_set, "key").select("doc_id", "class_id", "n_links", "n_copies")
     rest = docs.where(F.col("doc_id").isNull() | (F.coalesce(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")), F.lit("")) == ""))
@@ -297,7 +298,7 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     Rows that share an id are one document and stay or go together; rows without an id stay.
     """
     classes = jaccard_classes(docs, **how)
-    drop = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    drop = sent_ids(classes.where("doc_id <> class_id").select("doc_id").distinct())
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
