@@ -220,3 +220,21 @@ def test_first_page_keeps_its_own_repeats(spark):
 def test_citations(spark, chunk, code, want):
     df = spark.createDataFrame([(code, chunk)], "c string, i string")
     assert df.select(X.citation_label(F.col("c"), F.col("i"), F.lit("N")).alias("o")).first().o == want
+
+
+@pytest.mark.parametrize(
+    "page, text, links",
+    [
+        ("<a data-x=" + "y" * 1_000_000 + " href='/one'>1</a><nav " + "z" * 1_000_000 + ">n</nav>end", "1\nend", ["https://h.org/one"]),
+        ("<a " + "x='1' " * 170_000 + "href='/one'>1</a>end", "1\nend", ["https://h.org/one"]),
+        ("<a " + '"' * 999_999 + "<p>after</p>", None, []),
+        ("<p>a</p>" + '<a href="' * 100_000, None, []),
+        ("<nav title=it's>menu</nav><p>it's</p><a href='/two'>2</a>", None, None),
+    ],
+)
+def test_ugly_tags_take_neither_stack_nor_square_time(spark, page, text, links):
+    df = spark.createDataFrame([("https://h.org/p", page)], "url string, html string")
+    got = df.select(H.content_text(F.col("html")).alias("t")).first().t
+    found = [r.link for r in H.link_rows(df, ["url"]).collect()]
+    assert text is None or got == text
+    assert links is None or found == links

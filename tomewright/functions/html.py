@@ -22,7 +22,9 @@ ENTITIES = [
 C1_CHARACTERS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
 REFERENCE = "&(#[xX][0-9A-Fa-f]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);"
-ATTRIBUTES = "((?:[^>\"']|\"[^\"]*\"|'[^']*')*)"
+#: The rest of a tag. Possessive, as a loop over a group that may be undone takes stack for each character; a "<" outside
+#: quotes ends it, so that tags which never end are not read to the end of the page again and again.
+ATTRIBUTES = "((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)"
 #: One attribute: its name, and its value in double, single or no quotes.
 ATTRIBUTE = "([^\\s=>\"'/]+)(?:\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+)))?"
 
@@ -80,7 +82,7 @@ def link_rows(
     of ``skip`` are left out. With ``title_from_target`` an anchor without text is titled by its file's stem.
     """
     base = F.regexp_extract("url", "^(https?://[^/?#]+)", 1) if base is None else base
-    anchor = f"(?is)<a(?=[\\s/>]){ATTRIBUTES}>(.*?)</a>"
+    anchor = f"(?is)<a(?=[\\s/>]){ATTRIBUTES}>(.*?)(?:</a>|\\z)"
     found = F.arrays_zip(
         F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("attributes"),
         F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("body"),
@@ -122,12 +124,13 @@ def content_text(page: Column) -> Column:
     """Text pieces outside boilerplate elements, stripped, one per line.
 
     Scripts, styles and comments go first, as they hold no elements. The rest is cut at the tags of
-    boilerplate elements and each piece kept at depth zero, so nested ones are left out whole.
+    boilerplate elements and each piece kept at depth zero, so nested ones are left out whole. What is never
+    closed (a comment, a script, a tag) reaches to the end of the page.
     """
     nested = [t for t in BOILERPLATE if t not in ("script", "style")]
     fence = f"(?i)<(/?)(?:{'|'.join(nested)})(?=[\\s/>]){ATTRIBUTES}>"
-    mark_up = "(?is)<!--.*?-->|<(script|style)\\b[^>]*>.*?</\\1\\s*>"
-    tag = "(?s)<[/!?A-Za-z][^>]*>"
+    mark_up = "(?is)<!--.*?(?:-->|\\z)|<(script|style)\\b[^>]*+(?:>.*?(?:</\\1\\s*>|\\z)|\\z)"
+    tag = "(?s)<[/!?A-Za-z][^>]*+(?:>|\\z)"
     plain = F.regexp_replace(page, mark_up, "<!>")
     pieces = F.split(plain, fence)
     ends = F.regexp_extract_all(plain, F.lit(fence), F.lit(1))
