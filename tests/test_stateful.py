@@ -154,3 +154,40 @@ def test_cascade_order_and_charges(spark):
         }
     first = {r.seq: r.route for r in route_questions(q, faq, history, floor_first=True).collect()}
     assert first[3] == "no_match" and first[5] == "answer"
+
+
+def decide_in_parts(spark, rows, machine, part_rows, rounds=4):
+    heard = []
+    df = spark.createDataFrame(rows, "id bigint, user bigint, at bigint, failed boolean").repartition(5)
+    got = ST.keyed_decisions(
+        df, machine, key="user", at="at", id_col="id", flag="failed", part_rows=part_rows, rounds=rounds, told=lambda *x: heard.append(x)
+    )
+    return {r.id: r.decision for r in got.collect()}, heard
+
+
+def test_a_calm_key_that_never_pauses_takes_two_rounds(spark):
+    """An event every 20 seconds for hours: 32 parts, settled when the second round finds nothing wrong."""
+    rows = [(i, 1, i * 20 * S, i % 7 == 0) for i in range(1280)]
+    got, heard = decide_in_parts(spark, rows, ST.Limiter(5, 60), 40)
+    assert got == limiter_model(rows, 5, 60)
+    assert len(heard) == 2 and 25 <= heard[0][1] <= 32 and heard[1][1] == 0
+    got, heard = decide_in_parts(spark, rows, ST.Breaker(3, 60, 300), 40)
+    assert got == breaker_model(rows, 3, 60, 300) and heard[-1][1] == 0 and len(heard) <= 3
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4, 60])
+def test_states_that_depend_on_each_other_throughout(spark, rounds):
+    """Overloaded without a pause, beside quiet keys: exact whether rounds suffice or the rest is one stream."""
+    rng = random.Random(rounds)
+    rows = [(i, 1, i * S // 3 + rng.randrange(S), i % 2 == 0) for i in range(900)]
+    rows += [(1000 + i, 2, i * 700 * S, True) for i in range(40)] + [(2000 + i, None, i * 9 * S, i % 3 != 0) for i in range(300)]
+    for machine, want in ((ST.Limiter(3, 60), limiter_model(rows, 3, 60)), (ST.Breaker(3, 60, 300), breaker_model(rows, 3, 60, 300))):
+        got, heard = decide_in_parts(spark, rows, machine, 45, rounds)
+        assert got == want
+        assert heard[0][1] > 10
+
+
+def test_parts_and_pauses_together(spark):
+    rows = [(i, 1, (i + (i // 200) * 2000) * S, i % 3 == 0) for i in range(900)]
+    for machine, want in ((ST.Limiter(3, 60), limiter_model(rows, 3, 60)), (ST.Breaker(3, 60, 300), breaker_model(rows, 3, 60, 300))):
+        assert decide_in_parts(spark, rows, machine, 30)[0] == want

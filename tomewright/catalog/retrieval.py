@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tomewright.operators import context as C
 from tomewright.operators import inverted_file as IVF
 from tomewright.operators.topk import overlap_at_k, overlap_verdict, postfilter, similarity_topk
 from tomewright.plans.cascade import search_distinct
+from tomewright.session import checkpoint_folder, durable
+from tomewright.sources.sinks import read_index, write_index
 
 K = 5
 FLOOR = 0.35  # the fixture has no pair near the default floors
@@ -121,6 +125,26 @@ def vector_topk_coarse(spark, d):
     return _rounded(_coarse(spark, d))
 
 
+def _label_cells(spark, d):
+    members = _vectors(spark, d).withColumn("cell", F.col("label").cast("long"))
+    return members, V.group_means(members, "embedding", "cell")
+
+
+def vector_topk_pruned(spark, d):
+    """The exact rows, cells that cannot hold one of the best left out by centre and radius."""
+    members, centroids = _label_cells(spark, d)
+    balls = durable(IVF.cell_balls(members, centroids))
+    return _rounded(IVF.pruned_topk(members, _asked(spark, d).drop("label"), balls, K, skip_self=True))
+
+
+def vector_topk_stored_index(spark, d):
+    """The same cells as a written index: folders of probed cells are read, found by a join at run time."""
+    path = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    write_index(*_label_cells(spark, d), path)
+    members, cells = read_index(spark, path)
+    return _rounded(IVF.probe_topk(members, _asked(spark, d).drop("label"), cells, K, N_PROBE, skip_self=True))
+
+
 def vector_topk_ivf(spark, d):
     """Cells from k-means."""
     vectors = _vectors(spark, d)
@@ -233,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_exact, vector_topk_prefilter, vector_topk_postfilter, vector_topk_coarse, vector_topk_ivf,
-        ivf_train, recall_at_k, recall_summary, relevance_floor, relevance_band, l2_normalize, vector_profile,
+        vector_topk_pruned, vector_topk_stored_index, ivf_train, recall_at_k, recall_summary, relevance_floor, relevance_band, l2_normalize, vector_profile,
         dedup_search, semantic_cache_lookup, context_assembly, source_diversity, history_passages,
     )
 }
@@ -278,6 +302,10 @@ SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rnk <=
   WHERE rnk <= {K * 10} AND q_label = c_label)
 SELECT qid, again AS rank, vec_id, round(sim, 6) AS similarity FROM r WHERE again <= {K}""",
     "vector_topk_coarse": f"""WITH {COARSE}
+SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM coarse WHERE rnk <= {K}""",
+    "vector_topk_pruned": f"""WITH {RANKED}
+SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM ranked WHERE rnk <= {K}""",
+    "vector_topk_stored_index": f"""WITH {COARSE}
 SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM coarse WHERE rnk <= {K}""",
     "recall_at_k": f"WITH {_OVERLAP} SELECT qid, n_shared, overlap_pct FROM overlap",
     "recall_summary": f"""WITH {_OVERLAP}

@@ -44,9 +44,8 @@ def build_index(
 
 def search_index(spark: SparkSession, out: str, queries: DataFrame, k: int = 5, n_probe: int = 10) -> DataFrame:
     """Top-k of a built index with name and text; text is read for the final hits only."""
-    centroids = spark.read.parquet(f"{out}/index/centroids")
-    members = spark.read.parquet(f"{out}/index/vectors")
-    hits = ivf.probe_topk(members, queries, centroids, k, n_probe)
+    members, cells = sinks.read_index(spark, f"{out}/index")
+    hits = ivf.probe_topk(members, queries, cells, k, n_probe)
     text = spark.read.parquet(f"{out}/chunks").select("vec_id", "scripture", "chunk_id", "text")
     return hits.join(text, "vec_id")
 

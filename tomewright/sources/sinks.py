@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tomewright.operators.inverted_file import cell_balls
 
 FILE_ROWS = 1_000_000
 
@@ -57,20 +60,30 @@ def append_waitlist(rows: DataFrame, path: str) -> None:
 
 
 def write_index(members: DataFrame, centroids: DataFrame, path: str) -> None:
-    """Inverted file: ``centroids`` and ``vectors`` in one folder per cell, for partition pruning.
+    """Inverted file: ``cells`` with centre, radius and size, and ``vectors`` in one folder per cell.
 
-    A cell is cut into slices of about ``FILE_ROWS`` rows by its count, so that a small cell is one file
-    and one with very many vectors is written by many tasks.
+    A cell is cut into slices of about ``FILE_ROWS`` rows by its size, so that a small cell is one file and one
+    with very many vectors is written, and later read, by many tasks. The sizes, one row per cell, are
+    written first and sent to the members, which are shuffled once, by cell and slice.
     """
-    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    slices = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("__n"))
-    spread = members.join(slices, "cell").withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.col("__n")))
+    spark = members.sparkSession
+    cell_balls(members, centroids).write.mode("overwrite").parquet(f"{path}/cells")
+    sizes = spark.read.parquet(f"{path}/cells").select("cell", F.ceil(F.col("n_members") / FILE_ROWS).alias("__n"))
+    spread = members.join(F.broadcast(sizes), "cell").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("__n")))
     (
-        spread.repartition("cell", "__s").drop("__n", "__s").write.mode("overwrite")
+        spread.drop("__n").repartition("cell", "slice").write.mode("overwrite")
         .option("maxRecordsPerFile", FILE_ROWS).partitionBy("cell").parquet(f"{path}/vectors")
     )
 
 
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(members, cells)`` of a stored inverted file; ``cells`` serves as centroids and as balls."""
+    cells = spark.read.parquet(f"{path}/cells")
+    kept = spark.read.parquet(f"{path}/vectors").schema
+    typed = StructType([StructField(f.name, LongType() if f.name == "cell" else f.dataType) for f in kept])
+    return spark.read.schema(typed).parquet(f"{path}/vectors"), cells
+
+
 def write_faq(answers: DataFrame, path: str) -> None:
     """``(question, answer_text, passages)`` as JSON lines."""
     answers.select("question", "answer_text", "passages").write.mode("overwrite").json(path)
