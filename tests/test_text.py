@@ -1,3 +1,4 @@
+import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -238,3 +239,62 @@ def test_ugly_tags_take_neither_stack_nor_square_time(spark, page, text, links):
     found = [r.link for r in H.link_rows(df, ["url"]).collect()]
     assert text is None or got == text
     assert links is None or found == links
+
+
+def test_scan_equals_a_loop(spark):
+    from tomewright.functions.arrays import scan
+
+    rng = random.Random(1)
+    rows = [(k, [rng.randint(0, 9) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 3, 4, 5, 16, 17, 100, 1001])] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, x array<int>")
+    got = df.select("k", scan(F.col("x"), F.lit(0), F.slice(F.array(F.lit(0)), 1, 0), lambda s, x: (s + x) % 7, lambda s, x: s * 10 + x).alias("o"))
+    want = {}
+    for k, x in rows:
+        s, out = 0, None if x is None else []
+        for v in x or []:
+            out.append(s * 10 + v)
+            s = (s + v) % 7
+        want[k] = out
+    assert {r.k: r.o for r in got.collect()} == want
+
+
+def test_many_lines_and_many_tags_in_linear_time(spark):
+    from tomewright.operators import blocks as BL
+
+    rng = random.Random(2)
+    kinds = ["verse", "quote", "paragraph", "blank", "rule", "bullet", "h1"]
+    lines = [(rng.choice(kinds), f"t{i}", f"s{i}" if rng.random() < 0.6 else None) for i in range(200_000)]
+    df = spark.createDataFrame([(lines,), (lines[:50],), ([],)], "l array<struct<type:string,text:string,spoken:string>>")
+    got = [r.o for r in df.select(BL.resolved_lines(F.col("l")).alias("o")).collect()]
+    last, open_, want = "", False, []
+    for type_, text, spoken in lines:
+        turned = spoken is not None and type_ in ("quote", "verse", "paragraph") and last == "verse"
+        kind = "translation" if turned else type_
+        want.append((kind, spoken if turned else text, spoken))
+        finished = "paragraph" if open_ else last
+        last = "bullet-list" if kind == "bullet" else finished if kind in ("blank", "rule") else last if kind == "paragraph" else kind
+        open_ = kind == "paragraph"
+    assert sorted(([tuple(x) for x in o] for o in got), key=len) == [[], want[:50], want]
+    page = "<nav>no</nav>yes" * 60_000
+    text = spark.createDataFrame([(page,)], "html string").select(H.content_text(F.col("html")).alias("t")).first().t
+    assert text == "\n".join(["yes"] * 60_000)
+
+
+@pytest.mark.parametrize("n", [5, 10_000])
+def test_term_dictionary_of_any_size_equals_the_loop(spark, n):
+    rng = random.Random(n)
+    letters = "abcdé"
+    terms = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))): "".join(rng.choice(letters + "$\\") for _ in range(rng.randint(0, 4))) for _ in range(n)}
+    if n > 64:  # one letter alone would replace everything
+        terms = {k: v for k, v in terms.items() if len(k) > 3}
+    texts = ["".join(rng.choice(letters + " ") for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    out = df.select("k", X.replace_terms(F.col("t"), terms).alias("o"))
+    want = {}
+    for k, t in enumerate(texts):
+        for term, by in sorted(terms.items(), key=lambda kv: -len(kv[0])):
+            t = t and t.replace(term, by)
+        want[k] = t
+    assert {r.k: r.o for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == (1 if n > 64 else 0) and len(plan) < 5_000

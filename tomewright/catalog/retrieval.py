@@ -14,7 +14,8 @@ from tomewright.operators import inverted_file as IVF
 from tomewright.operators.topk import overlap_at_k, overlap_verdict, postfilter, similarity_topk
 from tomewright.plans.cascade import search_distinct
 from tomewright.session import checkpoint_folder, durable
-from tomewright.sources.sinks import read_index, write_index
+from tomewright.sources.files import read_vector_file
+from tomewright.sources.sinks import read_index, write_index, write_vector_files
 
 K = 5
 FLOOR = 0.35  # the fixture has no pair near the default floors
@@ -110,6 +111,20 @@ def l2_normalize(spark, d):
     )
 
 
+def vector_file_rows(spark, d):
+    """All vectors written as a raw float32 matrix and read again by byte ranges: the row number is the id."""
+    path = f"{checkpoint_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    vectors = _vectors(spark, d)
+    dim = vectors.select(F.size("embedding").alias("d")).first()["d"]
+    write_vector_files(vectors, path, dim)
+    x = F.col("embedding")
+    return read_vector_file(spark, path, dim, range_bytes=64 * 1024).select(
+        "vec_id", F.size(x).alias("dim"), F.round(F.element_at(x, 1).cast("double"), 6).alias("first_x"),
+        F.round(F.element_at(x, -1).cast("double"), 6).alias("last_x"),
+        F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")), 6).alias("sum_x"),
+    )
+
+
 def vector_profile(spark, d):
     return V.profile(_vectors(spark, d), "embedding", ["label"])
 
@@ -257,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_exact, vector_topk_prefilter, vector_topk_postfilter, vector_topk_coarse, vector_topk_ivf,
-        vector_topk_pruned, vector_topk_stored_index, ivf_train, recall_at_k, recall_summary, relevance_floor, relevance_band, l2_normalize, vector_profile,
+        vector_topk_pruned, vector_topk_stored_index, ivf_train, recall_at_k, recall_summary, relevance_floor, relevance_band, l2_normalize, vector_profile, vector_file_rows,
         dedup_search, semantic_cache_lookup, context_assembly, source_diversity, history_passages,
     )
 }
@@ -324,6 +339,9 @@ u AS (SELECT vec_id, v, list_transform(v, lambda x: (x / sqrt(list_inner_product
 SELECT vec_id, round(sqrt(list_inner_product(v, v)), 4) AS norm_in,
   round(sqrt(list_inner_product(w, w)), 4) AS norm_out, round(w[1], 5) AS first_x, round(w[-1], 5) AS last_x,
   round(list_sum(list_transform(w, lambda x, i: x * i)), 3) AS weighted FROM u""",
+    "vector_file_rows": """SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, len(embedding)::INTEGER AS dim,
+  round(embedding[1]::DOUBLE, 6) AS first_x, round(embedding[-1]::DOUBLE, 6) AS last_x,
+  round(list_sum(embedding::DOUBLE[]), 6) AS sum_x FROM embeddings""",
     "vector_profile": """SELECT label, count(*) AS n_vectors, min(len(embedding)) AS min_dim,
   max(len(embedding)) AS max_dim, sum(len(embedding) * 4)::BIGINT AS float32_bytes FROM embeddings GROUP BY label""",
     "dedup_search": f"""WITH {ALL_PAIRS}, asked AS (

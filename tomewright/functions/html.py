@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions import fixed_values as fixed
+from tomewright.functions.arrays import scan
 from tomewright.functions.strings import py_strip, title_case
 
 # Elements whose text is not content.
@@ -135,15 +136,12 @@ def content_text(page: Column) -> Column:
     pieces = F.split(plain, fence)
     ends = F.regexp_extract_all(plain, F.lit(fence), F.lit(1))
     later = F.zip_with(F.slice(pieces, 2, F.size(pieces)), ends, lambda p, e: F.struct(e.alias("end"), p.alias("piece")))
-    first = F.struct(F.lit(0).alias("depth"), F.slice(pieces, 1, 1).alias("kept"))
 
-    def walk(s: Column, x: Column) -> Column:
-        depth = F.when(x["end"] == "", s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
-        return F.struct(
-            depth.alias("depth"), F.concat(s["kept"], F.array(F.when(depth == 0, x["piece"]).otherwise(""))).alias("kept")
-        )
+    def depth(d: Column, x: Column) -> Column:
+        return F.when(x["end"] == "", d + 1).otherwise(F.greatest(d - 1, F.lit(0)))
 
-    kept = F.aggregate(later, first, walk, lambda s: F.flatten(F.transform(s["kept"], lambda p: F.split(p, tag))))
+    inside = scan(later, F.lit(0), F.slice(F.array(F.lit("")), 1, 0), depth, lambda d, x: F.when(depth(d, x) == 0, x["piece"]).otherwise(""))
+    kept = F.flatten(F.transform(F.concat(F.slice(pieces, 1, 1), inside), lambda p: F.split(p, tag)))
     texts = F.transform(kept, lambda p: py_strip(unescape(p)))
     return F.when(page.isNotNull(), F.array_join(F.filter(texts, lambda p: p != ""), "\n"))
 

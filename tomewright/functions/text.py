@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,9 +203,47 @@ def spoken_references(text: Column) -> Column:
     return unguarded(F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(word(p))), ""))
 
 
+#: Terms up to which a dictionary becomes nested calls in the JVM; a larger one is one automaton in Python.
+NESTED_TERMS = 64
+
+
 def replace_terms(text: Column, terms: dict[str, str]) -> Column:
-    """Literal term replacement, longest term first, substrings included, results open to later terms."""
-    return replace_in_order(text, sorted(terms.items(), key=lambda kv: -len(kv[0])))
+    """Literal term replacement, longest term first, substrings included, results open to later terms.
+
+    A large dictionary is matched by an automaton that finds all terms of a text in one pass. The first of them
+    in order is replaced and the text matched again for those after it, so terms that do not occur cost nothing and
+    the plan has one node for any number of terms.
+    """
+    ordered = sorted(((k, v) for k, v in terms.items() if k), key=lambda kv: -len(kv[0]))
+    return replace_in_order(text, ordered) if len(ordered) <= NESTED_TERMS else term_automaton(ordered)(text)
+
+
+def term_automaton(ordered: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    """Column function that replaces the terms of a list, one after the other, by an automaton built once a task."""
+
+    @F.pandas_udf("string")
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n, (term, _) in enumerate(ordered):
+            if term not in automaton:
+                automaton.add_word(term, n)
+        automaton.make_automaton()
+
+        def one(text: str | None) -> str | None:
+            after = -1
+            while text:
+                after = min((n for _, n in automaton.iter(text) if n > after), default=None)
+                if after is None:
+                    break
+                text = text.replace(*ordered[after])
+            return text
+
+        for texts in batches:
+            yield texts.map(one, na_action="ignore")
+
+    return replaced
 
 
 def transliterate(text: Column, pairs: list[tuple[str, str]] = fixed.TRANSLITERATION) -> Column:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.functions.strings import norm_key
-from tomewright.functions.vectors import decode_f32
+from tomewright.sources.binary import ChunkEnvelopes, Float32Matrix, envelope_files
 
-ENVELOPE = (
-    "scripture string, model string, total_chunks bigint, complete boolean, chunks array<struct<chunk_id:string, "
-    "year:int, month:string, conv_id:string, text:string, embedding:array<float>>>"
-)
 FAQ = (
     "question string, answer_text string, passages array<struct<scripture:string, text:string, similarity:double, "
     "chunk_id:string>>"
@@ -85,15 +83,16 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_envelopes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Flat chunks of ``*_embeddings.json`` envelopes; a nameless one is called after its file."""
-    if isinstance(paths, str):
-        paths = [f"{paths.rstrip('/')}/*_embeddings.json"]
-    raw = spark.read.schema(ENVELOPE).json(paths, multiLine=True)
-    stem = F.replace(F.regexp_extract(file_path(), "([^/]+)\\.json$", 1), F.lit("_embeddings"), F.lit(""))
-    return raw.select(
-        F.coalesce("scripture", stem).alias("scripture"), F.coalesce("complete", F.lit(False)).alias("complete"),
-        file_path().alias("path"), F.posexplode("chunks").alias("position", "c"),
-    ).select("scripture", "complete", "path", F.col("position").cast("long").alias("position"), "c.*")
+    """Flat chunks of ``*_embeddings.json`` envelopes; a nameless one is called after its file.
+
+    ``paths`` is a folder or a list of files. A file is one task that streams its chunks in batches, so an
+    envelope may be larger than a worker's memory. A file that is no envelope fails the query by name.
+    """
+    files = envelope_files(paths) if isinstance(paths, str) else list(paths)
+    spark.dataSource.register(ChunkEnvelopes)
+    raw = spark.read.format("chunk_envelopes").option("paths", json.dumps(files)).load()
+    stem = F.replace(F.regexp_extract("path", "([^/]+)\\.json$", 1), F.lit("_embeddings"), F.lit(""))
+    return raw.withColumn("scripture", F.coalesce("scripture", stem))
 
 
 def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -107,14 +106,13 @@ def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     return read_envelopes(spark, found).withColumn("shard", rank)
 
 
-def read_vector_file(spark: SparkSession, path: str, dim: int) -> DataFrame:
+def read_vector_file(spark: SparkSession, path: str, dim: int, **options: object) -> DataFrame:
     """``(vec_id, embedding)`` of a raw row-major float32 matrix; the row number is the id.
 
-    The file is read as fixed-length records, so one large file is split over many tasks.
+    A file, or a folder of them in the order of names, is read in byte ranges, one a task.
     """
-    records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    rows = spark.createDataFrame(records, "vec_id bigint, blob binary")
-    return rows.select("vec_id", decode_f32("blob").alias("embedding"))
+    spark.dataSource.register(Float32Matrix)
+    return spark.read.format("float32_matrix").option("dim", dim).options(**options).load(path)
 
 
 def load_faq(spark: SparkSession, path: str) -> DataFrame:

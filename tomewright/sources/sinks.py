@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tomewright.operators.inverted_file import cell_balls
+from tomewright.sources.binary import Float32Matrix
 
 FILE_ROWS = 1_000_000
 
@@ -84,6 +85,13 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(typed).parquet(f"{path}/vectors"), cells
 
 
+def write_vector_files(vectors: DataFrame, path: str, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """Raw float32 matrix in a new folder, rows in order of ids, a file for each range of them."""
+    vectors.sparkSession.dataSource.register(Float32Matrix)
+    ordered = vectors.repartitionByRange(id_col).sortWithinPartitions(id_col).select(F.col(vec_col).cast("array<float>").alias("embedding"))
+    ordered.write.format("float32_matrix").mode("append").option("dim", dim).save(path)
+
+
 def write_faq(answers: DataFrame, path: str) -> None:
     """``(question, answer_text, passages)`` as JSON lines."""
     answers.select("question", "answer_text", "passages").write.mode("overwrite").json(path)
