@@ -191,3 +191,56 @@ def test_parts_and_pauses_together(spark):
     rows = [(i, 1, (i + (i // 200) * 2000) * S, i % 3 == 0) for i in range(900)]
     for machine, want in ((ST.Limiter(3, 60), limiter_model(rows, 3, 60)), (ST.Breaker(3, 60, 300), breaker_model(rows, 3, 60, 300))):
         assert decide_in_parts(spark, rows, machine, 30)[0] == want
+
+
+def test_late_search_sees_open_questions_only_and_vectors_once(spark, data):
+    from pyspark.sql import functions as F
+
+    from tomewright.operators import caches
+    from tomewright.plans.cascade import best_and_cached, route_questions
+
+    q = spark.createDataFrame([(1, 7, 1, "known"), (2, 7, 2, "new"), (3, 8, 3, "new"), (4, 9, 4, "other")], "qid bigint, user_id bigint, seq bigint, question string").withColumn("quota", F.lit(5))
+    faq = caches.faq_index(spark.createDataFrame([("known", 1, 5)], "text string, n bigint, faq_id bigint"), "text", "n", ["faq_id"])
+    history = caches.history_index(spark.createDataFrame([(9, "other", 1, 6)], "user_id bigint, text string, n bigint, answer_id bigint"), "user_id", "text", "n", ["answer_id"])
+    seen = []
+
+    def search(open_):
+        seen.extend(r.qid for r in open_.collect())
+        return open_.select("qid", F.when(F.col("qid") == 2, 0.9).alias("best"), F.when(F.col("qid") == 3, F.lit(4)).cast("long").alias("cached_id"))
+
+    got = {r.seq: r.route for r in route_questions(q, faq, history, search=search, floor=0.5).collect()}
+    assert sorted(seen) == [2, 3] and got == {1: "faq", 2: "answer", 3: "semantic", 4: "exact"}
+
+    from tomewright.operators.topk import similarity_topk
+
+    df = spark.read.parquet(f"{data}/embeddings.parquet").withColumn("mode", F.when(F.col("label") < 5, "text").otherwise("voice"))
+    asked = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "mode")
+    both = best_and_cached(df, asked, ["text", "voice"], floor=0.4, skip_self=True)
+    best = {r.qid: r.similarity for r in similarity_topk(df, asked, 1, skip_self=True).collect()}
+    own = {r.qid: r.vec_id for r in similarity_topk(df, asked, 1, cell=("mode", "mode"), prefer="vec_id", floor=0.4, skip_self=True).collect()}
+    rows = both.collect()
+    assert {r.qid: r.best for r in rows} == best and {r.qid: r.cached_id for r in rows if r.cached_id is not None} == own
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("embedding") > 0
+
+
+def test_prefix_orders_only_what_comes_before_the_target(spark):
+    from pyspark.sql import functions as F
+
+    from tomewright.operators import stats
+
+    clips = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 977 * 10).alias("ms"))
+    total = 3_000_000
+    got = stats.prefix_until(clips, "doc_id", "ms", total)
+    place = F.conv(F.substring(F.md5(F.concat(F.lit("42"), F.col("doc_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double")
+    at, want = 0, {}
+    for r in clips.withColumn("p", place).orderBy("p", "doc_id").collect():
+        if at >= total:
+            break
+        want[r.doc_id] = at
+        at += r.ms + stats.CLIP_GAP_MS
+    assert {r.doc_id: r.before_ms for r in got.collect()} == want and 100 < len(want) < 2_000
+    tagged = clips.select("doc_id", "ms", place.alias("place"))
+    kept = stats.before_target(tagged, F.floor(F.col("place") / (1 << 52) * stats.PREFIX_CELLS), F.col("ms") + stats.CLIP_GAP_MS, total).count()
+    assert len(want) <= kept < len(want) + 20
+    falling = clips.withColumn("ms", F.when(F.col("doc_id") % 2 == 0, -10_000).otherwise(F.col("ms")))
+    assert stats.before_target(falling, F.col("doc_id"), F.col("ms"), 10).count() == 20_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.catalog import corpus_text as CT
@@ -17,7 +18,7 @@ from tomewright.operators import stateful as ST
 from tomewright.operators import stats as S
 from tomewright.operators.chunk import chunk_documents
 from tomewright.operators.embed import embed_texts
-from tomewright.operators.topk import similarity_topk
+from tomewright.plans.cascade import best_and_cached
 from tomewright.plans.cascade import route_questions as route
 
 LIMIT = (3, 86_400)
@@ -99,13 +100,16 @@ def faq_hit(spark, d):
 
 
 def route_questions(spark, d):
-    """All user turns; the user is the conversation, the query vector has the conversation's number."""
-    vectors, asked = _vectors(spark, d), _asked(spark, d)
-    best = similarity_topk(vectors, asked, 1, skip_self=True).select("qid", F.col("similarity").alias("best"))
-    cached = similarity_topk(
-        vectors.withColumn("mode", _mode("label")), asked.withColumn("mode", _mode("label")), 1,
-        cell=("mode", "mode"), prefer="vec_id", floor=FLOOR + 0.05, skip_self=True,
-    ).select("qid", F.col("vec_id").alias("cached_id"))
+    """All user turns; the user is the conversation, the query vector has the conversation's number.
+
+    Vectors are searched for the questions that neither FAQ nor history answers, once for both figures.
+    """
+    vectors = _vectors(spark, d).withColumn("mode", _mode("label"))
+    asked = _asked(spark, d).withColumn("mode", _mode("label"))
+
+    def search(open_: DataFrame) -> DataFrame:
+        return best_and_cached(vectors, asked.join(open_, "qid", "left_semi"), ["text", "voice"], floor=FLOOR + 0.05, skip_self=True)
+
     turns = _user_turns(spark, d).select(
         "conv_id", "turn", F.col("conv_id").alias("user_id"), F.col("turn").alias("seq"), F.col("text").alias("question"),
         F.lit(1).alias("quota"), F.col("conv_id").alias("qid"),
@@ -114,9 +118,7 @@ def route_questions(spark, d):
         F.col("conv_id").alias("user_id"), "text", "turn", F.col("turn").alias("answer_id")
     )
     history = C.history_index(stored, "user_id", "text", "turn", ["answer_id"])
-    routed = route(
-        turns.join(best, "qid", "left").join(cached, "qid", "left"), _faq(spark, d), history, floor=FLOOR - 0.02
-    )
+    routed = route(turns, _faq(spark, d), history, floor=FLOOR - 0.02, search=search)
     return routed.select("conv_id", "turn", "route", "charged")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.numbers import py_round
@@ -103,20 +103,40 @@ def trim_plan(duration_ms: Column) -> dict[str, Column]:
     }
 
 
+#: Cells of the seeded order whose totals are looked at before any row is ordered.
+PREFIX_CELLS = 1 << 16
+
+
 def prefix_until(clips: DataFrame, key: str, duration_ms: str, target_ms: int, seed: str | None = "42", **kw) -> DataFrame:
     """Clips in (seeded hash) order while the time collected before them is below the target.
 
-    Every clip also takes the gap that follows it.
+    Every clip also takes the gap that follows it. Of a seeded order only the part before the target is sorted.
     """
     seeded = F.md5(F.concat(F.lit(seed or ""), F.col(key).cast("string")).cast("binary"))
     place = F.conv(F.substring(seeded, 1, 13), 16, 10).cast("double") if seed else F.col(key).cast("double")
+    length = F.col(duration_ms) + CLIP_GAP_MS
     ordered = clips.select(key, duration_ms, place.alias("place"))
-    summed = running_sum(
-        ordered, F.col(duration_ms) + CLIP_GAP_MS, ["place", key], "before_ms", before=True, **kw
-    )
+    if seed:
+        ordered = before_target(ordered, F.floor(F.col("place") / (1 << 52) * PREFIX_CELLS), length, target_ms)
+    summed = running_sum(ordered, length, ["place", key], "before_ms", before=True, **kw)
     return summed.where(F.col("before_ms") < target_ms).drop("place")
 
 
+def before_target(rows: DataFrame, cell: Column, value: Column, target: int) -> DataFrame:
+    """``rows`` of the cells in which the sum over all cells before is below ``target``.
+
+    Cells are summed in the scan and their totals, one row each, in one small window, so only the rows that
+    can come before the target are ordered. With a negative value sums may fall again and no cell is left out.
+    """
+    tagged = rows.withColumn("__cell", cell)
+    totals = tagged.groupBy("__cell").agg(F.sum(value).alias("t"), F.min(value).alias("low"))
+    before = F.coalesce(F.sum("t").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = totals.withColumn("before", before).agg(F.max(F.when(F.col("before") < target, F.col("__cell"))).alias("last"), F.min("low").alias("low")).first()
+    if found["last"] is None or (found["low"] or 0) < 0:
+        return rows
+    return tagged.where(F.col("__cell") <= found["last"]).drop("__cell")
+
+
 # Recommended span of joined training audio, in hours.
 MIN_HOURS, MAX_HOURS = 2.0, 3.5
 

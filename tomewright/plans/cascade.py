@@ -11,6 +11,7 @@ from tomewright.operators import caches
 from tomewright.operators.context import RELEVANCE_FLOOR
 from tomewright.operators.ordered import RANGE_ROWS, range_bounds
 from tomewright.operators.stateful import quota_ledger
+from tomewright.operators.topk import similarity_topk
 
 
 def route_questions(
@@ -20,6 +21,8 @@ def route_questions(
     *,
     floor: float = RELEVANCE_FLOOR,
     floor_first: bool = False,
+    search: Callable[[DataFrame], DataFrame] | None = None,
+    search_on: str = "qid",
     rows_per_range: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add ``route`` (faq, exact, semantic, no_match, answer, refused) and ``charged``.
@@ -29,10 +32,16 @@ def route_questions(
     ``history`` are the indexes of ``caches.faq_index`` (``faq_id``) and ``caches.history_index``
     (``answer_id``). ``floor_first`` tests the floor ahead of the semantic cache, as streaming does.
 
+    With ``search`` the last two columns come from a late search: it gets the distinct ``search_on`` values of the
+    questions that neither FAQ nor history answers and returns them with ``cached_id`` and ``best``.
+
     Batch rule: no question of the batch can hit an answer that the same batch creates.
     """
     q = caches.faq_hits(questions, faq, "question")
     q = caches.exact_hits(q, history, "user_id", "question")
+    if search is not None:
+        open_ = q.where("faq_id IS NULL AND answer_id IS NULL").select(search_on).distinct()
+        q = q.join(search(open_), search_on, "left")
     weak = F.coalesce(F.col("best"), F.lit(-1.0)) < floor
     cached = F.col("cached_id").isNotNull()
     late = (
@@ -50,12 +59,31 @@ def route_questions(
     )
     refused = (F.col("decision") == "refused") & (F.col("route") != "faq")
     return settled.select(
-        *questions.columns,
+        *questions.columns, *(c for c in ("best", "cached_id") if search is not None),
         F.when(refused, "refused").otherwise(F.col("route")).alias("route"),
         ((F.col("decision") == "charged") & ~refused).alias("charged"),
     )
 
 
+def best_and_cached(
+    vectors: DataFrame, questions: DataFrame, modes: list[str], *, floor: float, mode: str = "mode", id_col: str = "vec_id", skip_self: bool = False
+) -> DataFrame:
+    """``(qid, best, cached_id)`` of ``questions(qid, qvec, mode)`` from one scan of the vectors.
+
+    Each question asks every mode for its best vector. The best of all is ``best``; that of the question's own mode is
+    ``cached_id`` if it reaches ``floor`` (of equal ones the largest id). ``modes`` lists all modes of ``vectors``.
+    """
+    each = questions.select("qid", "qvec", F.col(mode).alias("own"), F.explode(F.array(*map(F.lit, modes))).alias("asked"))
+    each = each.withColumn("key", F.xxhash64("qid", "asked"))
+    asked = each.select(F.col("key").alias("qid"), "qvec", "asked")
+    hits = similarity_topk(vectors, asked, 2 if skip_self else 1, cell=(mode, "asked"), prefer=id_col, id_col=id_col)
+    found = each.select("key", F.col("qid").alias("of"), "own", "asked").join(hits.withColumnRenamed("qid", "key"), "key")
+    if skip_self:
+        found = found.where(F.col("of") != F.col(id_col))
+    cached = F.when((F.col("own") == F.col("asked")) & (F.col("similarity") >= floor), F.struct("similarity", id_col))
+    return found.groupBy(F.col("of").alias("qid")).agg(F.max("similarity").alias("best"), F.max(cached)[id_col].alias("cached_id"))
+
+
 def search_distinct(log: DataFrame, on: list[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Search each distinct request once and hand its rows to every repetition.
 
