@@ -162,3 +162,26 @@ def test_incremental_ingest_and_cache(spark, tmp_path):
         rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/ans")
         keyed.maintain_answer_cache(spark.readStream.schema(schema).parquet(f"{tmp_path}/ans"), f"{tmp_path}/cache", f"{tmp_path}/cck", n=5)
     assert sorted(r.id for r in keyed.current_cache(spark, f"{tmp_path}/cache", 99).collect()) == [3, 4, 5, 6, 7]
+
+
+def test_cache_versions_are_pointed_to_replayed_and_removed(spark, tmp_path):
+    path = f"{tmp_path}/cache"
+    assert keyed.current_cache(spark, path) is None and keyed.cache_versions(spark, path) == []
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "id bigint, answer string, last_used_at bigint")
+
+    def now(below=None):
+        return sorted(tuple(r) for r in keyed.current_cache(spark, path, below).collect())
+
+    for number in range(6):
+        keyed.merge_answers(batch((number, "new", 10 * number), (100, f"refreshed {number}", 10 * number + 5)), path, number, n=3)
+        assert [r[1] for r in now() if r[0] == 100] == [f"refreshed {number}"]
+        assert len(keyed.cache_versions(spark, path)) <= 3
+    assert keyed.cache_versions(spark, path) == [3, 4, 5]
+    want = now()
+    assert [r[0] for r in want] == [4, 5, 100]
+    keyed.merge_answers(batch((5, "new", 50), (100, "refreshed 5", 55)), path, 5, n=3)  # run again
+    assert now() == want and keyed.cache_versions(spark, path) == [3, 4, 5]
+    left = [x for x in os.listdir(path) if not x.startswith(".")]
+    assert sorted(left) == ["_current", "version=3", "version=4", "version=5"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from tomewright.operators.chunk import chunk_documents
 from tomewright.operators.embed import embed_texts
 from tomewright.plans.cascade import best_and_cached
 from tomewright.plans.cascade import route_questions as route
+from tomewright.session import checkpoint_folder
+from tomewright.streaming.keyed import current_cache, maintain_answer_cache
 
 LIMIT = (3, 86_400)
 BREAK = (2, 172_800, 259_200)
@@ -159,6 +163,16 @@ def running_budget(spark, d):
     return S.running_budget(log, "doc_id", "text", "actual")
 
 
+def answer_cache_stream(spark, d):
+    """Events as a stream of uses of cached answers, one file a batch; the version the pointer names."""
+    root = f"{checkpoint_folder(spark)}/cache-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    uses = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")  # a pattern may name a file or a folder
+    uses = uses.select(F.col("user_id").alias("id"), F.col("ts").alias("last_used_at"))
+    maintain_answer_cache(uses, f"{root}/versions", f"{root}/offsets", n=50)
+    return current_cache(spark, f"{root}/versions")
+
+
 def prefix_until_target(spark, d):
     clips = _docs(spark, d).select("doc_id", (F.col("n_chars") * 60).alias("duration_ms"))
     return S.prefix_until(clips, "doc_id", "duration_ms", 3 * 3_600_000)
@@ -260,7 +274,7 @@ QUERIES = {
     for f in (
         embed_cache_hits, embed_cache_misses, embed_cache_stats, embed_chunks, exact_history_hit, history_page, faq_hit,
         route_questions, pending_work, resume_offset, batch_plan, corpus_stats, corpus_totals, ordered_concat,
-        running_budget, prefix_until_target, trim_plan, year_histogram, shard_merge, dense_spine_counts, user_upsert,
+        running_budget, answer_cache_stream, prefix_until_target, trim_plan, year_histogram, shard_merge, dense_spine_counts, user_upsert,
         quota_reset, quota_ledger, rate_limit, circuit_breaker, latest_status, lru_keep_n, outcome_rates,
     )
 }
@@ -346,6 +360,8 @@ SELECT source, part, count(*) AS n_texts, string_agg(text, chr(10) || chr(10) OR
   SELECT doc_id, est, coalesce(act, est) AS cost, round(sum(coalesce(act, est)) OVER (ORDER BY doc_id), 4) AS total FROM c)
 SELECT doc_id, est AS estimated_usd, cost AS cost_usd, total AS total_usd, round(10.0 - total, 4) AS remaining_usd,
   10.0 - total < 1.0 AS low FROM r""",
+    "answer_cache_stream": """SELECT user_id AS id, max(ts) AS last_used_at FROM events GROUP BY user_id
+ORDER BY last_used_at DESC, id DESC LIMIT 50""",
     "prefix_until_target": """WITH o AS (SELECT doc_id, n_chars * 60 AS duration_ms, coalesce(sum(n_chars * 60 + 500) OVER (
   ORDER BY substr(md5('42' || doc_id), 1, 13), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
   AS before_ms FROM documents) SELECT doc_id, duration_ms, before_ms FROM o WHERE before_ms < 10800000""",
