@@ -185,3 +185,12 @@ def test_cache_versions_are_pointed_to_replayed_and_removed(spark, tmp_path):
     assert now() == want and keyed.cache_versions(spark, path) == [3, 4, 5]
     left = [x for x in os.listdir(path) if not x.startswith(".")]
     assert sorted(left) == ["_current", "version=3", "version=4", "version=5"]
+
+
+def test_faq_as_array_and_as_lines(spark, tmp_path):
+    put(f"{tmp_path}/a.json", '[\n {"question": " Who? ", "answer_text": "a", "passages": []},\n {"question": "WHO?", "answer_text": "b", "passages": []},\n {"question": "x", "answer_text": "c", "passages": []}]')
+    assert {(r.faq_key, r.answer_text) for r in files.load_faq(spark, f"{tmp_path}/a.json").collect()} == {("who?", "b"), ("x", "c")}
+    sinks.write_faq(files.load_faq(spark, f"{tmp_path}/a.json").coalesce(1), f"{tmp_path}/lines")
+    assert {(r.faq_key, r.answer_text) for r in files.load_faq(spark, f"{tmp_path}/lines").collect()} == {("who?", "b"), ("x", "c")}
+    sinks.write_faq(files.load_faq(spark, f"{tmp_path}/a.json").where("false"), f"{tmp_path}/none")
+    assert files.load_faq(spark, f"{tmp_path}/none").count() == 0

@@ -116,8 +116,12 @@ def read_vector_file(spark: SparkSession, path: str, dim: int, **options: object
 
 
 def load_faq(spark: SparkSession, path: str) -> DataFrame:
-    """FAQ entries by normalised question; of equal questions the last in the file counts."""
-    rows = spark.read.schema(FAQ).json(path, multiLine=True).withColumn("__n", F.monotonically_increasing_id())
+    """FAQ entries by normalised question; of equal questions the last in the file counts.
+
+    A file is one JSON array, or holds an entry a line as ``write_faq`` leaves them: its first line tells.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").head()
+    rows = spark.read.schema(FAQ).json(path, multiLine=first is None or first["value"].lstrip().startswith("[")).withColumn("__n", F.monotonically_increasing_id())
     last = rows.groupBy(norm_key(F.col("question")).alias("faq_key")).agg(
         F.max_by(F.struct("question", "answer_text", "passages"), "__n").alias("e")
     )
