@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -126,3 +127,29 @@ def test_edges(spark):
     got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in H.extract_pages(df).collect())
     assert got == [("1", "None", "", 0), ("2", "no scheme", "a", 1), ("2", "no scheme", "a", 1), ("None", "http://q/", "", 0)]
     assert H.extract_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p class="x>a</p><p class="y">b</p></article>', "a\nb"),
+        ('<article><p class="x>She said "yes" twice</p><p>b</p></article>', 'She said "yes" twice\nb'),
+        ("<article><p title=it's>a</p><p title='it>b</p><p it's>c</p></article>", "a\nb\nc"),
+        ('<article><p title="1 > 2" data-tip="<b>no</b>">a</p><a class="u"id="v" href="?q=">b</a></article>', "a\nb"),
+        ("<article><p id = 'x' hidden = >a</p><p =>b</p></article>", "a\nb"),
+        ("<article><p>a &lt; b < c</p><p>d</article><p class='", "a < b < c\nd"),
+    ],
+)
+def test_ugly_tags_leave_no_markup(page, text):
+    blocks = [t for _, _, t, _, content in H.Parser().walk(page) if t and content == 3]
+    assert "\n".join(blocks) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<p class="x>a</p>' * 60_000, "<p title='x>a" * 60_000, '<p "' * 250_000, "<p a=\"'" * 120_000, "<a x=" + "y" * 1_000_000, "<!x" * 300_000, "<!--" * 250_000, "<p " + "= \" ' " * 170_000 + ">t"],
+)
+def test_ugly_tags_take_linear_time(page):
+    start = time.process_time()
+    sum(1 for _ in H.Parser().walk(page))
+    assert time.process_time() - start < 5

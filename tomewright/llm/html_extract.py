@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from tomewright.llm.common import small_batches, stored
 from tomewright.llm.url_filter import url_host
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A quoted value. It ends at the next quote of its kind if a tag goes on there; else its quote was never closed and it
+#: ends with the tag. A quote elsewhere than behind "=" is part of a name or of a bare value, as browsers have it.
+_VALUE = r"{0}(?:[^{0}]*+(?<!=){0}(?=[\s/>]|\Z)|[^{0}>]*+)"
+ATTRIBUTES = rf"""(?:[^>=]++|=\s*+(?:{_VALUE.format('"')}|{_VALUE.format("'")}|[^\s>"'][^\s>]*+)?+)*+"""
+#: Comments, tags and declarations; what the page ends in reaches to its end. Nothing is undone, so time is linear.
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)({ATTRIBUTES})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-#: A tag that the end of the page cuts off.
-CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
+#: A tag of which the end of the page leaves a slash only.
+CUT_TAG = re.compile(r"</\Z")
 SPACES = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
@@ -139,7 +144,7 @@ class Parser:
 
     @staticmethod
     def end_of(tag: str, page: str, at: int) -> int:
-        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+        end = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
         return end.end() if end else len(page)
 
     def walk(self, page: str) -> Iterator[tuple[int, int, str | None, int, int]]:
