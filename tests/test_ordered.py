@@ -59,3 +59,12 @@ def test_range_number_is_the_count_of_cuts_passed(spark, n):
     cuts = [3 * i for i in range(n)]
     rows = spark.range(-2, 3 * n + 3).select("id", O.range_no(F.col("id"), cuts).alias("r")).collect()
     assert all(r.r == sum(c <= r.id for c in cuts) for r in rows)
+
+
+def test_chapters_have_heads(spark):
+    rows = [("g", 2, 21, "b1"), ("g", 1, 12, "a2"), ("g", 1, 11, "a1"), ("h", 10, 101, "z")]
+    df = spark.createDataFrame(rows, "book string, chapter int, place bigint, text string")
+    parts = O.ordered_parts(O.with_chapter_heads(df, ["book"], "chapter", "place", "text"), "book", "place", "text").collect()
+    line = "=" * 60
+    head = lambda n: f"\n\n{line}\nCHAPTER {n}\n{line}\n\n"
+    assert {r.book: r.text for r in parts} == {"g": head(1) + "a1\n\na2\n\n" + head(2) + "b1", "h": head(10) + "z"}

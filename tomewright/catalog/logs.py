@@ -156,6 +156,16 @@ def ordered_concat(spark, d):
     return O.ordered_parts(_docs(spark, d), "source", "doc_id", "text", part_chars=20_000)
 
 
+def chapter_concat(spark, d):
+    """Each source is a book of 18 chapters; texts in order of chapter and id, a head before each chapter."""
+    verses = _docs(spark, d).select(
+        "source", (F.col("doc_id") % 18 + 1).alias("chapter"), ((F.col("doc_id") % 18 + 1) * 1_000_000_000_000 + F.col("doc_id")).alias("place"), "text"
+    )
+    headed = O.with_chapter_heads(verses, ["source"], "chapter", "place", "text")
+    parts = O.ordered_parts(headed, "source", "place", "text", part_chars=20_000)
+    return parts.select("source", "part", "n_texts", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def running_budget(spark, d):
     log = _docs(spark, d).select(
         "doc_id", "text", F.when(F.col("lang") == "de", F.col("n_chars") / 1000.0).alias("actual")
@@ -274,7 +284,7 @@ QUERIES = {
     for f in (
         embed_cache_hits, embed_cache_misses, embed_cache_stats, embed_chunks, exact_history_hit, history_page, faq_hit,
         route_questions, pending_work, resume_offset, batch_plan, corpus_stats, corpus_totals, ordered_concat,
-        running_budget, answer_cache_stream, prefix_until_target, trim_plan, year_histogram, shard_merge, dense_spine_counts, user_upsert,
+        chapter_concat, running_budget, answer_cache_stream, prefix_until_target, trim_plan, year_histogram, shard_merge, dense_spine_counts, user_upsert,
         quota_reset, quota_ledger, rate_limit, circuit_breaker, latest_status, lru_keep_n, outcome_rates,
     )
 }
@@ -354,6 +364,13 @@ SELECT conv_id, batch, n_chunks, (batch + 1) % 2 = 0 OR batch = max(batch) OVER
     "ordered_concat": """WITH p AS (SELECT source, doc_id, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY source
   ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 20000 AS part FROM documents)
 SELECT source, part, count(*) AS n_texts, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM p GROUP BY ALL""",
+    "chapter_concat": """WITH f AS (SELECT source, doc_id % 18 + 1 AS chapter, doc_id, text FROM documents), t AS (
+  SELECT source, chapter, doc_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source, chapter) THEN chr(10) || chr(10)
+    || repeat('=', 60) || chr(10) || 'CHAPTER ' || chapter || chr(10) || repeat('=', 60) || chr(10) || chr(10) ELSE '' END || text AS t FROM f),
+p AS (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY source ORDER BY chapter, doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 20000 AS part FROM t),
+j AS (SELECT source, part, count(*) AS n_texts, string_agg(t, chr(10) || chr(10) ORDER BY chapter, doc_id) AS t FROM p GROUP BY ALL)
+SELECT source, part, n_texts, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM j""",
     "running_budget": f"""WITH c AS (
   SELECT doc_id, {_py_round('((length(text) // 4) / 1000000.0::DOUBLE * 0.12::DOUBLE)', 4)} AS est,
   CASE WHEN lang = 'de' AND n_chars <> 0 THEN round(n_chars / 1000.0::DOUBLE, 4) END AS act FROM documents), r AS (

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tomewright.session import durable
 
+# What stands before and after the number at the head of a chapter.
+CHAPTER_HEAD = ("\n\n" + "=" * 60 + "\nCHAPTER ", "\n" + "=" * 60 + "\n\n")
+
 RANGE_ROWS = 500_000
 MAX_RANGES = 10_000
 
@@ -120,6 +123,17 @@ def shard_merge(df: DataFrame, shard: str, position: str, out: str = "chunk_id",
     )
 
 
+def with_chapter_heads(verses: DataFrame, by: list[str], chapter: str, order: str, text: str) -> DataFrame:
+    """``verses`` whose first text (by ``order``) of each chapter begins with the chapter's head.
+
+    The first places, one row for each chapter, are found by a minimum that tasks fold before the shuffle.
+    """
+    first = verses.groupBy(*by, chapter).agg(F.min(order).alias("__first"))
+    head = F.concat(F.lit(CHAPTER_HEAD[0]), F.col(chapter).cast("string"), F.lit(CHAPTER_HEAD[1]))
+    begins = F.col(order) == F.col("__first")
+    return verses.join(first, [*by, chapter]).withColumn(text, F.when(begins, F.concat(head, text)).otherwise(F.col(text))).select(*verses.columns)
+
+
 def ordered_parts(
     df: DataFrame, by: str, order: str, text: str, *, sep: str = "\n\n", part_chars: int = 1 << 20, **kw
 ) -> DataFrame:
