@@ -61,3 +61,107 @@ def test_filter_never_decides(spark):
     wanted = D.template_windows(bench, "item_id", "text", 8, 6).select("template")
     key = lambda d: sorted((r.doc_id, r.pos) for r in d.join(wanted.distinct(), "template").collect())
     assert key(whole) == key(some) and some.count() < whole.count()
+
+
+def test_copies_rich_in_placeholders(spark):
+    """Windows grow until they hold enough plain words; items without such windows are found word for word."""
+    days = "How many days are there in 3 weeks and 4 days if Anna works 5 hours a day"
+    german = "Welche Stadt liegt am Ufer der Elbe zwischen Dresden und Hamburg im Norden von Sachsen?"
+    short, names = "What is 12 times 15?", "Anna Berta Carla Dora Emma Frieda Greta Hanna Ida Johanna"
+    changed = days.replace("3", "7").replace("Anna", "Olga").replace("5", "6")
+    hidden = lambda k, t: (k, prose(k, 40) + ". " + t + " " + prose(k + 50, 40))
+    rows = [hidden(1, days), hidden(2, german), hidden(3, short), hidden(4, names), hidden(5, changed), hidden(6, "What is 12 times 16?"), hidden(7, prose(8, 9))]
+    got = find(spark, rows, [(1, days), (2, german), (3, short), (4, names), (5, "Two words"), (6, None)])
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)}
+    assert got[1, 1].exact and not got[5, 1].exact
+
+
+def test_one_unequal_slot_leaves_the_copied_words(spark):
+    item = "If Ada has 5 coins and gives 5 coins to the quiet boy then he holds 8 coins at the end"
+    tail = " while the old man waits under a wide tree and the river runs on to the sea"
+    got = find(spark, [(1, item.replace("gives 5", "gives 4") + tail), (2, item + tail)], [(1, item + tail)])
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1].n_windows < got[2, 1].n_windows == got[2, 1].n_item_windows
+
+
+def _brute(docs_, items, size=8, concrete=6, enough=6, shortest=4):
+    """Leaks by plain comparison of all windows of all texts, built word by word."""
+
+    def tokens(text):
+        out, ended = [], True
+        for raw in text.split():
+            core = raw.strip(D.EDGES)
+            low = core.lower()
+            if core:
+                slot = D.NUM if low in D.NUMBER_WORDS or D.NUMBER.fullmatch(core) else D.UNIT if low in D.UNITS else None
+                out.append((low, slot, D.NAME if slot is None and core[0].isupper() and not ended else None))
+                ended = False
+            ended = ended or raw[-1] in ".!?:…" or len(raw) > 1 and raw[-2] in ".!?"
+        return out
+
+    def windows(words):
+        for i in range(len(words)):
+            parts, slots, plain = [], [], 0
+            for j, (low, slot, name) in enumerate(words[i : i + 8 * size]):
+                kind = slot or (name if j else None)
+                parts.append(kind or low)
+                slots += [(kind, low)] if kind else []
+                plain += not kind
+                if len(parts) >= size and plain >= concrete:
+                    yield i, tuple(parts), tuple(slots)
+                    break
+
+    def stretches(mine, asked):
+        """Per diagonal the slots of all pairs of windows with equal templates."""
+        out = {}
+        for i, t, s in mine:
+            for k, u, v in asked:
+                if t == u:
+                    out.setdefault(i - k, []).append(list(zip(v, s)))
+        return out.values()
+
+    leaks = set()
+    for d, text in docs_:
+        words = tokens(text)
+        mine = list(windows(words))
+        for k, item in items:
+            asked_words = tokens(item)
+            asked = list(windows(asked_words))
+            need = min(enough, len(asked))
+            for met in stretches(mine, asked):
+                pairs = {p for m in met for p in m}
+                fair = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+                own = [m for m in met if all(a == b for a, b in m)]
+                if len(met if fair else own) >= need and (fair or 2 * len(own) > len(asked)):
+                    leaks.add((d, k))
+            n = min(size, len(asked_words))
+            if len(asked) < enough and len(asked_words) >= shortest:
+                cut = lambda w: [(i, tuple(x[0] for x in w[i : i + n]), ()) for i in range(len(w) - n + 1)]  # noqa: B023,E731
+                for met in stretches(cut(words), cut(asked_words)):
+                    if len(met) >= min(enough, len(asked_words) - n + 1):
+                        leaks.add((d, k))
+    return leaks
+
+
+def test_brute_force(spark):
+    """Windows, slots and stretches of random questions with numbers, names and units, whole and altered."""
+    import random
+
+    rng = random.Random(5)
+    plain = "the old man walks from a town to his house and buys some bread with milk before it rains".split()
+    marked = ["3", "7", "12", "km", "hours", "Anna", "Bert", "Cora", "five"]
+
+    def say(n, share):
+        return [rng.choice(marked if rng.random() < share else plain) for _ in range(n)]
+
+    items = [(k, say(rng.choice([3, 5, 7, 9, 14, 25]), rng.choice([0.1, 0.4, 0.8]))) for k in range(40)]
+    rows = []
+    for d in range(120):
+        words = say(20, 0.3)
+        for _, item in rng.sample(items, 2):
+            swap = {m: rng.choice(marked) for m in marked} if rng.random() < 0.5 else {}
+            kept = item if rng.random() < 0.7 else item[: len(item) * 2 // 3]
+            words += [swap.get(w, w) if rng.random() < 0.95 else w for w in kept] + say(6, 0.3) + ["end."]
+        rows.append((d, " ".join(words)))
+    texts = [(k, " ".join(w)) for k, w in items]
+    want = _brute(rows, texts)
+    assert len(want) > 60 and set(find(spark, rows, texts)) == want

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tomewright.llm.common import small_batches, stored
 
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+#: First word of the template of a window that is compared word for word.
+EXACT = "<exact>"
 
 # Spelled numbers and units of measure that count as placeholders.
 NUMBER_WORDS = frozenset(
@@ -35,7 +37,7 @@ FILTER_BITS = 20
 
 WINDOW_SCHEMA = "doc_id bigint, pos int, template string, slots array<string>"
 
-_PLAIN, _CAPITAL, _STOP, _SKIP, _GLUE = 0, 1, 2, 4, 8
+_PLAIN, _CAPITAL, _STOP, _SKIP, _GLUE, _SLOT = 0, 1, 2, 4, 8, 16
 
 
 def _digest(word: str) -> int:
@@ -43,7 +45,7 @@ def _digest(word: str) -> int:
 
 
 class Tokens(dict):
-    """Raw word -> row of the tables ``canon`` (canonical text), ``code`` (its digest) and ``flag``.
+    """Raw word -> row of the tables ``canon`` (canonical text), ``low`` (the word itself), their digests and ``flag``.
 
     Emptied between texts when it grows beyond ``keep`` words, which changes no result.
     """
@@ -56,7 +58,8 @@ class Tokens(dict):
     def reset(self) -> None:
         self.clear()
         self.canon: list[str] = []
-        self.code, self.flag = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+        self.low: list[str] = []
+        self.code, self.low_code, self.flag = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
 
     def __missing__(self, raw: str) -> int:
         core = raw.strip(EDGES)
@@ -65,9 +68,9 @@ class Tokens(dict):
         if not core:
             flag, canon = _SKIP, ""
         elif low in NUMBER_WORDS or NUMBER.fullmatch(core):
-            canon = NUM
+            flag, canon = _SLOT, NUM
         elif low in UNITS:
-            canon = UNIT
+            flag, canon = _SLOT, UNIT
         else:
             canon = low
             found = GLUED.fullmatch(core) if core[0].isdigit() or core[0] in "+-$€£" else None
@@ -79,29 +82,56 @@ class Tokens(dict):
             flag |= _STOP
         row = len(self.canon)
         if row == len(self.code):
-            self.code, self.flag = np.resize(self.code, 2 * row), np.resize(self.flag, 2 * row)
+            self.code, self.low_code, self.flag = (np.resize(a, 2 * row) for a in (self.code, self.low_code, self.flag))
         self.canon.append(canon)
+        self.low.append(low)
         self.code[row], self.flag[row] = _digest(canon), flag
+        self.low_code[row] = self.code[row] if canon == low else _digest(low)
         self[raw] = row
         return row
 
 
 _NAME_CODE = np.uint64(_digest(NAME))
-_FACTORS = np.array([_digest(f"factor {j}") | 1 for j in range(64)], np.uint64)
+_EXACT_CODE = np.uint64(_digest(EXACT))
+_BASE = _digest("base") | 1
+_BASE_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _spans(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digests of the stretches ``code[start:end]``: sums of code times a power, shifted back to the start."""
+    n = len(code)
+    power, back = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _BASE_BACK, np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(code * power[:n], out=total[1:])
+    return (total[ends] - total[starts]) * back[starts]
+
+
+class Found:
+    """The words of one text, the starts and ends of its template windows and their digests."""
+
+    def __init__(self, words, shown, rows, is_name, starts, ends, digests):
+        self.words, self.shown, self.rows, self.is_name = words, shown, rows, is_name
+        self.starts, self.ends, self.digests = starts, ends, digests
 
 
 class Windows:
     """Template windows of whole texts.
 
-    A capitalised word that does not open a sentence is a name. The first word of a window is never one,
-    as what stands before it plays no part: a window's template follows from its words alone.
+    A window is the shortest stretch from its first word on with ``size`` words, ``concrete`` of them no
+    placeholders; it is made longer, up to ``REACH`` times ``size`` words, until both hold. A capitalised word that
+    does not open a sentence is a name. The first word of a window is never one, as what stands before it
+    plays no part: a window's template follows from its words alone.
     """
 
+    REACH = 8
+
     def __init__(self, size: int, concrete: int):
         self.size, self.concrete, self.tokens = size, concrete, Tokens()
 
-    def of(self, text: str):
-        """(words, rows, is_name, digests): digests of all windows; None for texts with fewer words."""
+    def of(self, text: str) -> Found | None:
+        """None for a text without words."""
         tokens = self.tokens
         if len(tokens) > tokens.keep:
             tokens.reset()
@@ -113,20 +143,36 @@ class Windows:
             rows = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
             flags = tokens.flag[rows]
         shown = np.flatnonzero((flags & _SKIP) == 0)
-        if len(shown) < self.size:
+        if not len(shown):
             return None
         stops = (flags & _STOP) != 0
         # Marks between two words (dropped here) end a sentence for the word behind them as well.
-        ended = np.concatenate(([True], np.maximum.reduceat(stops, shown)[:-1])) if len(shown) else stops
+        ended = np.concatenate(([True], np.maximum.reduceat(stops, shown)[:-1]))
         rows, flags = rows[shown], flags[shown]
         is_name = ((flags & _CAPITAL) != 0) & ~ended
         plain = tokens.code[rows]
         code = np.where(is_name, _NAME_CODE, plain)
-        n = len(rows) - self.size + 1
-        digest = plain[:n] * _FACTORS[0]
-        for j in range(1, self.size):
-            digest += code[j : j + n] * _FACTORS[j]
-        return words, shown, rows, is_name, digest
+        n = len(rows)
+        counts = ((flags & _SLOT) == 0) & ~is_name
+        at = np.flatnonzero(counts)
+        # A name that opens a window counts as concrete there, as any word but a number or a unit does.
+        need = np.cumsum(counts) - counts + self.concrete - 1 - (is_name & ((flags & _SLOT) == 0))
+        starts = np.flatnonzero(need < len(at))
+        ends = np.maximum(at[need[starts]] + 1, starts + self.size)
+        made = (ends <= n) & (ends - starts <= self.REACH * self.size)
+        starts, ends = starts[made], ends[made]
+        digests = _spans(code, starts, ends) + plain[starts] - code[starts]
+        return Found(words, shown, rows, is_name, starts, ends, digests)
+
+    def exact(self, found: Found, length: int) -> np.ndarray:
+        """Digests of all stretches of ``length`` words, word for word."""
+        starts = np.arange(max(0, len(found.rows) - length + 1))
+        return _spans(self.tokens.low_code[found.rows], starts, starts + length) * _EXACT_CODE
+
+    def exact_lengths(self, found: Found, enough: int, shortest: int) -> tuple[int, ...]:
+        """Length of the exact windows of an item: none where it has ``enough`` templates or too few words."""
+        n = len(found.rows)
+        return (min(self.size, n),) if len(found.starts) < enough and n >= shortest else ()
 
     @staticmethod
     def _cut(word: str) -> tuple[str, str]:
@@ -135,20 +181,20 @@ class Windows:
         at = word.index(core) + m.end(1)
         return word[:at], word[at:]
 
-    def shown(self, found, at: int) -> tuple[str, list[str]] | None:
-        """Template and slot values (placeholder and word) of one window; None with too few concrete words."""
-        words, shown, rows, is_name, _ = found
-        parts, slots = [], []
-        for k in range(at, at + self.size):
-            canon = self.tokens.canon[rows[k]]
-            if is_name[k] and k > at:
+    def shown(self, found: Found, k: int) -> tuple[int, str, list[str]]:
+        """Start, template and slot values (placeholder and word) of the window number ``k``."""
+        first, parts, slots = int(found.starts[k]), [], []
+        for j in range(first, int(found.ends[k])):
+            canon = self.tokens.canon[found.rows[j]]
+            if found.is_name[j] and j > first:
                 canon = NAME
             parts.append(canon)
             if canon in (NUM, UNIT, NAME):
-                slots.append(f"{canon}{words[shown[k]].strip(EDGES).lower()}")
-        if self.size - len(slots) < self.concrete:
-            return None
-        return " ".join(parts), slots
+                slots.append(f"{canon}{found.words[found.shown[j]].strip(EDGES).lower()}")
+        return first, " ".join(parts), slots
+
+    def shown_exact(self, found: Found, first: int, length: int) -> tuple[int, str, list[str]]:
+        return first, " ".join([EXACT, *(self.tokens.low[r] for r in found.rows[first : first + length])]), []
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
@@ -159,27 +205,34 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def template_windows(rows: DataFrame, key: str, text: str, size: int, concrete: int, filter_bits=None) -> DataFrame:
+def template_windows(
+    rows: DataFrame, key: str, text: str, size: int, concrete: int, filter_bits=None, lengths: tuple[int, ...] = (),
+    enough: int = 0, shortest: int = 0,
+) -> DataFrame:
     """(doc_id, pos, template, slots) of the windows of whole texts.
 
     With ``filter_bits`` (a broadcast bitmap) only windows whose digest falls on a set bit are made; a
-    hash join on the template itself follows, so the filter never decides.
+    hash join on the template itself follows, so the filter never decides. Exact windows are made of the given
+    ``lengths`` and, in texts with fewer than ``enough`` template windows, of ``size`` words or all there are.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(size, concrete)
         bitmap = None if filter_bits is None else filter_bits.value
+
+        def chosen(digests: np.ndarray):
+            return range(len(digests)) if bitmap is None else np.flatnonzero(bitmap[digests >> np.uint64(64 - FILTER_BITS)])
+
         for batch in batches:
             out = []
             for key_value, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = windows.of(value.as_py() or "")
                 if found is None:
                     continue
-                at = range(len(found[-1])) if bitmap is None else np.flatnonzero(bitmap[found[-1] >> np.uint64(64 - FILTER_BITS)])
-                for k in at:
-                    made = windows.shown(found, int(k))
-                    if made:
-                        out.append((key_value, int(k), *made))
+                made = [windows.shown(found, int(k)) for k in chosen(found.digests)]
+                for length in lengths or windows.exact_lengths(found, enough, shortest):
+                    made += [windows.shown_exact(found, int(k), length) for k in chosen(windows.exact(found, length))]
+                out += [(key_value, *m) for m in made]
                 if len(out) > 20_000:
                     yield _rows(out)
                     out = []
@@ -188,7 +241,7 @@ def template_windows(rows: DataFrame, key: str, text: str, size: int, concrete:
     return small_batches(rows.select(key, text)).mapInArrow(make, WINDOW_SCHEMA)
 
 
-def _filter_bitmap(items: DataFrame, key: str, text: str, size: int, concrete: int) -> np.ndarray:
+def _filter_bitmap(items: DataFrame, key: str, text: str, size: int, concrete: int, enough: int = 0, shortest: int = 0) -> np.ndarray:
     """Which digest prefixes the benchmark's windows have: at most 2**FILTER_BITS numbers, however large it is."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +250,11 @@ def _filter_bitmap(items: DataFrame, key: str, text: str, size: int, concrete: i
             seen: set[int] = set()
             for value in batch.column(0):
                 found = windows.of(value.as_py() or "")
-                if found is not None:
-                    seen.update((found[-1] >> np.uint64(64 - FILTER_BITS)).tolist())
+                if found is None:
+                    continue
+                exact = [windows.exact(found, n) for n in windows.exact_lengths(found, enough, shortest)]
+                for digests in (found.digests, *exact):
+                    seen.update((digests >> np.uint64(64 - FILTER_BITS)).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int32())], names=["bucket"])
 
     got = items.select(text).mapInArrow(make, "bucket int").distinct().toArrow()
@@ -208,40 +264,61 @@ def _filter_bitmap(items: DataFrame, key: str, text: str, size: int, concrete: i
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, size: int = 8, concrete: int = 6, enough: int = 6,
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, concrete: int = 6, enough: int = 6, shortest: int = 4,
     text: str = "text", item_key: str = "item_id",
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, n_slots, exact) of every document that holds a benchmark item.
 
-    Windows of ``size`` words are joined on their template; ``concrete`` words at least must not be
-    placeholders. A stretch of joined windows counts where its slots are consistent: equal benchmark values
-    stand for equal document values and different ones for different ones. A document leaks an item if a
-    stretch has ``enough`` different windows of the item (all of them where the item has fewer). ``n_slots``
-    counts the placeholders of the stretch, ``exact`` says that one has no other values than the item. Items and documents with fewer than ``size`` words and null texts have no windows; a
-    row without an id is never reported. Repeated rows count once; extra columns are ignored.
+    Windows of ``size`` words or more, ``concrete`` of them no placeholders, are joined on their template. A
+    stretch of joined windows counts where its slots are consistent: equal benchmark values stand for equal
+    document values and different ones for different ones; of an inconsistent stretch only the windows count
+    that have the item's own values, and only if they are most of the item. A document leaks an item if a stretch has ``enough`` different windows of the
+    item (all of them where the item has fewer). An item with fewer than ``enough`` template windows, as it is
+    short or made of placeholders, is also looked for word for word, case and marks aside, in windows of ``size``
+    words or, if it is shorter, as a whole. ``n_slots`` counts the placeholders of the stretch, ``exact`` says that
+    one has no other values than the item. Items with fewer than ``shortest`` words and null texts have no
+    windows; a row without an id is never reported. Several items on one stretch are all reported. Repeated
+    rows count once; extra columns are ignored.
 
     Every document sees a bitmap of fixed size, so only windows that may match leave the tasks; both
     sides then meet in an ordinary join that Spark broadcasts or shuffles by measured size.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_bitmap(benchmark, item_key, text, size, concrete))
-    item_windows = template_windows(benchmark.where(F.col(item_key).isNotNull()), item_key, text, size, concrete)
-    items = stored(item_windows.select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots")).distinct())
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"))
-    held = template_windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", text, size, concrete, bits)
-    diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
-    met = stored(held.join(items, "template").select("doc_id", "item_id", diagonal, "item_pos", F.arrays_zip("item_slots", "slots").alias("zipped")))
+    bits = spark.sparkContext.broadcast(_filter_bitmap(benchmark, item_key, text, size, concrete, enough, shortest))
+    item_windows = template_windows(
+        benchmark.where(F.col(item_key).isNotNull()), item_key, text, size, concrete, enough=enough, shortest=shortest
+    )
+    word_for_word = F.col("template").startswith(EXACT + " ").alias("word_for_word")
+    items = stored(item_windows.select(
+        F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots"), word_for_word
+    ).distinct())
+    totals = items.groupBy("item_id", "word_for_word").agg(F.countDistinct("item_pos").alias("n_item_windows"))
+    # At most ``size`` different numbers.
+    n_words = items.where("word_for_word").select((F.size(F.split("template", " ")) - 1).alias("n")).distinct()
+    lengths = tuple(sorted(r.n for r in n_words.collect()))
+    held = template_windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", text, size, concrete, bits, lengths)
     # Windows on one diagonal are one stretch of the item. Over all its windows one value on one side must
     # stand for one on the other.
-    stretch = ["doc_id", "item_id", "diagonal"]
-    lengths = met.select(*stretch, "item_pos").distinct().groupBy(*stretch).agg(F.count("*").alias("n_windows"))
+    stretch = ["doc_id", "item_id", "word_for_word", "diagonal"]
+    met = stored(held.join(items, "template").select(
+        "doc_id", "item_id", "word_for_word", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos",
+        F.arrays_zip("item_slots", "slots").alias("zipped"),
+    ))
+    same = F.forall("zipped", lambda z: z["item_slots"] == z["slots"])
+    counted = (
+        met.groupBy(*stretch, "item_pos").agg(F.max(same).alias("same"))
+        .groupBy(*stretch).agg(F.count("*").alias("n_all"), F.count_if("same").alias("n_same"))
+    )
     pairs = met.select(*stretch, F.explode("zipped").alias("z")).select(*stretch, F.col("z.item_slots").alias("asked"), F.col("z.slots").alias("found")).distinct()
     unequal = [pairs.groupBy(*stretch, side).count().where("count > 1").select(*stretch) for side in ("asked", "found")]
+    mixed = unequal[0].unionByName(unequal[1]).distinct().withColumn("mixed", F.lit(True))
     slots = pairs.groupBy(*stretch).agg(F.count("*").alias("n_slots"), F.max(F.col("asked") != F.col("found")).alias("other_values"))
     return (
-        lengths.join(unequal[0].unionByName(unequal[1]), stretch, "left_anti")
+        counted.join(mixed, stretch, "left")
         .join(slots, stretch, "left")
-        .join(totals, "item_id")
+        .join(totals, ["item_id", "word_for_word"])
+        .withColumn("n_windows", F.when(F.col("mixed"), F.col("n_same")).otherwise(F.col("n_all")))
+        .where(F.col("mixed").isNull() | (2 * F.col("n_same") > F.col("n_item_windows")))
         .where(F.col("n_windows") >= F.least(F.lit(enough), F.col("n_item_windows")))
         .groupBy("doc_id", "item_id")
         .agg(
