@@ -15,6 +15,7 @@ from tomewright.operators.topk import overlap_at_k, overlap_verdict, postfilter,
 from tomewright.plans.cascade import search_distinct
 from tomewright.session import checkpoint_folder, durable
 from tomewright.sources.files import read_vector_file
+from tomewright.plans import living_index
 from tomewright.sources.sinks import read_index, write_index, write_vector_files
 
 K = 5
@@ -160,6 +161,18 @@ def vector_topk_stored_index(spark, d):
     return _rounded(IVF.probe_topk(members, _asked(spark, d).drop("label"), cells, K, N_PROBE, skip_self=True))
 
 
+def vector_topk_living_index(spark, d):
+    """An index of two thirds of the vectors, some of them wrong, takes in the rest and the right ones in two batches."""
+    path = f"{checkpoint_folder(spark)}/living-{uuid.uuid4().hex}"
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    third = F.col("vec_id") % 3
+    living_index.build(vectors.where(third < 2).withColumn("embedding", F.when(third == 0, F.reverse("embedding")).otherwise(F.col("embedding"))), path, 16)
+    for batch in (vectors.where(third == 2), vectors.where(third == 0)):
+        living_index.ingest(batch, path)
+    members, balls = living_index.read(spark, path)
+    return _rounded(IVF.pruned_topk(members, _asked(spark, d).drop("label"), balls, K, skip_self=True))
+
+
 def vector_topk_ivf(spark, d):
     """Cells from k-means."""
     vectors = _vectors(spark, d)
@@ -272,7 +285,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_exact, vector_topk_prefilter, vector_topk_postfilter, vector_topk_coarse, vector_topk_ivf,
-        vector_topk_pruned, vector_topk_stored_index, ivf_train, recall_at_k, recall_summary, relevance_floor, relevance_band, l2_normalize, vector_profile, vector_file_rows,
+        vector_topk_pruned, vector_topk_stored_index, vector_topk_living_index, ivf_train, recall_at_k, recall_summary, relevance_floor, relevance_band, l2_normalize, vector_profile, vector_file_rows,
         dedup_search, semantic_cache_lookup, context_assembly, source_diversity, history_passages,
     )
 }
@@ -319,6 +332,8 @@ SELECT qid, again AS rank, vec_id, round(sim, 6) AS similarity FROM r WHERE agai
     "vector_topk_coarse": f"""WITH {COARSE}
 SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM coarse WHERE rnk <= {K}""",
     "vector_topk_pruned": f"""WITH {RANKED}
+SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM ranked WHERE rnk <= {K}""",
+    "vector_topk_living_index": f"""WITH {RANKED}
 SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM ranked WHERE rnk <= {K}""",
     "vector_topk_stored_index": f"""WITH {COARSE}
 SELECT qid, rnk AS rank, vec_id, round(sim, 6) AS similarity FROM coarse WHERE rnk <= {K}""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tomewright.functions.text import clean_text
 from tomewright.operators.caches import CACHE_ENTRIES, keep_most_recent, latest
 from tomewright.operators.stateful import MICROS, Step
-from tomewright.sources.files import existing, file_path
+from tomewright.sources import versions
+from tomewright.sources.files import file_path
 
 _DECISION = T.StructType(
     [
@@ -120,57 +120,18 @@ def ingest_new_files(spark: SparkSession, root: str, out: str, checkpoint: str,
 CACHE_VERSIONS = 3
 
 
-def _version(path: str, n: int) -> str:
-    return f"{path.rstrip('/')}/version={n}"
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """(file system, path object) of a folder, on whatever store it names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def cache_versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the completely written versions, ascending."""
-    store, at = _hadoop(spark, path)
-    if not store.exists(at):
-        return []
-    names = [s.getPath().getName() for s in store.listStatus(at) if s.isDirectory()]
-    found = sorted(int(x.removeprefix("version=")) for x in names if x.startswith("version="))
-    return [n for n in found if existing(spark, [_version(path, n) + "/_SUCCESS"])]
-
-
-def _point_to(spark: SparkSession, path: str, n: int) -> None:
-    """Make version ``n`` the current one: a pointer file is replaced by a rename, so readers see the old or the new."""
-    jvm = spark._jvm
-    store, _ = _hadoop(spark, path)
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_current-{uuid.uuid4().hex}")
-    out = store.create(temporary, True)
-    out.write(bytearray(str(n).encode()))
-    out.close()
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    pointer = store.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_current"))
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
-    files.rename(store.makeQualified(temporary), pointer, how)
+    return versions.complete(spark, path)
 
 
 def current_cache(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
     """The version the pointer names or, with ``below``, the newest one older than that; None without any."""
     if below is not None:
-        older = [n for n in cache_versions(spark, path) if n < below]
-        return spark.read.parquet(_version(path, older[-1])) if older else None
-    pointer = f"{path.rstrip('/')}/_current"
-    if not existing(spark, [pointer]):
-        return None
-    store, at = _hadoop(spark, pointer)
-    stream = store.open(at)
-    try:
-        n = int(bytes(stream.readNBytes(32)).decode())
-    finally:
-        stream.close()
-    return spark.read.parquet(_version(path, n))
+        older = [n for n in versions.complete(spark, path) if n < below]
+        return spark.read.parquet(versions.folder(path, older[-1])) if older else None
+    n = versions.current(spark, path)
+    return None if n is None else spark.read.parquet(versions.folder(path, n))
 
 
 def merge_answers(batch: DataFrame, path: str, number: int, n: int = CACHE_ENTRIES) -> None:
@@ -183,11 +144,10 @@ def merge_answers(batch: DataFrame, path: str, number: int, n: int = CACHE_ENTRI
     old = current_cache(spark, path, number)
     both = batch if old is None else old.unionByName(batch)
     newest = latest(both, ["id"], F.col("last_used_at"), [c for c in both.columns if c != "id"])
-    keep_most_recent(newest, "last_used_at", "id", n).write.mode("overwrite").parquet(_version(path, number))
-    _point_to(spark, path, number)
-    store, _ = _hadoop(spark, path)
-    for old_number in [v for v in cache_versions(spark, path) if v <= number][:-CACHE_VERSIONS]:
-        store.delete(spark._jvm.org.apache.hadoop.fs.Path(_version(path, old_number)), True)
+    keep_most_recent(newest, "last_used_at", "id", n).write.mode("overwrite").parquet(versions.folder(path, number))
+    versions.point_to(spark, path, number)
+    for old_number in [v for v in versions.complete(spark, path) if v <= number][:-CACHE_VERSIONS]:
+        versions.remove(spark, versions.folder(path, old_number))
 
 
 def maintain_answer_cache(answers: DataFrame, path: str, checkpoint: str, *, n: int = CACHE_ENTRIES):
