@@ -1,4 +1,6 @@
+import math
 import re
+import textwrap
 
 from fixtures import EDGE, docs, prose
 from oracle import compare, duck
@@ -7,8 +9,12 @@ from tomewright.llm import license_scan as L
 from tomewright.llm.catalog import oracle_sql, queries
 
 
+def words_of(text):
+    return [x for x in re.split(r"[\W_]+", text.lower()) if x]
+
+
 def bag(text):
-    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    w = words_of(text)
     out, seen = set(), {}
     for a, b in zip(w, w[1:]):
         seen[a, b] = seen.get((a, b), 0) + 1
@@ -16,19 +22,40 @@ def bag(text):
     return out
 
 
+def told(form, t):
+    """Telling bigrams of a template."""
+    first = len(form) - math.ceil(len(form) * t / (2 - t) - 1e-9) + 1
+    return set(sorted((" ".join(p) for p in form), key=lambda p: (-len(p), p))[:first])
+
+
 def by_hand(rows, templates, t=0.8):
-    out = {}
-    forms = [(i, bag(x)) for i, x in templates]
+    """Every line, every whole text and every stretch of a template's length against every template."""
+    found = {}
+
+    def met(place, a, b, license_id):
+        dice = 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
+        if dice >= t:
+            found.setdefault(place, []).append((-dice, -len(a), license_id))
+
+    forms = []
+    for i, x in templates:
+        w = words_of(x)
+        forms.append((i, bag(x), list(zip(w, w[1:]))))
     for doc, text in rows:
         if text is None:
             continue
         lines = text.split("\n")
         for n, unit in [*enumerate(lines), *([(-1, " ".join(lines))] if len(lines) > 1 else [])]:
-            b = bag(unit)
-            found = sorted((-2 * len(b & f) / (len(b) + len(f)), i, len(b)) for i, f in forms if b and f)
-            if found and -found[0][0] >= t:
-                out[doc, n] = (found[0][1], round(-found[0][0], 12), found[0][2])
-    return out
+            for i, form, _ in forms:
+                met((doc, n), bag(unit), form, i)
+        flat = [(w, n) for n, line in enumerate(lines) for w in words_of(line)]
+        pairs = [(a, b) for (a, _), (b, _) in zip(flat, flat[1:])]
+        for i, form, listed in forms:
+            rare = told(listed, t) if listed else ()
+            for a in range(len(pairs) - len(listed) + 1 if listed else 0):
+                if any(p == q and " ".join(q) in rare for p, q in zip(pairs[a:], listed)):
+                    met((doc, flat[a][1]), bag(" ".join(w for w, _ in flat[a : a + len(listed) + 1])), form, i)
+    return {k: (min(v)[2], round(-min(v)[0], 12), -min(v)[1]) for k, v in found.items()}
 
 
 def scan(spark, df, templates):
@@ -52,6 +79,29 @@ def test_equals_brute_force(spark):
     assert scan(spark, docs(spark, rows), repeated) == by_hand(rows, repeated)
 
 
+def test_notices_inside_longer_texts(spark):
+    full = next(x for i, x in L.TEMPLATES if i == "MIT" and "NONINFRINGEMENT" in x)
+    notice = L.TEMPLATES[4][1]
+    rows = [
+        (1, prose(1, 300) + "\n" + textwrap.fill(notice, 60) + "\n" + prose(2, 300)), (2, "Copyright 2020 Acme. All rights reserved. Call us."),
+        (3, textwrap.fill("MIT License Copyright 2021 Somebody " + full, 80)), (4, prose(3, 40) + " " + notice.replace("Software", "Library", 1) + " " + prose(4, 40)),
+        (5, prose(5, 200) + " rights reserved all"), (6, (L.TEMPLATES[-1][1] + "\n" + notice) * 2), (7, "Licensed under the\nApache License, Version\n2.0 and all rights\n\nreserved"),
+    ]
+    want = by_hand(rows, L.TEMPLATES)
+    got = scan(spark, docs(spark, rows + rows[:2]), L.TEMPLATES)
+    assert got == want
+    assert want[1, 1][:2] == ("MIT", 1.0) and want[2, 0] == ("proprietary", 1.0, 2) and want[4, 0][0] == "MIT"
+    assert ("MIT", 1.0) in {v[:2] for k, v in want.items() if k[0] == 3} and {v[0] for k, v in want.items() if k[0] == 6} == {"MIT", "ISC"}
+    assert {v[0] for k, v in want.items() if k[0] == 7} == {"Apache-2.0", "proprietary"} and not any(k[0] == 5 for k in want)
+
+
+def test_many_templates_are_joined_with_the_same_result(spark, monkeypatch):
+    rows = [(1, prose(1, 30) + "\n" + textwrap.fill(L.TEMPLATES[4][1], 50)), (2, "x All rights reserved. y"), *EDGE]
+    want = scan(spark, docs(spark, rows), L.TEMPLATES)
+    monkeypatch.setattr(L, "MOST_TOLD", 3)
+    assert scan(spark, docs(spark, rows), L.TEMPLATES) == want == by_hand(rows, L.TEMPLATES)
+
+
 def test_empty(spark):
     assert scan(spark, docs(spark, []), L.TEMPLATES) == {}
     none = spark.createDataFrame([], "license_id string, template string")
