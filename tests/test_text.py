@@ -1,7 +1,6 @@
 import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tomewright.functions import html as H
@@ -67,12 +66,25 @@ def packer(sizes, limit, carry):
     return out
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.integers(5, 80), st.sampled_from([2, 3]))
-def test_spans_equal_greedy_packing_and_cover_all(sizes, limit, carry):
-    got = spans(sizes, limit, carry)
-    assert got == packer(sizes, limit, carry)
-    assert set(i for a, b in got for i in range(a, b)) == set(range(len(sizes)))
+def test_spans_equal_greedy_packing_and_cover_all(spark):
+    rng = random.Random(3)
+    cases = [([rng.randint(0, 30) for _ in range(rng.randint(1, 60))], limit, carry) for limit in (5, 20, 41, 80) for _ in range(30) for carry in (1, 2, 3)]
+    cases += [([], 20, 3), ([99], 20, 3), ([99] * 5, 20, 3)]
+    for limit in {c[1] for c in cases}:
+        for carry in (1, 2, 3):
+            mine = [c[0] for c in cases if c[1:] == (limit, carry)]
+            if not mine:
+                continue
+            df = spark.createDataFrame([(x,) for x in mine], "sizes array<bigint>").coalesce(1)
+            for row in df.select("sizes", spans(F.col("sizes"), limit, carry).alias("r")).collect():
+                got = [tuple(r) for r in row.r]
+                assert got == (packer(row.sizes, limit, carry) if row.sizes else [])
+                assert set(i for a, b in got for i in range(a, b)) == set(range(len(row.sizes)))
+
+
+def test_chunks_need_no_python(spark):
+    plan = chunk_documents(spark.createDataFrame([(1, "a b. c d.")], "id int, text string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_chunk_texts(spark):
