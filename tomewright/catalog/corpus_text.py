@@ -249,7 +249,7 @@ def citation_label(spark, d):
         "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), code.alias("code"), chunk.alias("chunk")
     )
     names = spark.createDataFrame(list(NAMES.items()), "key string, name string")
-    named = rows.join(names, F.lower("code") == F.col("key"), "left")
+    named = rows.join(F.broadcast(names), F.lower("code") == F.col("key"), "left")
     label = X.citation_label(F.col("code"), F.col("chunk"), F.coalesce("name", "code"))
     return named.select("l_orderkey", "l_linenumber", "chunk", label.alias("label"))
 
@@ -257,7 +257,7 @@ def citation_label(spark, d):
 def dim_lookup(spark, d):
     names = spark.createDataFrame(list(LANGS.items()), "key string, name string")
     docs = _docs(spark, d).select("doc_id", "lang")
-    return docs.join(names, F.lower("lang") == F.col("key"), "left").select(
+    return docs.join(F.broadcast(names), F.lower("lang") == F.col("key"), "left").select(
         "doc_id", "lang", F.coalesce("name", "lang").alias("name")
     )
 
