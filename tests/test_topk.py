@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +145,52 @@ def test_vectors_of_other_lengths_are_refused(spark):
     asked = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0])], "qid bigint, qvec array<float>")
     with pytest.raises(Exception, match="different lengths|shapes|mismatch|matmul"):
         T.similarity_topk(vectors.withColumnsRenamed({"id": "vec_id", "vec": "embedding"}), asked, 1).collect()
+
+
+def numpy_peak(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def arrow_tile(n_vectors, n_asked, dim, seed=3):
+    rng = np.random.default_rng(seed)
+
+    def lists(n):
+        return pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * dim).astype(np.float32)), dim).cast(pa.list_(pa.float32()))
+
+    some = pa.table({"id": np.arange(n_vectors), "prefer": np.zeros(n_vectors), "vec": lists(n_vectors)})
+    vectors = pa.Table.from_batches(some.to_batches(max_chunksize=10_000))
+    return vectors, pa.table({"qid": np.arange(n_asked), "qvec": lists(n_asked)})
+
+
+def test_pairs_of_equal_vectors_are_scored_in_portions():
+    same, asked = np.ones((2000, 64), np.float32), np.ones((512, 64))
+    best = T._Best(512, 3, None)
+    offer = lambda: best.offer(np.arange(512), asked, np.arange(512), np.arange(2000), np.zeros(2000), same, False)
+    assert numpy_peak(offer) < 250  # all million pairs at once take 1,000 MB
+    assert [b["id"].to_pylist() for b in best.batches(np.arange(512))] == [[0, 1, 2] * 512]
+
+
+def test_a_full_tile_takes_little_memory():
+    dim = 1024
+    vectors, asked = arrow_tile(T.BLOCK_BYTES // (4 * dim), T.SLAB_BYTES // T._per_query(dim, 5), dim)
+    before = pa.total_allocated_bytes()
+    held = []
+    peak = numpy_peak(lambda: held.append(T._scored_tile(vectors, asked, 5, None, False, True)))
+    size = (vectors.nbytes + asked.nbytes + pa.total_allocated_bytes() - before) >> 20
+    assert peak + size < 350
+    assert held[0].num_rows == 5 * asked.num_rows
+
+
+def test_many_cells_are_scored_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(IVF, "TILE_CELLS", 200)
+    df = spark.createDataFrame(make(300), SCHEMA)
+    cells = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in make(90, seed=5, hot=False)], "cell bigint, centroid array<double>")
+    near = IVF.nearest_cells(df, "embedding", cells, 3)
+    mat = np.array([r[1] for r in make(90, seed=5, hot=False)])
+    want = {(r[0], int(c)) for r in make(300) for c in np.argsort(-(np.array(r[1], np.float32).astype(float) @ mat.T), kind="stable")[:3]}
+    assert {(r.vec_id, r.cell) for r in near.collect()} == want

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomewright.functions.vectors import group_means
-from tomewright.operators.topk import RESIDENT_BYTES, _matrix, _unit, similarity_topk
+from tomewright.operators.topk import RESIDENT_BYTES, TILE_CELLS, _matrix, _unit, similarity_topk
 from tomewright.session import durable
 
 
@@ -65,15 +65,15 @@ def nearest_cells(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, mat = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            scores = _matrix(b[vec_col], np.float64) @ mat.T
-            near = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-            wide = b.take(rows)
-            yield pa.RecordBatch.from_arrays(
-                [*wide.columns, pa.array(cells[near.ravel()], pa.int64())], [*b.schema.names, cell_col]
-            )
+            portion = max(1, TILE_CELLS // max(len(cells), n))
+            for part in (b.slice(at, portion) for at in range(0, b.num_rows, portion)):
+                scores = _matrix(part[vec_col], np.float64) @ mat.T
+                near = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
+                wide = part.take(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*wide.columns, pa.array(cells[near.ravel()], pa.int64())], [*b.schema.names, cell_col]
+                )
 
     return df.mapInArrow(assign, schema)
 

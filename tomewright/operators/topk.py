@@ -2,7 +2,7 @@
 
 Two exact plans answer the same question:
 
-* **resident** - the queries fit a checked byte budget. They travel once to every executor and the
+* **resident** - the queries and their hits fit a checked byte budget. They travel once to every executor and the
   vectors are scanned where they lie: no shuffle of the corpus, k rows per query and task come out.
 * **tiled** - both sides are large. Rows meet by ``cell`` (an equality both sides must share, or one
   constant cell), and each cell is cut into vector blocks and query slabs of bounded size, so a cell
@@ -23,13 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RESIDENT_BYTES = 64 << 20
-BLOCK_BYTES = 128 << 20
-SLAB_BYTES = 64 << 20
+RESIDENT_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
+SLAB_BYTES = 32 << 20
+PAIR_BYTES = 16 << 20
+HIT_BYTES = 32
 POOL_QUERIES = 1024
 TILE_CELLS = 2_000_000
+LEAST_ROWS = 4096
 
 _HITS = "qid bigint, id bigint, prefer double, similarity double"
+_FOUND = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("prefer", pa.float64()), ("similarity", pa.float64())])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype=None) -> np.ndarray:
@@ -47,6 +51,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=m.copy(), where=length > 0)
 
 
+def _exact(asked: np.ndarray, vec: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products in double of the pairs ``(q, c)``, in portions: equal vectors can make every pair of a tile one."""
+    portion = max(1, PAIR_BYTES // (8 * max(1, asked.shape[1])))
+    out = np.empty(len(q))
+    for at in range(0, len(q), portion):
+        some = slice(at, at + portion)
+        out[some] = np.einsum("ij,ij->i", asked[q[some]], vec[c[some]].astype(np.float64))
+    return out
+
+
 class _Best:
     """The k best (query row, id, prefer, score) seen so far for each query row, pooled by 1024 queries."""
 
@@ -57,8 +71,12 @@ class _Best:
         empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
         self.pools = [list(empty) for _ in range(-(-n_queries // POOL_QUERIES))]
 
-    def rows(self) -> list[np.ndarray]:
-        return [np.concatenate(col) for col in zip(*self.pools, strict=True)] if self.pools else []
+    def batches(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What was found, pool by pool; a pool is let go once it is handed on."""
+        for pool in range(len(self.pools)):
+            q, ids, prefer, score = self.pools[pool]
+            self.pools[pool] = [q[:0], ids[:0], prefer[:0], score[:0]]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(prefer), pa.array(score)], schema=_FOUND)
 
     def offer(self, qidx, qvec, qids, ids, prefer, vec, skip_self: bool) -> None:
         """Show vectors to the queries ``qidx`` (ascending); ``qvec`` and ``qids`` belong to all queries."""
@@ -87,8 +105,7 @@ class _Best:
                     bar = np.maximum(bar, kth)
                 q, c = np.nonzero((scores >= (bar - slack)[:, None]) & (scores > -np.inf))
                 if len(q):
-                    exact = np.einsum("ij,ij->i", asked[q], tile[c].astype(np.float64))
-                    self._merge(pool, part[q], ids[lo + c], prefer[lo + c], exact)
+                    self._merge(pool, part[q], ids[lo + c], prefer[lo + c], _exact(asked, tile, q, c))
 
     def _merge(self, pool: int, q, ids, prefer, score) -> None:
         if self.floor is not None:
@@ -103,12 +120,9 @@ class _Best:
         self.pools[pool] = [col[rank < self.k] for col in new]
 
 
-def _batch(best: _Best, qids: np.ndarray) -> pa.RecordBatch:
-    q, ids, prefer, score = best.rows() or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(qids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(prefer), pa.array(score)],
-        ["qid", "id", "prefer", "similarity"],
-    )
+def _per_query(dim: int, k: int) -> int:
+    """Bytes a query takes while it is searched for: its vector in double and its hits."""
+    return 8 * dim + HIT_BYTES * k
 
 
 def _resident(corpus: DataFrame, q: pa.Table, k: int, floor, skip_self: bool, normalize: bool) -> DataFrame:
@@ -137,17 +151,31 @@ def _resident(corpus: DataFrame, q: pa.Table, k: int, floor, skip_self: bool, no
                     continue
                 rows = slice(None) if len(cells.dictionary) == 1 and not cells.null_count else code == i
                 best.offer(qidx, qvec, qids, ids[rows], prefer[rows], vec[rows], skip_self)
-        yield _batch(best, qids)
+        yield from best.batches(qids)
 
     return corpus.mapInArrow(scan, _HITS)
 
 
+def _scored_tile(vectors: pa.Table, asked: pa.Table, k: int, floor, skip_self: bool, normalize: bool) -> pa.Table:
+    """The k best of one block for one slab; the block is taken batch by batch, so it is never copied as a whole."""
+    qids = asked["qid"].to_numpy()
+    best = _Best(len(qids), k, floor)
+    if vectors.num_rows and asked.num_rows:
+        qvec = _matrix(asked["qvec"], np.float64)
+        qvec = _unit(qvec) if normalize else qvec
+        for b in vectors.select(["id", "prefer", "vec"]).to_batches():
+            best.offer(np.arange(len(qids)), qvec, qids, b["id"].to_numpy(), b["prefer"].to_numpy(), _matrix(b["vec"]), skip_self)
+    return pa.Table.from_batches(best.batches(qids), _FOUND)
+
+
 def _tiled(
     corpus: DataFrame, queries: DataFrame, dim: int, k: int, floor, skip_self: bool, normalize: bool, one_cell: bool
 ) -> DataFrame:
-    block_rows, slab_rows = max(1, BLOCK_BYTES // (4 * dim)), max(1, SLAB_BYTES // (8 * dim))
+    block_rows, slab_rows = max(1, BLOCK_BYTES // (4 * dim)), max(1, SLAB_BYTES // _per_query(dim, k))
     if one_cell:  # the same cell everywhere: block numbers are constants and nothing is joined to get them
-        n_block, n_slab = max(1, -(-corpus.count() // block_rows)), max(1, -(-queries.count() // slab_rows))
+        n, n_slab = corpus.count(), max(1, -(-queries.count() // slab_rows))
+        tasks = 2 * corpus.sparkSession.sparkContext.defaultParallelism  # few slabs: smaller blocks keep all cores at work
+        n_block = max(1, -(-n // block_rows), min(-(-tasks // n_slab), -(-n // LEAST_ROWS)))
 
         def placed(side: DataFrame) -> DataFrame:
             return side.withColumn("n_block", F.lit(n_block).cast("long")).withColumn("n_slab", F.lit(n_slab).cast("long"))
@@ -176,15 +204,7 @@ def _tiled(
     )
 
     def score(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        qids = asked["qid"].to_numpy()
-        best = _Best(len(qids), k, floor)
-        if vectors.num_rows and asked.num_rows:
-            qvec = _matrix(asked["qvec"], np.float64)
-            best.offer(
-                np.arange(len(qids)), _unit(qvec) if normalize else qvec, qids, vectors["id"].to_numpy(),
-                vectors["prefer"].to_numpy(), _matrix(vectors["vec"]), skip_self,
-            )
-        return pa.Table.from_batches([_batch(best, qids)])
+        return _scored_tile(vectors, asked, k, floor, skip_self, normalize)
 
     keys = ["cell", "block", "slab"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _HITS)
@@ -224,7 +244,7 @@ def similarity_topk(
     )
     head = asked.select(F.size("qvec").alias("d")).head()
     dim = max(1, head["d"]) if head else 1
-    room = resident_bytes // (8 * dim)
+    room = resident_bytes // _per_query(dim, k)
     fetched = asked.limit(room + 1).toArrow() if room else None
     if fetched is not None and fetched.num_rows <= room:
         hits = _resident(vectors, fetched, k, floor, skip_self, normalize)
