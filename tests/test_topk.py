@@ -194,3 +194,12 @@ def test_many_cells_are_scored_in_portions(spark, monkeypatch):
     mat = np.array([r[1] for r in make(90, seed=5, hot=False)])
     want = {(r[0], int(c)) for r in make(300) for c in np.argsort(-(np.array(r[1], np.float32).astype(float) @ mat.T), kind="stable")[:3]}
     assert {(r.vec_id, r.cell) for r in near.collect()} == want
+
+
+def test_hits_count_in_the_budget_of_queries(spark):
+    """Many hits a query must not pile up in tasks: such a batch is cut into slabs, though its vectors alone would fit."""
+    df = spark.createDataFrame(make(100), SCHEMA)
+    asked = df.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    plan = lambda k: T.similarity_topk(df, asked, k, resident_bytes=100 * (8 * 8 + 32 * 5))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan(5) and "CoGroup" not in plan(5)
+    assert "CoGroup" in plan(50)
