@@ -203,3 +203,12 @@ def test_hits_count_in_the_budget_of_queries(spark):
     plan = lambda k: T.similarity_topk(df, asked, k, resident_bytes=100 * (8 * 8 + 32 * 5))._jdf.queryExecution().toString()
     assert "MapInArrow" in plan(5) and "CoGroup" not in plan(5)
     assert "CoGroup" in plan(50)
+
+
+def test_tied_pairs_of_a_full_tile_are_merged_in_portions():
+    same, asked = np.ones((T.TILE_CELLS // T.POOL_QUERIES, 64), np.float32), np.ones((T.POOL_QUERIES, 64))
+    ids = np.arange(len(same))[::-1].copy()
+    best = T._Best(len(asked), 3, None)
+    offer = lambda: best.offer(np.arange(len(asked)), asked, np.arange(len(asked)), ids, np.zeros(len(same)), same, False)
+    assert numpy_peak(offer) < 100  # two million pairs merged at once take 244 MB
+    assert [b["id"].to_pylist() for b in best.batches(np.arange(len(asked)))] == [[0, 1, 2] * len(asked)]

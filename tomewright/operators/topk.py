@@ -51,14 +51,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=m.copy(), where=length > 0)
 
 
-def _exact(asked: np.ndarray, vec: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products in double of the pairs ``(q, c)``, in portions: equal vectors can make every pair of a tile one."""
-    portion = max(1, PAIR_BYTES // (8 * max(1, asked.shape[1])))
-    out = np.empty(len(q))
-    for at in range(0, len(q), portion):
-        some = slice(at, at + portion)
-        out[some] = np.einsum("ij,ij->i", asked[q[some]], vec[c[some]].astype(np.float64))
-    return out
+def portion_rows(dim: int) -> int:
+    """Vectors in double that fit the bytes one step of a task may copy."""
+    return max(1, PAIR_BYTES // (8 * max(1, dim)))
 
 
 class _Best:
@@ -103,9 +98,12 @@ class _Best:
                 if scores.shape[1] > self.k:
                     kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
                     bar = np.maximum(bar, kth)
-                q, c = np.nonzero((scores >= (bar - slack)[:, None]) & (scores > -np.inf))
-                if len(q):
-                    self._merge(pool, part[q], ids[lo + c], prefer[lo + c], _exact(asked, tile, q, c))
+                pairs = np.flatnonzero((scores >= (bar - slack)[:, None]) & (scores > -np.inf))
+                portion = portion_rows(asked.shape[1])  # equal vectors can make every pair of a tile one to merge
+                for at in range(0, len(pairs), portion):
+                    q, c = np.divmod(pairs[at : at + portion], len(tile))
+                    exact = np.einsum("ij,ij->i", asked[q], tile[c].astype(np.float64))
+                    self._merge(pool, part[q], ids[lo + c], prefer[lo + c], exact)
 
     def _merge(self, pool: int, q, ids, prefer, score) -> None:
         if self.floor is not None:
