@@ -1,6 +1,7 @@
 """Exact search that skips cells, and the stored inverted file."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,21 @@ def test_more_balls_than_fit_meet_in_tiles(spark):
     assert key(whole) == key(tiled) and len(key(whole)) > 100
 
 
+def test_reached_cells_leave_in_portions():
+    """Without structure every query reaches every cell, and each pair carries the vector of its query."""
+    rng = np.random.default_rng(5)
+    dim, n, cells = 64, 2000, 400
+    qvec = pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * dim)), dim).cast(pa.list_(pa.float64()))
+    asked = pa.record_batch({"qid": pa.array(range(n)), "qvec": qvec, "bar": pa.array(np.zeros(n)), "seen": pa.array([[i % cells] for i in range(n)])})
+    held = np.arange(cells), rng.normal(size=(cells, dim)), np.full(cells, 99.0)
+    before, most, seen = pa.total_allocated_bytes(), 0, []
+    for b in IVF._within_reach(asked, *held):
+        most = max(most, pa.total_allocated_bytes() - before)
+        seen += zip(b["qid"].to_pylist(), b["probe"].to_pylist(), strict=True)
+    assert most < 64 << 20  # all 800,000 pairs at once take 400 MB
+    assert len(seen) == n * (cells - 1) == len(set(seen)) and all(c != q % cells for q, c in seen)
+
+
 def test_balls_hold_all_members(spark):
     df = clustered(spark)
     members, centroids = in_cells(df, 12)

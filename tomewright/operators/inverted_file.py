@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomewright.functions.vectors import group_means
-from tomewright.operators.topk import RESIDENT_BYTES, TILE_CELLS, _matrix, _unit, similarity_topk
+from tomewright.operators.topk import RESIDENT_BYTES, TILE_CELLS, _matrix, _unit, portion_rows, similarity_topk
 from tomewright.session import durable
 
 
@@ -65,7 +65,7 @@ def nearest_cells(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, mat = shared.value
         for b in batches:
-            portion = max(1, TILE_CELLS // max(len(cells), n))
+            portion = max(1, min(TILE_CELLS // max(len(cells), n), portion_rows(mat.shape[1]) // min(len(cells), n)))
             for part in (b.slice(at, portion) for at in range(0, b.num_rows, portion)):
                 scores = _matrix(part[vec_col], np.float64) @ mat.T
                 near = np.argsort(-scores, axis=1, kind="stable")[:, :n]
@@ -95,28 +95,29 @@ def cell_balls(members: DataFrame, centroids: DataFrame, vec_col: str = "embeddi
 _REACHED = "qid bigint, qvec array<double>, probe bigint"
 
 
-def _within_reach(asked: pa.Table | pa.RecordBatch, cells: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> pa.RecordBatch:
-    """The cells, other than those seen, whose bound is not below the bar of a query."""
-    qvec = _unit(_matrix(asked["qvec"], np.float64)) if asked.num_rows else np.empty((0, centres.shape[1]))
-    length = np.sqrt(np.einsum("ij,ij->i", qvec, qvec))[:, None]
-    bound = qvec @ centres.T + length * radius
-    slack = 1e-6 * length * (np.sqrt(np.einsum("ij,ij->i", centres, centres)) + radius)  # float32 sums of the search
-    bar = asked["bar"].to_numpy(zero_copy_only=False) if isinstance(asked, pa.RecordBatch) else asked["bar"].to_numpy()
-    open_ = bound + slack >= bar[:, None] if len(bar) else np.zeros((0, len(cells)), bool)
-    for row, seen in enumerate(asked["seen"].to_pylist()):
-        open_[row, np.isin(cells, seen or [])] = False
-    row, cell = np.nonzero(open_)
-    rows = pa.array(row)
-    return pa.RecordBatch.from_arrays(
-        [_column(asked["qid"]).take(rows), _column(asked["qvec"]).take(rows), pa.array(cells[cell], pa.int64())], ["qid", "qvec", "probe"]
-    )
-
-
-def _column(c: pa.Array | pa.ChunkedArray) -> pa.Array:
-    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+def _within_reach(asked: pa.RecordBatch, cells: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The cells, other than those seen, whose bound is not below the bar of a query.
 
-
-def cells_in_reach(queries: DataFrame, balls: DataFrame, room_bytes: int = RESIDENT_BYTES, tile_rows: int = 8192) -> DataFrame:
+    Queries are taken in portions, and so is what they reach: a query leaves its vector once for each cell.
+    """
+    sizes = np.sqrt(np.einsum("ij,ij->i", centres, centres)) + radius
+    portion, leaving = max(1, TILE_CELLS // max(1, len(cells))), portion_rows(centres.shape[1])
+    for some in (asked.slice(at, portion) for at in range(0, asked.num_rows, portion)):
+        qvec = _unit(_matrix(some["qvec"], np.float64))
+        length = np.sqrt(np.einsum("ij,ij->i", qvec, qvec))[:, None]
+        bound = qvec @ centres.T + length * radius
+        bound += 1e-6 * length * sizes  # float32 sums of the search
+        open_ = bound >= some["bar"].to_numpy(zero_copy_only=False)[:, None]
+        for row, seen in enumerate(some["seen"].to_pylist()):
+            open_[row, np.isin(cells, seen or [])] = False
+        near = np.flatnonzero(open_)
+        for at in range(0, len(near), leaving):
+            row, cell = np.divmod(near[at : at + leaving], len(cells))
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([some["qid"].take(rows), some["qvec"].take(rows), pa.array(cells[cell], pa.int64())], ["qid", "qvec", "probe"])
+
+
+def cells_in_reach(queries: DataFrame, balls: DataFrame, room_bytes: int = RESIDENT_BYTES, tile_rows: int = 2048) -> DataFrame:
     """``(qid, qvec, probe)``: for ``queries(qid, qvec, bar, seen)`` every cell that can hold a vector at or above ``bar``.
 
     An inner product of a unit query and a member is at most that with the centre plus the radius. Balls go to
@@ -136,8 +137,7 @@ def cells_in_reach(queries: DataFrame, balls: DataFrame, room_bytes: int = RESID
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    yield _within_reach(b.slice(at, 1024), *shared.value)
+                yield from _within_reach(b, *shared.value)
 
         return asked.mapInArrow(reach, _REACHED)
     n_block, n_slab = max(1, -(-table.count() // tile_rows)), max(1, -(-asked.count() // tile_rows))
@@ -147,10 +147,14 @@ def cells_in_reach(queries: DataFrame, balls: DataFrame, room_bytes: int = RESID
 
     def tile(some: pa.Table, cells: pa.Table) -> pa.Table:
         if not some.num_rows or not cells.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "qvec": pa.array([], pa.list_(pa.float64())), "probe": pa.array([], pa.int64())})
-        return pa.Table.from_batches([_within_reach(some, cells["cell"].to_numpy(), _matrix(cells["centroid"], np.float64), cells["radius"].to_numpy())])
-
-    return left.groupBy("slab", "block").cogroup(right.groupBy("slab", "block")).applyInArrow(tile, _REACHED)
+            return pairs.empty_table()
+        held = cells["cell"].to_numpy(), _matrix(cells["centroid"], np.float64), cells["radius"].to_numpy()
+        near = (reached.select(["qid", "probe"]) for b in some.to_batches() for reached in _within_reach(b, *held))
+        return pa.Table.from_batches(near, pairs)
+
+    pairs = pa.schema([("qid", pa.int64()), ("probe", pa.int64())])  # a tile returns no vectors: each would leave it once for every cell
+    near = left.groupBy("slab", "block").cogroup(right.groupBy("slab", "block")).applyInArrow(tile, "qid bigint, probe bigint")
+    return near.join(asked.select("qid", "qvec"), "qid").select("qid", "qvec", "probe")
 
 
 def visited_cells(
