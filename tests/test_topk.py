@@ -212,3 +212,26 @@ def test_tied_pairs_of_a_full_tile_are_merged_in_portions():
     offer = lambda: best.offer(np.arange(len(asked)), asked, np.arange(len(asked)), ids, np.zeros(len(same)), same, False)
     assert numpy_peak(offer) < 100  # two million pairs merged at once take 244 MB
     assert [b["id"].to_pylist() for b in best.batches(np.arange(len(asked)))] == [[0, 1, 2] * len(asked)]
+
+
+def test_a_slab_is_not_copied_as_a_whole():
+    dim = 1024
+    vectors, asked = arrow_tile(2000, T.SLAB_BYTES // T._per_query(dim, 5), dim)
+    held = []
+    assert numpy_peak(lambda: held.append(T._scored_tile(vectors, asked, 5, None, False, True))) < 85  # all queries in double and their unit vectors take 99 MB
+    assert held[0].num_rows == 5 * asked.num_rows
+
+
+def test_void_numbers_and_the_own_vector_take_no_part():
+    """Rows that hold no number leave the others' ranks alone, and so do ids that stand twice."""
+    vectors, asked = arrow_tile(300, 40, 8)
+    m = np.stack(vectors["vec"].to_numpy())
+    m[[5, 77]] = np.nan
+    ids = np.arange(300) // 2
+    some = pa.table({"id": ids, "prefer": np.zeros(300), "vec": pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 8).cast(pa.list_(pa.float32()))})
+    got = T._scored_tile(some, asked, 4, None, True, True).to_pydict()
+    q = np.stack(asked["qvec"].to_numpy()).astype(float)
+    scores = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ m.astype(float).T
+    scores[np.isnan(scores) | (ids[None] == np.arange(40)[:, None])] = -np.inf
+    want = [(i, int(ids[j])) for i in range(40) for j in np.lexsort((ids, -scores[i]))[:4]]
+    assert sorted(zip(got["qid"], got["id"], strict=True)) == sorted(want)

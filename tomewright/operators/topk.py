@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESIDENT_BYTES = 32 << 20
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 SLAB_BYTES = 32 << 20
 PAIR_BYTES = 16 << 20
 HIT_BYTES = 32
@@ -56,6 +56,13 @@ def portion_rows(dim: int) -> int:
     return max(1, PAIR_BYTES // (8 * max(1, dim)))
 
 
+def _lowest(bar: np.ndarray) -> np.ndarray:
+    """A float32 not above ``bar`` and above minus infinity, which marks pairs that take no part."""
+    with np.errstate(over="ignore"):
+        below = np.nextafter(bar.astype(np.float32), np.float32(-np.inf))
+    return np.maximum(below, np.finfo(np.float32).min)
+
+
 class _Best:
     """The k best (query row, id, prefer, score) seen so far for each query row, pooled by 1024 queries."""
 
@@ -87,18 +94,19 @@ class _Best:
             asked = qvec[part]
             rough = asked.astype(np.float32)
             slack = reach * np.sqrt(np.einsum("ij,ij->i", asked, asked))
+            own = np.flatnonzero(np.isin(ids, qids[part])) if skip_self else ids[:0]
             rows = max(1, TILE_CELLS // len(part))
             for lo in range(0, len(ids), rows):
                 tile = vec[lo : lo + rows]
                 scores = rough @ tile.T
-                scores[np.isnan(scores)] = -np.inf
-                if skip_self:
-                    scores[qids[part][:, None] == ids[None, lo : lo + rows]] = -np.inf
-                bar = self.bar[part]
-                if scores.shape[1] > self.k:
+                if np.isnan(scores.max()):
+                    scores[np.isnan(scores)] = -np.inf
+                for at in own[np.searchsorted(own, lo) : np.searchsorted(own, lo + rows)]:
+                    scores[qids[part] == ids[at], at - lo] = -np.inf
+                pairs = np.flatnonzero(scores >= _lowest(self.bar[part] - slack)[:, None])
+                if scores.shape[1] > self.k and len(pairs) > self.k * len(part):  # the tile's own k-th best is a higher bar
                     kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
-                    bar = np.maximum(bar, kth)
-                pairs = np.flatnonzero((scores >= (bar - slack)[:, None]) & (scores > -np.inf))
+                    pairs = np.flatnonzero(scores >= _lowest(np.maximum(self.bar[part], kth) - slack)[:, None])
                 portion = portion_rows(asked.shape[1])  # equal vectors can make every pair of a tile one to merge
                 for at in range(0, len(pairs), portion):
                     q, c = np.divmod(pairs[at : at + portion], len(tile))
@@ -155,15 +163,19 @@ def _resident(corpus: DataFrame, q: pa.Table, k: int, floor, skip_self: bool, no
 
 
 def _scored_tile(vectors: pa.Table, asked: pa.Table, k: int, floor, skip_self: bool, normalize: bool) -> pa.Table:
-    """The k best of one block for one slab; the block is taken batch by batch, so it is never copied as a whole."""
-    qids = asked["qid"].to_numpy()
-    best = _Best(len(qids), k, floor)
-    if vectors.num_rows and asked.num_rows:
-        qvec = _matrix(asked["qvec"], np.float64)
-        qvec = _unit(qvec) if normalize else qvec
-        for b in vectors.select(["id", "prefer", "vec"]).to_batches():
-            best.offer(np.arange(len(qids)), qvec, qids, b["id"].to_numpy(), b["prefer"].to_numpy(), _matrix(b["vec"]), skip_self)
-    return pa.Table.from_batches(best.batches(qids), _FOUND)
+    """The k best of one block for one slab; neither is copied as a whole: queries are taken pool by pool, vectors batch by batch."""
+    found = []
+    if vectors.num_rows:
+        held = [(b["id"].to_numpy(), b["prefer"].to_numpy(), _matrix(b["vec"])) for b in vectors.select(["id", "prefer", "vec"]).to_batches()]
+        for at in range(0, asked.num_rows, POOL_QUERIES):
+            pool = asked.slice(at, POOL_QUERIES)
+            qids, qvec = pool["qid"].to_numpy(), _matrix(pool["qvec"], np.float64)
+            qvec = _unit(qvec) if normalize else qvec
+            best = _Best(len(qids), k, floor)
+            for some in held:
+                best.offer(np.arange(len(qids)), qvec, qids, *some, skip_self)
+            found.extend(best.batches(qids))
+    return pa.Table.from_batches(found, _FOUND)
 
 
 def _tiled(
