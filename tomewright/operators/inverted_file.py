@@ -92,9 +92,6 @@ def cell_balls(members: DataFrame, centroids: DataFrame, vec_col: str = "embeddi
     return centroids.select("cell", "centroid").join(sizes, "cell")
 
 
-_REACHED = "qid bigint, qvec array<double>, probe bigint"
-
-
 def _within_reach(asked: pa.RecordBatch, cells: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The cells, other than those seen, whose bound is not below the bar of a query.
 
@@ -119,11 +116,12 @@ def _within_reach(asked: pa.RecordBatch, cells: np.ndarray, centres: np.ndarray,
 
 def cells_in_reach(queries: DataFrame, balls: DataFrame, room_bytes: int = RESIDENT_BYTES, tile_rows: int = 2048) -> DataFrame:
     """``(qid, qvec, probe)``: for ``queries(qid, qvec, bar, seen)`` every cell that can hold a vector at or above ``bar``.
+    ``qvec`` keeps its type, as a query leaves with its vector once for each cell.
 
     An inner product of a unit query and a member is at most that with the centre plus the radius. Balls go to
     every executor while they fit ``room_bytes``; more of them meet the queries in tiles of bounded size.
     """
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec"), F.col("bar").cast("double").alias("bar"), "seen")
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "qvec", F.col("bar").cast("double").alias("bar"), "seen")
     table = balls.select("cell", F.col("centroid").cast("array<double>").alias("centroid"), "radius")
     head = table.select(F.size("centroid").alias("d")).head()
     if head is None:
@@ -139,7 +137,7 @@ def cells_in_reach(queries: DataFrame, balls: DataFrame, room_bytes: int = RESID
             for b in batches:
                 yield from _within_reach(b, *shared.value)
 
-        return asked.mapInArrow(reach, _REACHED)
+        return asked.mapInArrow(reach, asked.select("qid", "qvec", F.lit(0).cast("long").alias("probe")).schema)
     n_block, n_slab = max(1, -(-table.count() // tile_rows)), max(1, -(-asked.count() // tile_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("*", F.pmod(F.xxhash64("qid"), F.lit(n_slab)).cast("int").alias("slab"), every(n_block).alias("block"))
